@@ -7,7 +7,7 @@ weight are compiled into one Spark column expression.  A document is good if it
 is labelled ``quality = 1`` and not ``toxic = 1``.
 
 Two of the statistics count terms found in the labelled documents: words, and
-beginnings of words, that many rejected documents use and hardly any good one.
+beginnings of words, that many toxic documents use and hardly any other one.
 
 The fit uses at most ``FIT_ROWS`` labelled documents, taken in order of a hash
 of ``doc_id``; everything else covers all rows.
@@ -34,30 +34,47 @@ from .shared import fresh
 FIT_ROWS = 12000
 #: A document is kept if its probability of being good is at least this.
 THRESHOLD = 0.5
-STATISTICS = ("n_chars", "n_words", "n_lines", "word_chars", "distinct", "upper", "symbols", "bars", "digits", "repeats", "terms", "term_rate")
+STATISTICS = ("n_chars", "n_words", "n_lines", "word_chars", "distinct", "upper", "symbols", "bars", "digits", "terms", "term_rate")
+_COUNTS = ("chars", "words", "lines", "kinds", "upper", "symbols", "bars", "digits", "terms")
 
 
-def statistics(text: Column, terms: tuple[str, ...] = ()) -> dict[str, Column]:
-    """The statistics of a text by name, as JVM expressions over the whole of it."""
+def counts(text: Column, terms: tuple[str, ...] = ()) -> dict[str, Column]:
+    """What the statistics are made of, as JVM expressions over the whole text."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    chars, words = F.length(text), F.array_remove(F.split(F.lower(text), r"\s+"), "")
-    n = F.size(words)
-    rate = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    chars, lower = F.length(text), F.lower(text)
+    words = F.split(lower, r"\s+")
+    edges = text.rlike(r"^\s").cast("int") + text.rlike(r"\s\z").cast("int")
+    full = text.rlike(r"\S")
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
-    found = F.regexp_count(F.lower(text), F.lit(_pattern(terms))) if terms else F.lit(0)
+    without = lambda mark: chars - F.length(F.replace(text, F.lit(mark), F.lit("")))
     return {
-        "n_chars": chars.cast("double"),
-        "n_words": n.cast("double"),
-        "n_lines": (chars - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("double"),
-        "word_chars": rate(chars, n),
-        "distinct": rate(F.size(F.array_distinct(words)), n),
-        "upper": rate(left(r"[^\p{Lu}]+"), chars),
-        "symbols": rate(left(r"[\p{L}\p{N}\s.,]+"), chars),
-        "bars": rate(chars - F.length(F.replace(text, F.lit("|"), F.lit(""))), chars),
-        "digits": rate(left(r"[^0-9]+"), chars),
-        "repeats": rate(F.regexp_count(F.lower(text), F.lit(r"(?<!\S)(\S++)\s++\1(?!\S)")), n),
-        "terms": found.cast("double"),
-        "term_rate": rate(found, n),
+        "chars": chars,
+        "words": F.when(full, F.size(words) - edges).otherwise(F.lit(0)),
+        "lines": without("\n"),
+        "kinds": F.when(full, F.size(F.array_distinct(words)) - F.least(edges, F.lit(1))).otherwise(F.lit(0)),
+        "upper": left(r"[^\p{Lu}]++"),
+        "symbols": left(r"[\p{L}\p{N}\s.,]++"),
+        "bars": without("|"),
+        "digits": left(r"[^0-9]++"),
+        "terms": F.regexp_count(lower, F.lit(_pattern(terms))) if terms else F.lit(0),
+    }
+
+
+def statistics(held: dict[str, Column]) -> dict[str, Column]:
+    """The statistics by name from columns that hold the counts."""
+    rate = lambda part, whole: F.when(held[whole] > 0, held[part] / held[whole]).otherwise(F.lit(0.0))
+    return {
+        "n_chars": held["chars"].cast("double"),
+        "n_words": held["words"].cast("double"),
+        "n_lines": held["lines"].cast("double"),
+        "word_chars": rate("chars", "words"),
+        "distinct": rate("kinds", "words"),
+        "upper": rate("upper", "chars"),
+        "symbols": rate("symbols", "chars"),
+        "bars": rate("bars", "chars"),
+        "digits": rate("digits", "chars"),
+        "terms": held["terms"].cast("double"),
+        "term_rate": rate("terms", "words"),
     }
 
 
@@ -122,7 +139,7 @@ def _grow(x: np.ndarray, residual: np.ndarray, rows: np.ndarray, depth: int, lea
     return value
 
 
-def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, seed: int = 0) -> list[tuple]:
+def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.2, seed: int = 0) -> list[tuple]:
     """The paths of boosted trees, each grown on half of the rows."""
     rng = np.random.default_rng(seed)
     score, found = np.zeros(len(y)), []
@@ -140,23 +157,23 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, ra
     return list(dict.fromkeys(tuple(sorted(p)) for p in found))
 
 
-def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[np.ndarray, float]:
+def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the mean logistic loss plus ``penalty`` times their absolute sum, by accelerated proximal steps."""
     n, m = z.shape
-    one = np.hstack([z, np.ones((n, 1))])
-    v = np.ones(m + 1)
+    one = np.hstack([z, np.ones((n, 1))]).astype(np.float32)
+    v = np.ones(m + 1, dtype=np.float32)
     for _ in range(30):
         v = one.T @ (one @ v)
         v /= np.linalg.norm(v) or 1
     step = 4 * n / max(float(v @ (one.T @ (one @ v))), 1e-9) / 1.01
-    w = look = np.zeros(m + 1)
+    w = look = np.zeros(m + 1, dtype=np.float32)
     t = 1.0
     for _ in range(steps):
-        g = one.T @ (1 / (1 + np.exp(-(one @ look))) - y) / n
-        new = look - step * g
+        g = one.T @ (1 / (1 + np.exp(-(one @ look))) - y) / np.float32(n)
+        new = (look - np.float32(step) * g).astype(np.float32)
         new[:m] = np.sign(new[:m]) * np.maximum(np.abs(new[:m]) - step * penalty, 0)
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look = new + (t - 1) / u * (new - w)
+        look = new + np.float32((t - 1) / u) * (new - w)
         w, t = new, u
     return w[:m], float(w[m])
 
@@ -167,23 +184,22 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATISTICS,
     if not paths:
         p = min(max(y.mean(), 1e-6), 1 - 1e-6)
         return (), float(np.log(p / (1 - p)))
-    z = np.stack([np.all([(x[:, f] > at) == above for f, at, above in path], axis=0) for path in paths], axis=1).astype(float)
-    weights, bias = lasso_logistic(z, y, penalty)
+    z = np.stack([np.all([(x[:, f] > at) == above for f, at, above in path], axis=0) for path in paths], axis=1).astype(np.float32)
+    weights, bias = lasso_logistic(z, y.astype(np.float32), penalty)
     kept = [Rule(tuple((names[f], at, above) for f, at, above in path), float(w)) for path, w in zip(paths, weights) if abs(w) > 1e-6]
     return tuple(sorted(kept, key=lambda r: -abs(r.weight))), bias
 
 
 def _terms(sample: DataFrame, most: int = 60) -> tuple[str, ...]:
-    """Words and beginnings of words that tell the rejected documents of the sample from the good ones."""
-    words = sample.select("good", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))).alias("word"))
+    """Words and beginnings of words that tell the toxic documents of the sample from the others; texts that begin alike count once."""
+    words = sample.select("toxic", F.substring("text", 1, 48).alias("opening"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))).alias("word"))
     starts = F.transform(F.filter(F.sequence(F.lit(4), F.lit(8)), lambda k: k < F.length("word")), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k), F.lit("*")))
-    term = F.explode(F.concat(F.array("word"), starts)).alias("term")
-    rejected = F.sum(F.when(~F.col("good"), 1).otherwise(0))
-    ids = words.select("good", term, "word")
-    counts = ids.groupBy("term").agg(rejected.alias("bad"), F.count("*").alias("uses"), F.countDistinct("word").alias("forms")).where("bad >= 8 and bad >= 0.97 * uses")
-    best = counts.orderBy(F.desc("bad"), F.length("term"), "term").limit(400).collect()
+    uses = words.select("toxic", "opening", "word", F.explode(F.concat(F.array("word"), starts)).alias("term"))
+    toxic = F.sum(F.col("toxic").cast("int"))
+    often = uses.groupBy("term").agg(toxic.alias("bad"), F.count("*").alias("uses")).where("bad >= 8 and bad >= 0.97 * uses").select("term")
+    found = uses.join(often, "term").groupBy("term").agg(toxic.alias("bad"), F.countDistinct("opening").alias("texts"), F.countDistinct("word").alias("forms")).where("texts >= 8")
     chosen: list[str] = []
-    for row in best:
+    for row in found.orderBy(F.desc("bad"), F.length("term"), "term").limit(400).collect():
         stem = row.term.rstrip("*")
         if not any(c.endswith("*") and stem.startswith(c[:-1]) or c.rstrip("*") == stem for c in chosen) and not (row.term.endswith("*") and row.forms < 2):
             chosen.append(row.term)
@@ -193,18 +209,19 @@ def _terms(sample: DataFrame, most: int = 60) -> tuple[str, ...]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 0) -> Model:
     """A model from at most ``fit_rows`` labelled documents."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"), F.max(good).alias("best")).where("good = best")
-    chosen = marks.select("doc_id", "good").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows)
-    ids = [(r.doc_id, r.good) for r in chosen.collect()]
-    if len({g for _, g in ids}) < 2:
+    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"), F.max(good).alias("best"), F.max(F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")).where("good = best")
+    chosen = marks.select("doc_id", "good", "toxic").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows)
+    ids = [tuple(r) for r in chosen.collect()]
+    if len({good for _, good, _ in ids}) < 2:
         return Model()
     # at most fit_rows ids, so the size of this side is bounded
     spark = docs.sparkSession
-    named = F.broadcast(spark.createDataFrame(ids, "doc_id long, good boolean"))
+    named = F.broadcast(spark.createDataFrame(ids, "doc_id long, good boolean, toxic boolean"))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, "doc_id").cache()
     try:
         terms = _terms(sample)
-        rows = sample.select("good", *[c.alias(n) for n, c in statistics(F.col("text"), terms).items()]).toPandas()
+        held = sample.select("good", *[c.alias(n) for n, c in counts(F.col("text"), terms).items()])
+        rows = held.select("good", *[c.alias(n) for n, c in statistics({n: F.col(n) for n in _COUNTS}).items()]).toPandas()
     finally:
         sample.unpersist()
     if rows.empty or rows["good"].nunique() < 2:
@@ -216,9 +233,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
 
 def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
     """``docs`` with the probability of being good in column ``to``, which replaces one of that name."""
-    names = fresh(docs, *[f"stat_{n}" for n in STATISTICS])
-    held = docs.withColumns(dict(zip(names, statistics(F.col("text"), model.terms).values())))
-    margin = model.margin({n: F.col(c) for n, c in zip(STATISTICS, names)})
+    names = fresh(docs, *[f"count_{n}" for n in _COUNTS], *[f"stat_{n}" for n in STATISTICS])
+    of_counts, of_statistics = names[: len(_COUNTS)], names[len(_COUNTS) :]
+    held = docs.withColumns(dict(zip(of_counts, counts(F.col("text"), model.terms).values())))
+    held = held.withColumns(dict(zip(of_statistics, statistics(dict(zip(_COUNTS, map(F.col, of_counts)))).values())))
+    margin = model.margin(dict(zip(STATISTICS, map(F.col, of_statistics))))
     return held.withColumn(to, 1 / (1 + F.exp(-margin))).drop(*names)
 
 
