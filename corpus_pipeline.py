@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages in order, each over all that the one before it kept."""
+"""The corpus pipeline: stages in order, each over all that the one before it kept.
+
+All stages but the last return the columns of the documents that they get; the
+last adds the number of the shard.  Each stage's operator says in its module
+what it does with nulls, empty texts, repeated rows and clashing names.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +11,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentmesh.llm import simhash
+from latentmesh.llm import decontam, mixing, quality, sharding, simhash
 from latentmesh.llm.shared import table, written
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the rules reject; fitted on the labelled ones among them."""
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return simhash.drop(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the target weight of its source asks for."""
+    return mixing.mix(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the shard that each goes to."""
+    return sharding.shard(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
     ("simhash", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("sharding", sharded),
 ]
 
 #: The quality rules and the fingerprints are learned and hashed outside SQL.
