@@ -270,9 +270,10 @@ def _made_up(rng: np.random.Generator, words: list[str]) -> tuple[str, str, str,
     letters = lambda n, a="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(list(a), int(n)))
     digits = lambda n: letters(n, "0123456789")
     number = lambda a, b: str(int(rng.integers(a, b)))
-    kind = pick(*KINDS, *KINDS, "")
+    some = lambda n: [words[k] for k in rng.integers(0, len(words), n)]
+    kind = pick(*KINDS, *KINDS, "", "", "")
     if kind == "email":
-        name = lambda n: pick(letters(n), *[w.lower() for w in rng.choice(words, 2) if w.isascii() and w.isalpha()])
+        name = lambda n: pick(letters(n), *[w.lower() for w in some(2) if w.isascii() and w.isalpha()])
         user = name(rng.integers(2, 12)) + pick("", pick(".", "_", "-", "+") + name(rng.integers(1, 8))) + pick("", digits(2), "." + digits(2))
         if rng.random() < 0.3:
             user = user.capitalize()
@@ -289,15 +290,17 @@ def _made_up(rng: np.random.Generator, words: list[str]) -> tuple[str, str, str,
         value = pick(letters(40, "0123456789abcdef"), letters(40, "0123456789abcdef"), letters(32, "0123456789abcdef"), letters(24, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), "sk-" + letters(32, "ABCDEFGHabcdefghijklmnop0123456789"), "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
         name, quote = pick("token", "token", "api_key", "secret", "password", "key"), pick('"', '"', "'", "")
         return f"{name}{pick(' = ', '=', ': ')}{quote}", value, quote, kind
-    if rng.random() < 0.5:
-        return "", pick(letters(rng.integers(4, 22)), letters(rng.integers(4, 12)).capitalize(), letters(rng.integers(3, 9)) + "." + letters(3), "".join(rng.choice(words, 3))), "", ""
+    if rng.random() < 0.3:
+        return pick("Version ", "v", f"{letters(3).upper()} ", f"{letters(2).upper()}-{letters(2).upper()} ", f"{letters(5)} "), f"{number(0, 20)}.{number(0, 20)}{pick('', '.' + number(0, 20), '.')}", "", ""
+    if rng.random() < 0.4:
+        return "", pick(letters(rng.integers(4, 22)), letters(rng.integers(4, 12)).capitalize(), letters(rng.integers(3, 9)) + "." + letters(3), "".join(some(3))), "", ""
     return "", pick(number(0, 100), number(0, 5000), f"{number(0, 10)}.{number(0, 10)}", f"{number(1, 10)}.{number(0, 30)}.{number(0, 9)}", f"20{digits(2)}-{number(1, 13)}-{number(1, 32)}", f"{number(0, 24)}:{digits(2)}", f"${number(1, 900)}.{digits(2)}", f"https://{letters(6)}.{letters(3)}/{letters(5)}", f"@{letters(6)}", f'"{letters(6)}"', f"({digits(4)})", f"{number(1, 100)}%", f"{letters(4)}.{letters(3)}", f"n = {number(0, 99)}", f"+{number(1, 50)}"), "", ""
 
 
 def passages(texts: list[str], n: int, steps: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """``n`` labelled passages of ``steps`` characters: characters and tags, (T, n)."""
     chars, tags = np.full((steps, n), 32, np.int64), np.zeros((steps, n), np.int64)
-    words = [w.strip(".,|*#&%$!") or "a" for t in rng.choice(texts, 20) for w in t[:2000].split()] or ["a"]
+    words = [w.strip(".,|*#&%$!") or "a" for k in rng.integers(0, len(texts), 20) for w in texts[k].split()] or ["a"]
     for k in range(n):
         text = texts[int(rng.integers(len(texts)))]
         at = int(rng.integers(max(1, len(text) - steps // 2)))
