@@ -178,13 +178,16 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 30
     return w[:m], float(w[m])
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATISTICS, penalty: float = 0.0005, seed: int = 0) -> tuple[tuple[Rule, ...], float]:
+def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATISTICS, penalty: float = 0.001, seed: int = 0) -> tuple[tuple[Rule, ...], float]:
     """Rules with a weight, and the bias; the classes weigh the same in neither the trees nor the lasso."""
     paths = tree_rules(x, y, seed=seed)
     if not paths:
         p = min(max(y.mean(), 1e-6), 1 - 1e-6)
         return (), float(np.log(p / (1 - p)))
-    z = np.stack([np.all([(x[:, f] > at) == above for f, at, above in path], axis=0) for path in paths], axis=1).astype(np.float32)
+    held = np.stack([np.all([(x[:, f] > at) == above for f, at, above in path], axis=0) for path in paths], axis=1)
+    # of rules that hold for the same rows one is enough
+    _, first = np.unique(held, axis=1, return_index=True)
+    paths, z = [paths[k] for k in sorted(first)], held[:, sorted(first)].astype(np.float32)
     weights, bias = lasso_logistic(z, y.astype(np.float32), penalty)
     kept = [Rule(tuple((names[f], at, above) for f, at, above in path), float(w)) for path, w in zip(paths, weights) if abs(w) > 1e-6]
     return tuple(sorted(kept, key=lambda r: -abs(r.weight))), bias
@@ -194,10 +197,10 @@ def _terms(sample: DataFrame, most: int = 60) -> tuple[str, ...]:
     """Words and beginnings of words that tell the toxic documents of the sample from the others; texts that begin alike count once."""
     words = sample.select("toxic", F.substring("text", 1, 48).alias("opening"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))).alias("word"))
     starts = F.transform(F.filter(F.sequence(F.lit(4), F.lit(8)), lambda k: k < F.length("word")), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k), F.lit("*")))
-    uses = words.select("toxic", "opening", "word", F.explode(F.concat(F.array("word"), starts)).alias("term"))
-    toxic = F.sum(F.col("toxic").cast("int"))
-    often = uses.groupBy("term").agg(toxic.alias("bad"), F.count("*").alias("uses")).where("bad >= 8 and bad >= 0.97 * uses").select("term")
-    found = uses.join(often, "term").groupBy("term").agg(toxic.alias("bad"), F.countDistinct("opening").alias("texts"), F.countDistinct("word").alias("forms")).where("texts >= 8")
+    term = F.explode(F.concat(F.array("word"), starts)).alias("term")
+    each = words.groupBy("word").agg(F.sum(F.col("toxic").cast("int")).alias("bad"), F.count("*").alias("uses"))
+    often = each.select("bad", "uses", term).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("uses").alias("uses")).where("bad >= 8 and bad >= 0.97 * uses")
+    found = words.where("toxic").select("opening", "word", term).join(often, "term").groupBy("term", "bad").agg(F.countDistinct("opening").alias("texts"), F.countDistinct("word").alias("forms")).where("texts >= 8")
     chosen: list[str] = []
     for row in found.orderBy(F.desc("bad"), F.length("term"), "term").limit(400).collect():
         stem = row.term.rstrip("*")
@@ -235,7 +238,9 @@ def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
     """``docs`` with the probability of being good in column ``to``, which replaces one of that name."""
     names = fresh(docs, *[f"count_{n}" for n in _COUNTS], *[f"stat_{n}" for n in STATISTICS])
     of_counts, of_statistics = names[: len(_COUNTS)], names[len(_COUNTS) :]
-    held = docs.withColumns(dict(zip(of_counts, counts(F.col("text"), model.terms).values())))
+    # a generator, so that the optimiser can't put the counts in place of each use of them
+    once = F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip(of_counts, counts(F.col("text"), model.terms).values())])))
+    held = docs.select("*", once)
     held = held.withColumns(dict(zip(of_statistics, statistics(dict(zip(_COUNTS, map(F.col, of_counts)))).values())))
     margin = model.margin(dict(zip(STATISTICS, map(F.col, of_statistics))))
     return held.withColumn(to, 1 / (1 + F.exp(-margin))).drop(*names)
