@@ -31,12 +31,15 @@ def hypergeometric_tail(n11: Column, n10: Column, n01: Column, n00: Column, less
     return F.least(F.lit(1.0), F.aggregate(F.sequence(first, last), F.lit(0.0), lambda s, k: s + term(k)))
 
 
-@F.pandas_udf("double")
-def chi2_tail(x: pd.Series) -> pd.Series:
-    """Upper tail of chi-squared with one degree of freedom; negative statistics count as 0."""
+def _chi2_tail(x: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)) for v in x], dtype=float)
 
 
+def chi2_tail(x: Column) -> Column:
+    """Upper tail of chi-squared with one degree of freedom; negative statistics count as 0."""
+    return F.pandas_udf(_chi2_tail, "double")(x)
+
+
 def poisson_pmf(rate: Column, kmax: int) -> Column:
     """Probabilities of 0..kmax, scaled to a sum of 1."""
     step = F.aggregate(F.sequence(F.lit(1), F.lit(kmax)), F.array(F.exp(-rate)), lambda p, k: F.concat(p, F.array(F.element_at(p, -1) * rate / k)))
