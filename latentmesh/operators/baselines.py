@@ -62,19 +62,21 @@ def exclusivity_ratio(n11: int, n10: int, n01: int, n00: int) -> float:
         return sum(k * math.log(max(p, 1e-300)) for k, p in ((n11, p11), (n10, p10), (n01, p01), (n00, p00)) if k)
 
     null = loglik(0.0, pa, pb)
-    best, at, step = null, np.array([0.0, pa, pb]), 0.25
-    while step > 1e-7:
-        moved = False
-        for k in range(3):
-            for d in (step, -step):
-                x = at.copy()
-                x[k] = min(1 - 1e-9, max(0.0, x[k] + d))
-                value = loglik(*x)
-                if value > best + 1e-12:
-                    best, at, moved = value, x, True
-        if not moved:
-            step /= 2
-    return max(0.0, 2 * (best - null))
+    g, a, b, best = (n10 + n01) / n, pa / 2, pb / 2, null
+    for _ in range(2000):  # what covers a sample - a, b or neither - is latent
+        p11 = (g * b / 2, g * a / 2, (1 - g) * a * b)
+        p10 = (g * (1 - b) / 2, 0.0, (1 - g) * a * (1 - b))
+        p01 = (0.0, g * (1 - a) / 2, (1 - g) * (1 - a) * b)
+        share = [[k * q / (sum(p) or 1.0) for q in p] for k, p in ((n11, p11), (n10, p10), (n01, p01))]
+        by_a, by_b = (sum(s[i] for s in share) for i in (0, 1))
+        g = (by_a + by_b) / n
+        a = (n11 + n10 - by_a) / max(n - by_a, 1e-9)
+        b = (n11 + n01 - by_b) / max(n - by_b, 1e-9)
+        now = loglik(g, a, b)
+        if abs(now - best) < 1e-10:
+            break
+        best = now
+    return max(0.0, 2 * (max(best, null) - null))
 
 
 def exclusivity_test(tables: DataFrame) -> DataFrame:

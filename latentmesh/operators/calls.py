@@ -25,7 +25,8 @@ def benjamini_hochberg(df: DataFrame, p: str, q: str, by: Sequence[str] = (), ti
     up = Window.partitionBy(*family).orderBy(p, *ties)
     down = Window.partitionBy(*family).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = df.withColumns({"_rank": F.row_number().over(up), "_tests": F.sum(tested).over(Window.partitionBy(*family))})
-    return ranked.withColumn(q, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_tests") / F.col("_rank")).over(down))).drop("_rank", "_tests")
+    least = F.min(F.col(p) * F.col("_tests") / F.col("_rank")).over(down)
+    return ranked.withColumn(q, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_rank", "_tests")
 
 
 def fisher(tables: DataFrame) -> DataFrame:

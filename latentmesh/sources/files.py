@@ -128,9 +128,9 @@ def read_clinical(spark: SparkSession, path: str, key: str, field: str) -> DataF
 
 def read_patient_rates(spark: SparkSession, path: str) -> DataFrame:
     """``sample, factor``: a patient's mutations by coverage, over those of all."""
-    rows = _strings(spark, path, "\t")
-    name, n, size = rows.columns[:3]
-    return patient_factors(rows.select(F.col(name).alias("sample"), F.col(n).cast("double").alias("n"), F.col(size).cast("double").alias("size")))
+    # by place, as two of the columns' names differ in case alone
+    more = "".join(f", _{k} string" for k in range(3, len(_header(spark, path, "\t"))))
+    return patient_factors(spark.read.option("header", True).option("sep", "\t").option("enforceSchema", True).schema("sample string, n double, size double" + more).csv(path).select("sample", "n", "size"))
 
 
 def patient_factors(rates: DataFrame) -> DataFrame:
