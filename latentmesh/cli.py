@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .operators import simulation
+from .operators import evaluation, simulation
 from .operators.counts import count_features, wide
 from .sources import files
 
@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--pairs", "--comparison", "--out"):
         m.add_argument(name, required=True)
     s = verbs.add_parser("simulate", help="draw counts of known rates")
+    s.add_argument("action", choices=["create", "evaluate"])
     s.add_argument("kind", choices=["single", "pair"])
     s.add_argument("--out", required=True)
     s.add_argument("--samples", type=int, default=1000)
@@ -79,6 +80,14 @@ def main(argv: Sequence[str] | None = None) -> None:
         api.merge_results(rename(read(a.pairs)), rename(read(a.comparison)), a.out)
     else:
         pmf = simulation.binomial_pmf(a.length, a.rate)
+        if a.action == "evaluate":
+            drawn, _ = files.read_simulation(spark, a.out)
+            if a.kind == "single":
+                summary = evaluation.error_summary(evaluation.simulated_features(drawn, pmf, a.samples), F.lit(a.pi))
+            else:
+                summary = evaluation.joint_error(evaluation.simulated_pairs(drawn, pmf, pmf), tuple(a.tau))
+            files.write_json(summary, f"{a.out}/evaluation")
+            return
         if a.kind == "single":
             drawn, params = simulation.single(spark, pmf, a.pi, a.samples, a.simulations, a.seed), {"pi": a.pi}
         else:

@@ -163,6 +163,18 @@ def burden_conditioned(counts: DataFrame, top: DataFrame, burdens: DataFrame) ->
     return cells.groupBy("a", "b").applyInPandas(run, "a string, b string, p_plain double, p_burden double")
 
 
+def burden_aware(conditioned: DataFrame, pairs: DataFrame, fdr: float = 0.05) -> DataFrame:
+    """Pairs with the q-value of their burden-conditioned test; those that couldn't be tested are in no family."""
+    tested = benjamini_hochberg(conditioned, "p_burden", "q_burden", ties=["a", "b"])
+    return pairs.join(tested, ["a", "b"], "left").withColumn("robust", F.coalesce(F.col("q_burden") < fdr, F.lit(False)))
+
+
+def explained_by_burden(conditioned: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """How many pairs are significant by themselves, and how many of those no longer beside the burden."""
+    plain = F.col("p_plain") < alpha
+    return conditioned.agg(F.count("*").alias("pairs"), F.count_if(plain).alias("marginal"), F.count_if(plain & (F.coalesce(F.col("p_burden"), F.lit(1.0)) >= alpha)).alias("explained"))
+
+
 def compare(methods: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
     """The tables of all methods joined on the pair, and what went wrong with those left out; raises if all did.
 

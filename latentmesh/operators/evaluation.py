@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fit
+
 
 def labels(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """``pairs`` with label 1 where the pair, in either orientation, is in ``truth``."""
@@ -59,6 +61,27 @@ def error_summary(fits: DataFrame, truth: Column) -> DataFrame:
     return fits.agg(F.avg("pi").alias("mean"), F.stddev_pop("pi").alias("sd"), F.avg(F.abs(F.col("pi") - truth)).alias("error"))
 
 
+def simulated_features(drawn: DataFrame, pmf: list[float], samples: int) -> DataFrame:
+    """``feature, pi``: the rate fitted to each simulation of ``sim, sample, c``, all in one plan."""
+    counts = drawn.where("c > 0").select("sample", F.col("sim").cast("string").alias("feature"), "c")
+    pmfs = drawn.select(F.col("sim").cast("string").alias("feature")).distinct().withColumn("pmf", F.array(*map(F.lit, pmf)))
+    return fit.fit_rates(fit.with_pmfs(fit.histogram(counts, F.lit(samples)), pmfs))
+
+
+def simulated_pairs(drawn: DataFrame, pmf_a: list[float], pmf_b: list[float]) -> DataFrame:
+    """Joint rates fitted to each simulation of ``sim, sample, ca, cb``; a and b name the simulation."""
+    cells = drawn.groupBy(F.concat(F.lit("a"), F.col("sim")).alias("a"), F.concat(F.lit("b"), F.col("sim")).alias("b"), F.col("ca").cast("long").alias("ca"), F.col("cb").cast("long").alias("cb")).agg(F.count("*").alias("n"))
+    pmfs = cells.select(F.col("a").alias("feature"), F.array(*map(F.lit, pmf_a)).alias("pmf")).union(cells.select("b", F.array(*map(F.lit, pmf_b)))).distinct()
+    return fit.fit_pairs(fit.pair_cells(cells, pmfs))
+
+
+def joint_error(fits: DataFrame, tau: tuple[float, float, float, float]) -> DataFrame:
+    """Mean, population standard deviation and mean absolute error of each joint rate over simulations."""
+    names = ("t00", "t01", "t10", "t11")
+    rows = F.array(*[F.struct(F.lit(n).alias("rate"), F.col(n).alias("fitted"), F.lit(t).alias("truth")) for n, t in zip(names, tau)])
+    return fits.select(F.inline(rows)).groupBy("rate").agg(F.avg("fitted").alias("mean"), F.stddev_pop("fitted").alias("sd"), F.avg(F.abs(F.col("fitted") - F.col("truth"))).alias("error"))
+
+
 def profile(cells: DataFrame, points: int = 100, top: float = 0.99) -> DataFrame:
     """``feature, pi, loglik`` over a grid of rates: cells are few, so the grid is their product with a range."""
     grid = cells.sparkSession.range(points).select((F.col("id") * F.lit(top / (points - 1))).alias("pi"))

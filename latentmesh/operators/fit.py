@@ -48,6 +48,29 @@ def fit_rates(cells: DataFrame, n_inits: int = 10, seed: int = 0, max_iter: int
     return rows.mapInPandas(run, "feature string, pi double, inits_used int, status string")
 
 
+def maximise_rates(cells: DataFrame, halvings: int = 60) -> DataFrame:
+    """``feature, pi``: the rate of the greatest likelihood, which has one peak, by bisection of its slope over [0, 1)."""
+    rows = cells.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("c", "n", "here", "below"))).alias("cells"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            n, here, below = (em.padded([np.array([x[k] for x in r], float) for r in frame["cells"]]) for k in ("n", "here", "below"))
+            here = np.where(n > 0, here, 1.0)
+            low, high = np.zeros(len(n)), np.full(len(n), 1 - 1e-9)
+            for _ in range(halvings):
+                p = ((low + high) / 2)[:, None]
+                up = (n * (below - here) / np.maximum(here * (1 - p) + below * p, 1e-300)).sum(1) > 0
+                low, high = np.where(up, p[:, 0], low), np.where(up, high, p[:, 0])
+            yield pd.DataFrame({"feature": frame["feature"], "pi": (low + high) / 2})
+
+    return rows.mapInPandas(run, "feature string, pi double")
+
+
+def maximise_pairs(cells: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """Joint rates of the greatest likelihood: the fit from the even start, carried on to a tight tolerance."""
+    return fit_pairs(cells, rates, n_inits=1, max_iter=20_000, tol=1e-10)
+
+
 def loglik(cells: DataFrame, pi: Column) -> DataFrame:
     """``feature, loglik`` for a rate that may be a column of ``cells``."""
     mixed = F.greatest(F.col("here") * (1 - pi) + F.col("below") * pi, F.lit(1e-300))
@@ -86,6 +109,13 @@ def pairs_of(top: DataFrame) -> DataFrame:
     return x.join(y, F.col("x.rk") < F.col("y.rk")).select(F.col("x.feature").alias("a"), F.col("y.feature").alias("b"), F.col("x.rk").alias("rk_a"), F.col("y.rk").alias("rk_b"))
 
 
+def pairs_with(feature: str, ranked: DataFrame) -> DataFrame:
+    """``a, b`` of one feature with each other one; a has the higher rank."""
+    one = F.broadcast(ranked.where(F.col("feature") == feature).select(F.col("feature").alias("f"), F.col("rk").alias("r")))  # one row is broadcast
+    other = ranked.crossJoin(one).where("feature <> f")
+    return other.select(F.when(F.col("r") < F.col("rk"), F.col("f")).otherwise(F.col("feature")).alias("a"), F.when(F.col("r") < F.col("rk"), F.col("feature")).otherwise(F.col("f")).alias("b"))
+
+
 def pair_histogram(joint: DataFrame, counts: DataFrame, top: DataFrame, n: Column) -> DataFrame:
     """``a, b, ca, cb, n`` of every pair of counts, the cells with zeros from the margins."""
     pairs = pairs_of(top).select("a", "b")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..operators import background, baselines, calls, counts, evaluation, fit, networks, simulation
+from ..operators import background, baselines, calls, counts, evaluation, fit, networks, reports, simulation
 from ..sources import driver_tables as tables
 from ..sources.staging import staged
 from .identify import Cohort, pairs
@@ -558,9 +558,81 @@ def supp_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_cohort(spark, sf_dir).groupBy("cohort").agg(F.count_distinct("sample").alias("samples"), F.sum("c").alias("events"), F.count_distinct("feature").alias("features"), r(F.sum("c") / F.count_distinct("sample")).alias("burden"))
 
 
+@_query(end("SELECT burden, count(*) AS n FROM b WHERE burden < 25 GROUP BY burden", _BURDEN))
+def burden_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.count_histogram(counts.burden(_counts(spark, sf_dir)), "burden")
+
+
+@_query(end("SELECT cohort, 'priority ' || lower(substr(cohort, 3)) AS name, count(DISTINCT sample) AS samples, sum(CASE WHEN feature LIKE '%\\_M' ESCAPE '\\' THEN c ELSE 0 END)::BIGINT AS missense, sum(CASE WHEN feature LIKE '%\\_N' ESCAPE '\\' THEN c ELSE 0 END)::BIGINT AS nonsense FROM cc GROUP BY cohort", _COHORT))
+def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = tables.sample_cohorts(spark, sf_dir).select("cohort").distinct().withColumn("name", F.concat(F.lit("priority "), F.lower(F.substring("cohort", 3, 100))))
+    return reports.cohort_summary(_by_cohort(spark, sf_dir), names)
+
+
+@_query(end("SELECT feature, total, substr(feature, 1, instr(feature, '_') - 1) AS gene FROM totals"))
+def base_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.totals(_counts(spark, sf_dir)).withColumn("gene", counts.base_gene(F.col("feature")))
+
+
+@_query(end("SELECT CASE WHEN x.rk < o.rk THEN x.feature ELSE o.feature END AS a, CASE WHEN x.rk < o.rk THEN o.feature ELSE x.feature END AS b FROM ranked o, (SELECT * FROM ranked WHERE feature = 'Brand#11_M') x WHERE o.feature <> x.feature"))
+def pairs_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.pairs_with("Brand#11_M", counts.ranked(counts.totals(_counts(spark, sf_dir))))
+
+
+@_query(end("SELECT a, b, t00 + t01 + t10 + t11 BETWEEN 0.99 AND 1.01 AND t11 <> 1 AS valid FROM taus", PAIRS, TAU))
+def valid_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Parts(spark, sf_dir).pairs().select("a", "b", reports.is_distribution().alias("valid"))
+
+
+@_query(end("SELECT count(*) FILTER (q < 0.5 AND direction = 'CO') AS co, count(*) FILTER (q < 0.5 AND direction = 'ME') AS me, " + sql_r("(SELECT median(burden) FROM b)") + " AS median FROM called", _BURDEN, PAIRS, TAU, CALLS))
+def supplement_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _Parts(spark, sf_dir)
+    called = calls.pair_calls(p.pairs(), 0.5).withColumn("bmr", F.lit("poisson"))
+    return reports.supplement(called, counts.burden(p.counts)).select("co", "me", r("median").alias("median"))
+
+
+@_query(end("SELECT rk, method, round(v, 5) + 0.0 AS value FROM (SELECT rk, 'rho' AS method, rho AS v FROM rme WHERE rk <= 5 UNION ALL SELECT rk, 'lrt', lrt FROM rco WHERE rk <= 5)", PAIRS, TAU, _ACTIVE))
+def top_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _Parts(spark, sf_dir)
+    found, eps = p.pairs(), special.epsilon(p.n)
+    one = lambda d, c: calls.rank_pairs(found, d, eps).where("rk <= 5").select("rk", F.lit(c).alias("method"), r(c, 5).alias("value"))
+    return one("ME", "rho").unionByName(one("CO", "lrt"))
+
+
 # what SQL can't express
 
 
+@_query()
+def pi_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.maximise_rates(_Parts(spark, sf_dir).cells)
+
+
+@_query()
+def burden_aware_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _Parts(spark, sf_dir)
+    conditioned = baselines.burden_conditioned(p.counts, p.top, counts.burden(p.counts))
+    return baselines.burden_aware(conditioned, p.contingency())
+
+
+@_query()
+def burden_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _Parts(spark, sf_dir)
+    return baselines.explained_by_burden(baselines.burden_conditioned(p.counts, p.top, counts.burden(p.counts)))
+
+
+@_query()
+def eval_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pmf = simulation.binomial_pmf(10_000, 1e-5)
+    fits = evaluation.simulated_features(simulation.single(spark, pmf, 0.1, 1000, 20), pmf, 1000)
+    return evaluation.error_summary(fits, F.lit(0.1))
+
+
+@_query()
+def eval_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pmf, tau = simulation.binomial_pmf(10_000, 1e-5), (0.7, 0.1, 0.1, 0.1)
+    return evaluation.joint_error(evaluation.simulated_pairs(simulation.pair(spark, pmf, pmf, tau, 1000, 20), pmf, pmf), tau)
+
+
 @_query()
 def sim_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.single(spark, simulation.binomial_pmf(10_000, 1e-5), 0.1, 1000, 20)

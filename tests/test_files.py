@@ -100,9 +100,11 @@ def test_verbs(spark, tmp_path):
     assert (x["_00_"], x["_10_"], x["_01_"], x["_11_"]) == ("3", "1", "2", "2")
     cli.main(["merge", "--pairs", f"{out}/pairwise_interaction_results", "--comparison", f"{out}/comparison_interaction_results", "--out", out])
     assert spark.read.option("header", True).csv(f"{out}/complete_pairwise_interaction_results").count() == 3
-    cli.main(["simulate", "pair", "--out", str(tmp_path / "sim"), "--samples", "50", "--simulations", "2"])
+    cli.main(["simulate", "create", "pair", "--out", str(tmp_path / "sim"), "--samples", "50", "--simulations", "2"])
     drawn, params = files.read_simulation(spark, str(tmp_path / "sim"))
     assert drawn.count() == 100 and params.first().samples == 50
+    cli.main(["simulate", "evaluate", "pair", "--out", str(tmp_path / "sim"), "--samples", "50"])
+    assert spark.read.json(str(tmp_path / "sim/evaluation")).count() == 4
     m = put(tmp_path, "m.tsv", "gene\tsample\teffect\nTP53\ta\tmissense\nTP53\tb\tnonsense\nTP53\tb\tsilent\n")
     cli.main(["generate", "--mutations", m, "--out", str(tmp_path / "gen")])
     assert files.read_pmfs(spark, str(tmp_path / "gen/bmr_pmfs")).count() == 2

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latentmesh.functions import em, special
-from latentmesh.operators import background, baselines, calls, counts, evaluation, fit, networks, simulation
+from latentmesh.operators import background, baselines, calls, counts, evaluation, fit, networks, reports, simulation
 from latentmesh.plans.identify import Cohort, compare, identify, pairs
 
 MATRIX = {"TP53_M": [1, 0, 1, 0, 2, 1, 0, 1], "KRAS_M": [0, 1, 0, 1, 0, 0, 1, 0], "EGFR_M": [1, 1, 0, 0, 1, 0, 0, 1]}
@@ -218,3 +218,24 @@ def test_providers(spark, cohort):
     made = background.provider("poisson")
     assert isinstance(made, background.Provider)
     assert made.estimate(cohort.counts).pmfs.count() == 3
+
+
+def test_maximum_equals_a_fine_grid(cohort):
+    cells = fit.with_pmfs(fit.histogram(cohort.counts, F.lit(8)), cohort.pmfs)
+    grid = {}
+    for r in evaluation.profile(cells, 2000, 0.999).collect():
+        if r.feature not in grid or r.loglik > grid[r.feature][1]:
+            grid[r.feature] = (r.pi, r.loglik)
+    assert {r.feature: r.pi for r in fit.maximise_rates(cells).collect()} == pytest.approx({f: p for f, (p, _) in grid.items()}, abs=6e-4)
+
+
+def test_text_tables(spark):
+    assert [reports.number(x) for x in (0.5, 12.0, 0.0, 0.00123, -3e-7, None)] == ["0.5", "12", "0", "1.2\\times10^{-3}", "-3\\times10^{-7}", ""]
+    text = reports.latex(spark.createDataFrame([("A_M", 0.25)], "a string, rho double"), {"a": "Gene A", "rho": "Rho"}, "Top & best", "tab:x")
+    assert "A\\_M & $0.25$" in text and "Top \\& best" in text
+
+
+def test_simulation_errors_are_small(spark):
+    drawn = simulation.single(spark, PMF, 0.3, 800, 6)
+    x = evaluation.error_summary(evaluation.simulated_features(drawn, PMF, 800), F.lit(0.3)).first()
+    assert x.error < 0.06
