@@ -23,12 +23,23 @@ def log_factorial(n: Column) -> Column:
 
 
 def hypergeometric_tail(n11: Column, n10: Column, n01: Column, n00: Column, less: bool) -> Column:
-    """One-sided exact p-value of a 2 x 2 table: the probability of at most, or at least, n11."""
+    """One-sided exact p-value of a 2 x 2 table: the probability of at most, or at least, n11.
+
+    Only the observed table's probability is computed from factorials; the
+    others follow from it by the ratio of neighbours.
+    """
     a, b, n = n11 + n10, n11 + n01, n11 + n10 + n01 + n00
-    fixed = log_factorial(a) + log_factorial(b) + log_factorial(n - a) + log_factorial(n - b) - log_factorial(n)
-    first, last = (F.greatest(F.lit(0).cast("long"), a + b - n), n11) if less else (n11, F.least(a, b))
-    term = lambda k: F.exp(fixed - log_factorial(k) - log_factorial(a - k) - log_factorial(b - k) - log_factorial(n - a - b + k))
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(first, last), F.lit(0.0), lambda s, k: s + term(k)))
+    first = F.exp(log_factorial(a) + log_factorial(b) + log_factorial(n - a) + log_factorial(n - b) - log_factorial(n) - log_factorial(n11) - log_factorial(n10) - log_factorial(n01) - log_factorial(n00))
+    x, y, z, w = (c.cast("double") for c in (n11, n10, n01, n00))
+    if less:
+        steps = F.least(n11, n00)
+        ratio = lambda j: (x - j + 1) * (w - j + 1) / ((y + j) * (z + j))
+    else:
+        steps = F.least(n10, n01)
+        ratio = lambda j: (y - j + 1) * (z - j + 1) / ((x + j) * (w + j))
+    start = F.struct(first.alias("t"), first.alias("s"))
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1).cast("long"))), start, lambda acc, j: F.struct((acc.t * ratio(j)).alias("t"), (acc.s + acc.t * ratio(j)).alias("s")), lambda acc: acc.s)
+    return F.least(F.lit(1.0), F.when(steps < 1, first).otherwise(more))
 
 
 def _chi2_tail(x: pd.Series) -> pd.Series:

@@ -150,6 +150,14 @@ def test_poisson_binomial():
     for q in (0.2, 0.2, 0.2, 0.5, 0.5):
         p = np.convolve(p, [1 - q, q])
     assert low == pytest.approx(p[:3].sum()) and high == pytest.approx(p[2:].sum())
+    chances, many = np.array([0.01, 0.2]), np.array([3000, 500])
+    p = np.array([1.0])
+    for q, k in zip(chances, many):
+        for _ in range(k):
+            p = np.convolve(p, [1 - q, q])
+    for x in (100, 130, 160):
+        assert baselines.poisson_binomial(chances, many, x) == pytest.approx((p[: x + 1].sum(), p[x:].sum()), abs=1e-10)
+    assert baselines.poisson_binomial(chances, many, 3000) == (1.0, 0.0)
 
 
 def test_max_entropy_margins():
