@@ -210,7 +210,7 @@ def chunked(pages: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
 
 def report(pages: DataFrame) -> DataFrame:
     """All chunks, with what doesn't depend on where the files lie."""
-    return chunked(pages).select("page_id", "url", "chunk_no", "start", "length", "total", "digest", "intact", F.base64("payload").alias("payload"))
+    return chunked(pages).select("page_id", "url", "chunk_no", "start", "length", "total", "digest", "intact", F.replace(F.base64("payload"), F.lit("\r\n"), F.lit("")).alias("payload"))
 
 
 SQL = f"""

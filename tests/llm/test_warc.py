@@ -98,3 +98,17 @@ def test_memory_stays_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert total == 200_000_000 and peak < 16 << 20
+
+
+def test_report_equals_sql(spark, monkeypatch):
+    import duckdb
+
+    rng = random.Random(4)
+    rows = [(i, f"http://x/{i}", words(rng, n)) for i, n in enumerate((0, 1, 50, 9_000, 20_000))] + [(9, None, None)]
+    got = warc.report(pages(spark, rows)).toPandas()
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [list(r) for r in rows])
+    want = con.sql(warc.SQL).df()[list(got.columns)]
+    assert len(want) > len(rows)
+    assert sorted(map(tuple, got.astype(str).to_numpy())) == sorted(map(tuple, want.astype(str).to_numpy()))
