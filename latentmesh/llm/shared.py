@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,20 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or one made here where it is unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir``, or one made here where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="latentmesh-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _made:
+            _made[app] = "file://" + tempfile.mkdtemp(prefix="latentmesh-")
+        return _made[app]
+    if "://" not in folder:  # a bare path is one of the cluster's default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = re.sub("^file:/+", "file:///", path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
     return folder.rstrip("/")
 
 
