@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder made here where it is unset."""
+    """``spark.checkpoint.dir``, or a folder made here where it is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="latentmesh-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _made:
+            _made[app] = "file://" + tempfile.mkdtemp(prefix="latentmesh-")
+        return _made[app]
     return folder.rstrip("/")
 
 
