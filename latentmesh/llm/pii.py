@@ -255,13 +255,13 @@ def find(model: Tagger, texts: list[str | None], window: int = WINDOW, overlap:
 
 
 _STRICT = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))|(?P<phone>\+\d{1,2} ?\(\d{3}\) ?\d{3}-\d{4}|\(\d{3}\) \d{3}-\d{4})|(?P<card>(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d))|(?:token|key|secret|password)\w* ?[=:] ?[\"']?(?P<secret>[A-Za-z0-9_\-]{16,})"
+    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))|(?P<phone>\+\d{1,2} ?\(\d{3}\) ?\d{3}-\d{4}|\(\d{3}\) \d{3}-\d{4})|(?P<card>(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d))|(?i:token|key|secret|password)\w* ?[=:] ?[\"']?(?P<secret>[A-Za-z0-9_\-]{16,})|(?<![A-Za-z0-9])(?P<key>AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,}|ghp_[A-Za-z0-9]{30,})(?![A-Za-z0-9])"
 )
 
 
 def labelled(text: str) -> list[tuple[int, int, str]]:
     """Spans that strict patterns find."""
-    return [(*m.span(m.lastgroup), m.lastgroup) for m in _STRICT.finditer(text)]
+    return [(*m.span(m.lastgroup), "secret" if m.lastgroup == "key" else m.lastgroup) for m in _STRICT.finditer(text)]
 
 
 def _made_up(rng: np.random.Generator, words: list[str]) -> tuple[str, str, str, str]:
@@ -287,13 +287,19 @@ def _made_up(rng: np.random.Generator, words: list[str]) -> tuple[str, str, str,
         a = [pick("4", "5", "3", "6", "9", digits(1)) + digits(3), digits(4), digits(4), digits(4)]
         return "", pick("", "", "", " ", "-").join(a), "", kind
     if kind == "secret":
-        value = pick(letters(40, "0123456789abcdef"), letters(40, "0123456789abcdef"), letters(32, "0123456789abcdef"), letters(24, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), "sk-" + letters(32, "ABCDEFGHabcdefghijklmnop0123456789"), "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
-        name, quote = pick("token", "token", "api_key", "secret", "password", "key"), pick('"', '"', "'", "")
+        upper, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        marked = pick("AKIA" + letters(16, upper), "AKIA" + letters(16, upper), "sk-" + letters(32, mixed), "ghp_" + letters(36, mixed))
+        if rng.random() < 0.4:
+            return "", marked, "", kind
+        value = pick(letters(40, "0123456789abcdef"), letters(40, "0123456789abcdef"), letters(rng.integers(12, 33), "0123456789abcdef"), letters(24, mixed), marked)
+        if rng.random() < 0.15:
+            value = value.upper()
+        name, quote = pick("token", "token", "api_key", "secret", "password", "password", "key"), pick('"', '"', "'", "", "")
         return f"{name}{pick(' = ', '=', ': ')}{quote}", value, quote, kind
     if rng.random() < 0.3:
         return pick("Version ", "v", f"{letters(3).upper()} ", f"{letters(2).upper()}-{letters(2).upper()} ", f"{letters(5)} "), f"{number(0, 20)}.{number(0, 20)}{pick('', '.' + number(0, 20), '.')}", "", ""
     if rng.random() < 0.4:
-        return "", pick(letters(rng.integers(4, 22)), letters(rng.integers(4, 12)).capitalize(), letters(rng.integers(3, 9)) + "." + letters(3), "".join(some(3))), "", ""
+        return "", pick(letters(rng.integers(4, 22)), letters(rng.integers(4, 12)).capitalize(), letters(rng.integers(3, 9)) + "." + letters(3), "".join(some(3)), "".join(some(2)).upper(), letters(rng.integers(4, 16)).upper() + "!!"), "", ""
     return "", pick(number(0, 100), number(0, 5000), f"{number(0, 10)}.{number(0, 10)}", f"{number(1, 10)}.{number(0, 30)}.{number(0, 9)}", f"20{digits(2)}-{number(1, 13)}-{number(1, 32)}", f"{number(0, 24)}:{digits(2)}", f"${number(1, 900)}.{digits(2)}", f"https://{letters(6)}.{letters(3)}/{letters(5)}", f"@{letters(6)}", f'"{letters(6)}"', f"({digits(4)})", f"{number(1, 100)}%", f"{letters(4)}.{letters(3)}", f"n = {number(0, 99)}", f"+{number(1, 50)}"), "", ""
 
 
