@@ -1,7 +1,7 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-A fingerprint has 128 bits, each the majority over the text's word pairs (a
-text of one word uses that word).  Two documents are near duplicates if their
+A fingerprint has 128 bits, each the majority over the text's distinct word
+pairs (a text of one word uses that word); in a draw the least pair decides.  Two documents are near duplicates if their
 fingerprints differ in at most ``RADIUS`` bits.  Equal fingerprints are folded
 first; the distinct ones are ordered by population count and packed in tiles of
 ``TILE``, and every pair of tiles whose population counts can be within the
@@ -50,31 +50,34 @@ def _bit_counts(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _features(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that have a word, their distinct word pairs in order (a single word for itself), and the offsets of those."""
+    pairs, places, _ = tk.shingles(h, offsets, 2)
+    single = np.flatnonzero(np.diff(offsets) == 1)
+    row = np.concatenate([np.repeat(np.arange(len(offsets) - 1), np.diff(places)), single]).astype(np.uint64)
+    key = np.sort(row << np.uint64(44) | np.concatenate([pairs, tk.mix64(h[offsets[single]])]) >> np.uint64(20))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    rows, starts = np.unique(key >> np.uint64(44), return_index=True)
+    return rows.astype(np.int64), tk.mix64(key & np.uint64((1 << 44) - 1)), np.append(starts, len(key))
+
+
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The rows that have a word, and their fingerprints as two columns of 64 bits."""
     h, off = tk.words(texts)
-    rows, prints = [], []
+    rows, prints = [np.zeros(0, np.int64)], [np.zeros((0, BITS // 64), np.uint64)]
     for lo, hi in tk.blocks(off, 1 << 18):
-        words, local = h[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-        pairs, places, _ = tk.shingles(words, local, 2)
-        n, single = np.diff(places), np.diff(local) == 1
-        if single.any():
-            pairs = np.insert(pairs, places[:-1][single], tk.mix64(words[local[:-1][single]]))
-            n = n + single
-        kept = np.flatnonzero(n)
+        kept, features, cuts = _features(h[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         if not len(kept):
             continue
-        cuts = np.zeros(len(kept) + 1, dtype=np.int64)
-        np.cumsum(n[kept], out=cuts[1:])
+        n = np.diff(cuts)[:, None]
         both = np.empty((len(kept), BITS // 64), dtype=np.uint64)
         for w in range(BITS // 64):
-            seeded = pairs if w == 0 else tk.mix64(pairs ^ np.uint64(0x9E3779B97F4A7C15 * w))
-            bits = 2 * _bit_counts(seeded, cuts) > n[kept][:, None]
-            both[:, w] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+            seed = np.uint64(0x9E3779B97F4A7C15 * w)
+            twice = 2 * _bit_counts(tk.mix64(features ^ seed), cuts)
+            even = np.unpackbits(tk.mix64(~features[cuts[:-1]] ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+            both[:, w] = np.packbits((twice > n) | (twice == n) & even, axis=1, bitorder="little").view(np.uint64)[:, 0]
         rows.append(kept + lo)
         prints.append(both)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)
     return np.concatenate(rows), np.concatenate(prints)
 
 

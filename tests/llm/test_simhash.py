@@ -16,10 +16,18 @@ def slow_print(text):
     if not len(h):
         return None
     pairs = tk.shingles(h, off, 2)[0] if len(h) > 1 else tk.mix64(h)
+    features = sorted({int(p) >> 20 for p in pairs})
+    mixed = [int(x) for x in tk.mix64(np.array(features, np.uint64))]
     out = []
     for w in range(2):
-        x = pairs if w == 0 else tk.mix64(pairs ^ np.uint64(0x9E3779B97F4A7C15))
-        out.append(sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > len(x)))
+        seed = 0x9E3779B97F4A7C15 * w
+        x = [int(v) for v in tk.mix64(np.array([m ^ seed for m in mixed], np.uint64))]
+        draw = int(tk.mix64(np.array([mixed[0] ^ (2**64 - 1) ^ seed], np.uint64))[0])
+        bits = 0
+        for b in range(64):
+            twice = 2 * sum(v >> b & 1 for v in x)
+            bits |= (1 if twice > len(x) else draw >> b & 1 if twice == len(x) else 0) << b
+        out.append(bits)
     return tuple(out)
 
 
@@ -119,3 +127,11 @@ def test_empty_table(spark):
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)], "a long, b long")
     assert {r.node: r.root for r in simhash.components(edges).collect()} == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
+
+
+def test_repeated_words_are_no_likeness(spark):
+    """Junk of words said over and over is like its copies, not like other junk."""
+    rng = random.Random(4)
+    texts = {i: " ".join(w for x in words(rng, 8).split() + ["the"] * 2 for w in [x] * 60) for i in range(150)}
+    texts[200] = texts[3] + " more"
+    assert {r.doc_id: r.keep_id for r in simhash.groups(documents(spark, list(texts.items()))).collect()} == {200: 3}
