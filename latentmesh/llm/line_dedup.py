@@ -34,6 +34,8 @@ from .shared import fresh, small_or_not, written
 from .textkernel import mix64
 
 SHARDS = 64
+#: A new index has a shard for so many lines, so that a task can hold a shard's keys and filters.
+SHARD_LINES = 1_000_000
 SLOTS = 4
 LOAD = 0.9
 
@@ -236,9 +238,16 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.when(F.col(key).isNull(), F.col("text")).otherwise(rest).alias("text"), F.coalesce(F.size(key), F.lit(0)).alias("removed"))
 
 
-def dedup(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shards_for(docs: DataFrame) -> int:
+    """Shards for the lines of ``docs``, counted by their newlines."""
+    text = F.col("text").cast("string")
+    most = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    return max(SHARDS, -(-most // SHARD_LINES))
+
+
+def dedup(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """``doc_id, text, removed`` after inserting ``docs`` in an empty index."""
-    _, gone = LineIndex.empty(docs.sparkSession, shards).insert(docs)
+    _, gone = LineIndex.empty(docs.sparkSession, shards or shards_for(docs)).insert(docs)
     return without(docs, gone)
 
 

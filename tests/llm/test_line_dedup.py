@@ -113,3 +113,13 @@ def test_ties_keep_the_first_line(spark):
     got = line_dedup.dedup(documents(spark, [(2, "b\na"), (1, "a\na\nb")]), 2)
     assert {r.doc_id: (r.text, r.removed) for r in got.collect()} == {1: ("a\nb", 1), 2: ("", 2)}
     assert got.where(F.col("removed") > 0).count() == 2
+
+
+def test_shards_grow_with_the_lines(spark, monkeypatch):
+    docs = documents(spark, [(1, "a\nb\nc"), (2, None), (3, "")])
+    assert line_dedup.shards_for(docs) == line_dedup.SHARDS
+    monkeypatch.setattr(line_dedup, "SHARDS", 1)
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 2)
+    assert line_dedup.shards_for(docs) == 2
+    assert line_dedup.shards_for(docs.where("false")) == 1
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()} == {1: "a\nb\nc", 2: None, 3: ""}
