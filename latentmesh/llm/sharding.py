@@ -6,10 +6,13 @@ differencing method makes them: repeatedly the two partial partitions of the
 largest spread become one, the largest part of the one with the smallest part
 of the other.
 
-It runs in levels.  Buckets of about ``BUCKET`` groups are differenced side by
-side; each leaves one partial partition of ``shards`` parts, whose parts are
-again differenced, ``FAN_IN`` buckets at a time, until one is left.  So the work
-and the memory of a task are bounded whatever the number of groups.
+Groups are hashed into buckets of about ``BUCKET``, so that the work and the
+memory of a task are bounded whatever the number of groups.  A group that is
+larger than a shard's share of a bucket is kept out of them: those, far fewer,
+are spread first, by the same method, and what they leave uneven is a row of
+each bucket's differencing in proportion to its bytes, so every bucket fills its
+part of it.  Of ``FAN_IN`` buckets one is differenced after the others and
+evens out what they leave, and so on up to a last one for the whole table.
 
 Defined cases: a null and an empty text have no bytes and are groups of their
 own.  Repeated rows are in one group.  With fewer groups than shards some
@@ -66,46 +69,76 @@ def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, sums[-1]
 
 
-def _first_level(shards: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+def fill(sizes: np.ndarray, before: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The shard of each group by differencing the groups together with ``before``, the shards' bytes so far."""
+    turn = np.random.default_rng(seed).permutation(len(before))  # else the first shards would get every bucket's odd bytes
+    parts = np.zeros((len(sizes) + 1, len(before)), dtype=np.int64)
+    parts[:-1, 0] = sizes
+    parts[-1] = before[turn]
+    shard, _ = difference(parts)
+    name = np.empty(len(before), dtype=np.int32)
+    name[shard[-1]] = turn
+    return name[shard[:-1, 0]]
+
+
+def _fill(uneven: list[int], total: int):
+    """Fills a bucket; ``uneven`` are the shards' bytes of larger groups, to be evened by the ``total`` bytes of all buckets."""
+
+    def run(rows: pd.DataFrame, done: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bytes", "key"], ascending=[False, True])
-        parts = np.zeros((len(rows), shards), dtype=np.int64)
-        parts[:, 0] = rows["bytes"]
-        shard, _ = difference(parts)
-        return pd.DataFrame({"key": rows["key"], "bucket": rows["bucket"], "bytes": rows["bytes"], "part": shard[:, 0]})
+        before = np.zeros(len(uneven), dtype=np.int64)
+        before[done["shard"].to_numpy(dtype=np.int64)] = done["bytes"]
+        share = (int(rows["bytes"].sum()) + int(before.sum())) / max(1, total)
+        before += (np.array(uneven, dtype=np.float64) * share).astype(np.int64)
+        seed = int(rows["bucket"].iloc[0]) if len(rows) else 0
+        return pd.DataFrame({"key": rows["key"], "bucket": rows["bucket"], "bytes": rows["bytes"], "shard": fill(rows["bytes"].to_numpy(), before, seed)})
 
     return run
 
 
-def _next_level(shards: int, fan_in: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        buckets = np.sort(rows["bucket"].unique())
-        parts = np.zeros((len(buckets), shards), dtype=np.int64)
-        parts[np.searchsorted(buckets, rows["bucket"]), rows["part"]] = rows["bytes"]
-        shard, _ = difference(parts)
-        b, p = np.meshgrid(buckets, np.arange(shards), indexing="ij")
-        return pd.DataFrame({"bucket": b.ravel(), "part": p.ravel(), "to_bucket": b.ravel() // fan_in, "to_part": shard.ravel(), "bytes": parts.ravel()})
+def _spread(groups: DataFrame, buckets: int, fan_in: int, uneven: list[int], total: int) -> DataFrame:
+    """``key, bucket, bytes, shard`` of groups of which none is large for its bucket."""
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    width, placed = 1, None
+    while True:
+        last = width >= buckets
 
-    return run
+        def turn(at):  # the buckets of this round
+            return at == 0 if last else (at % width == 0) & (at % (width * fan_in) != 0)
+
+        if placed is None:
+            done = groups.sparkSession.createDataFrame([], "bucket long, shard int, bytes long")
+        else:
+            done = placed.groupBy((F.floor(F.col("bucket") / width) * width).alias("bucket"), "shard").agg(F.sum("bytes").alias("bytes")).where(turn(F.col("bucket")))
+        now = groups.where(turn(F.col("bucket"))).groupBy("bucket").cogroup(done.groupBy("bucket"))
+        filled = written(now.applyInPandas(_fill(list(uneven), total), "key long, bucket long, bytes long, shard int"), "sharding-placed")
+        placed = filled if placed is None else placed.unionByName(filled)
+        if last:
+            return placed
+        width *= fan_in
 
 
 def plan(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET, fan_in: int = FAN_IN) -> DataFrame:
     """``key, shard`` for the rows ``key, bytes`` of ``groups``, one for each group."""
-    groups = written(groups.select("key", "bytes"), "sharding-groups")
-    buckets = max(1, math.ceil(groups.count() / bucket))
-    placed = groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    placed = written(placed.groupBy("bucket").applyInPandas(_first_level(shards), "key long, bucket long, bytes long, part int"), "sharding-placed")
-    steps = []
-    left = buckets
-    now = placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
-    while left > 1:
-        step = written(now.groupBy(F.floor(F.col("bucket") / fan_in).alias("g")).applyInPandas(_next_level(shards, fan_in), "bucket long, part int, to_bucket long, to_part int, bytes long"), "sharding-level")
-        steps.append(step)
-        now = step.groupBy(F.col("to_bucket").alias("bucket"), F.col("to_part").alias("part")).agg(F.sum("bytes").alias("bytes"))
-        left = math.ceil(left / fan_in)
-    for step in steps:
-        placed = placed.join(small_or_not(step.drop("bytes"), 32), ["bucket", "part"]).select("key", F.col("to_bucket").alias("bucket"), F.col("to_part").alias("part"))
-    return placed.select("key", F.col("part").alias("shard"))
+    bucket = max(bucket, 2 * shards)  # so that large groups are always fewer than all
+    rest = written(groups.select("key", "bytes"), "sharding-groups")
+    found = []
+    while True:
+        n, total = rest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        buckets = max(1, math.ceil(n / bucket))
+        cut = total if buckets == 1 else total // (shards * buckets)
+        if n or not found:
+            found.append((rest.where(F.col("bytes") <= cut), buckets, total))
+        if buckets == 1:
+            break
+        rest = rest.where(F.col("bytes") > cut)
+    uneven, larger, out = [0] * shards, 0, None
+    for part, buckets, total in reversed(found):  # the largest groups first
+        placed = _spread(part, buckets, fan_in, uneven, total - larger)
+        for at, more in placed.groupBy("shard").agg(F.sum("bytes")).collect():
+            uneven[at] += more
+        larger, out = total, placed if out is None else out.unionByName(placed)
+    return out.select("key", "shard")
 
 
 def content_key(text: Column) -> Column:

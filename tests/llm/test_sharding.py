@@ -60,6 +60,18 @@ def test_groups_stay_whole_and_bytes_are_even(spark, bucket, fan_in):
     assert max(size) - min(size) <= (largest // 10 if bucket > 300 else largest)  # twenty groups a bucket can't be spread as evenly
 
 
+@pytest.mark.parametrize(("bucket", "fan_in"), [(1000, 256), (200, 4)])
+@pytest.mark.parametrize("giants", [[300], [300, 150, 40, 40, 40]])
+def test_giant_groups_are_evened_out(spark, bucket, fan_in, giants):
+    rng = random.Random(3)
+    sizes = [rng.randint(800, 2400) for _ in range(3000)] + [1000 * g for g in giants]
+    groups = spark.createDataFrame(list(enumerate(sizes)), "key long, bytes long")
+    got = {r.key: r.shard for r in sharding.plan(groups, 16, bucket, fan_in).collect()}
+    assert sorted(got) == list(range(len(sizes)))
+    shards = [sum(s for k, s in enumerate(sizes) if got[k] == j) for j in range(16)]
+    assert max(shards) - min(shards) <= 2400
+
+
 def test_same_result_in_any_order(spark):
     rng = random.Random(2)
     docs = documents(spark, [(i, words(rng, 5)) for i in range(100)])
