@@ -2,8 +2,10 @@
 
 An index is a folder of tables, one version after the other:
 
-* ``refs``: a log of ``shard, key, n``: a line's 128-bit hash and by how much
-  the number of its occurrences grew or, for deletions, fell.
+* ``refs``: a log of ``shard, key, doc_id, line, batch, n``: a line's 128-bit
+  hash, where it occurs, the insertion that brought it, and 1 or, for deletions,
+  -1.  Of a line's occurrences the first by batch, ``doc_id`` and line number is
+  the one that stays in the texts.
 * ``filters``: for each shard its cuckoo filters, each twice as large as the one
   before it; a new one is added when the last is full, so no key is ever lost.
 
@@ -11,7 +13,9 @@ Inserting documents asks the filters first: a line that no filter has is new,
 without a look at the log; only the lines that a filter may have are looked up
 exactly.  Deleting documents lowers the counts and takes lines that nothing
 refers to any more out of the filters, so deleting what was inserted leaves the
-index as it was.  Of a line that is new to the index the first occurrence, by
+index as it was.  Where the occurrence that stays is deleted and others are
+left, the first of them is returned, for its line must come back to its text.
+Of a line that is new to the index the first occurrence, by
 ``doc_id`` and line number, stays; a line that the index has goes.
 
 Defined cases: lines end at a newline; a line of blanks is no line and always
@@ -163,7 +167,8 @@ def _remove(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 
 _FILTERS = "shard int, level int, slots binary"
-_REFS = "shard int, key binary, n long"
+_REFS = "shard int, key binary, doc_id long, line int, batch int, n int"
+_PLACE = ["shard", "key", "doc_id", "line"]
 
 
 def lines(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -181,6 +186,7 @@ class LineIndex:
     refs: DataFrame
     filters: DataFrame
     shards: int = SHARDS
+    batch: int = 0
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int = SHARDS) -> LineIndex:
@@ -197,30 +203,43 @@ class LineIndex:
         return self.refs.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0")
 
     def compacted(self) -> LineIndex:
-        """The same with one row for each line in the log."""
-        return LineIndex(self.spark, written(self.refs.groupBy("shard", "key").agg(F.sum("n").alias("n")).where("n > 0"), "lines-refs"), self.filters, self.shards)
+        """The same with one row for each occurrence in the log."""
+        return LineIndex(self.spark, written(_live(self.refs), "lines-refs"), self.filters, self.shards, self.batch)
 
     def insert(self, docs: DataFrame) -> tuple[LineIndex, DataFrame]:
         """The index with the lines of ``docs``, and ``doc_id, line`` of the occurrences that must go."""
-        found = lines(docs, self.shards)
-        new = written(found.groupBy("shard", "key").agg(F.count_distinct("doc_id", "line").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")) if _repeats(docs) else found.groupBy("shard", "key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")), "lines-new")
+        found = lines(docs, self.shards).select(_PLACE)
+        found = written(found.distinct() if _repeats(docs) else found, "lines-found")
+        new = written(found.groupBy("shard", "key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")), "lines-new")
         known = written(self._known(new.select("shard", "key")).select("key"), "lines-known") if not self.filters.isEmpty() else self.spark.createDataFrame([], "key binary")
         added = new.join(small_or_not(known, 64), "key", "left_anti")
         filters = written(added.select("shard", "key").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_add, _FILTERS), "lines-filters")
-        refs = self.refs.unionByName(new.select("shard", "key", "n"))
+        refs = self.refs.unionByName(found.withColumns({"batch": F.lit(self.batch + 1), "n": F.lit(1)}))
         seen = known.withColumn("seen", F.lit(True))
         heavy = written(new.join(small_or_not(seen, 64), "key", "left").where("n > 1 or seen").select("key", "seen", "first"), "lines-heavy")
         gone = found.join(small_or_not(heavy, 96), "key").where(F.col("seen").isNotNull() | (F.struct("doc_id", "line") != F.col("first"))).select("doc_id", "line")
-        return LineIndex(self.spark, refs, filters, self.shards), gone
+        return LineIndex(self.spark, refs, filters, self.shards, self.batch + 1), gone
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        """The index without the lines of ``docs``, which must have been inserted."""
-        old = written(lines(docs, self.shards).groupBy("shard", "key").agg((-F.count_distinct("doc_id", "line")).alias("n")), "lines-old")
-        refs = self.refs.unionByName(old)
-        left = refs.join(old.select("key"), "key", "left_semi").groupBy("shard", "key").agg(F.sum("n").alias("n"))
-        dead = written(left.where("n <= 0").select("shard", "key"), "lines-dead")
+        """The index without the lines of ``docs``; what was never inserted is passed over."""
+        return self.withdraw(docs)[0]
+
+    def withdraw(self, docs: DataFrame) -> tuple[LineIndex, DataFrame]:
+        """The index without the lines of ``docs``, and ``doc_id, line`` of the occurrences, gone so far, that must come back."""
+        old = written(lines(docs, self.shards).select(_PLACE).distinct(), "lines-old")
+        there = written(_live(self.refs.join(old.select("key"), "key", "left_semi")), "lines-there")
+        out = written(old.join(there.groupBy(_PLACE).agg(F.max("batch").alias("batch")), _PLACE).withColumn("n", F.lit(-1)), "lines-out")
+        left = written(there.join(out.select(*_PLACE, "batch"), [*_PLACE, "batch"], "left_anti"), "lines-left")
+        first = lambda df, to: df.groupBy("key").agg(F.min(F.struct("batch", "doc_id", "line")).alias(to))
+        back = first(there, "was").join(first(left, "now"), "key").where("was != now").select("now.doc_id", "now.line")
+        dead = written(out.select("shard", "key").distinct().join(left.select("key"), "key", "left_anti"), "lines-dead")
         filters = written(dead.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_remove, _FILTERS), "lines-filters")
-        return LineIndex(self.spark, written(refs, "lines-refs"), filters, self.shards)
+        return LineIndex(self.spark, written(self.refs.unionByName(out), "lines-refs"), filters, self.shards, self.batch), back
+
+
+def _live(refs: DataFrame) -> DataFrame:
+    """The occurrences of a log that weren't deleted."""
+    return refs.groupBy(*_PLACE, "batch").agg(F.sum("n").cast("int").alias("n")).where("n > 0")
 
 
 def _repeats(docs: DataFrame) -> bool:

@@ -66,6 +66,32 @@ def test_incremental_and_reversible(spark):
     assert sum(slots(two.delete(d1).delete(d2)).values()) == 0
 
 
+def test_deleting_the_first_holder_brings_lines_back(spark):
+    rng = random.Random(5)
+    pool = [words(rng, 4) for _ in range(12)]
+    rows = lined(rng, 60, pool)
+    batches = [rows[30:], rows[:30]]  # the later ids come first
+    index, gone = LineIndex.empty(spark, 4), set()
+    for batch in batches:
+        index, more = index.insert(documents(spark, batch))
+        gone |= set(map(tuple, more.collect()))
+    order = [(i, k, line) for batch in batches for i, t in batch for k, line in enumerate(t.split("\n")) if line.strip()]
+    for deleted in (range(30, 40), range(0, 50, 3), range(60)):
+        index, back = index.withdraw(documents(spark, [r for r in rows if r[0] in deleted]))
+        back = list(map(tuple, back.collect()))
+        assert set(back) <= gone and len(back) == len(set(back))
+        gone -= set(back)
+        order = [x for x in order if x[0] not in deleted]
+        kept, want = set(), set()
+        for i, k, line in order:
+            if line in kept:
+                want.add((i, k))
+            kept.add(line)
+        assert {x for x in gone if x[0] not in deleted} == want
+        gone = want
+    assert counted(index) == {}
+
+
 @pytest.mark.parametrize("n", [1, 50, 5000])
 def test_cuckoo_has_all_keys(n):
     rng = np.random.default_rng(n)
