@@ -11,8 +11,8 @@ An index is a folder of tables, one version after the other:
 
 Inserting documents asks the filters first: a line that no filter has is new,
 without a look at the log; only the lines that a filter may have are looked up
-exactly.  Deleting documents lowers the counts and takes lines that nothing
-refers to any more out of the filters, so deleting what was inserted leaves the
+exactly.  Deleting documents lowers the counts and makes the filters of shards
+with lines that nothing refers to any more anew from the rest, so deleting what was inserted leaves the
 index as it was.  Where the occurrence that stays is deleted and others are
 left, the first of them is returned, for its line must come back to its text.
 Of a line that is new to the index the first occurrence, by
@@ -27,6 +27,7 @@ occurrence.  Columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +41,8 @@ from .textkernel import mix64
 SHARDS = 64
 #: A new index has a shard for so many lines, so that a task can hold a shard's keys and filters.
 SHARD_LINES = 1_000_000
+#: op8 inserts so many batches, so that the later ones ask the filters of those before.
+BATCHES = 2
 SLOTS = 4
 LOAD = 0.9
 
@@ -157,13 +160,14 @@ def _add(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 
 def _remove(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    shard = int((keys if len(keys) else filters)["shard"].iloc[0])
-    found, h = _filters(filters), np.sort(_hash64(keys["key"]))
-    for f in found:
-        h = h[f.remove(h)] if len(h) else h
-    while found and not found[-1].slots.any():
-        found.pop()
-    return _rows(shard, found)
+    """A shard's filters made anew of the keys that are still ``live``; as they are if no keys are given.
+
+    A key's print can't be taken out where it is met first: an equal print in an older filter may be another key's.
+    """
+    if not len(keys):
+        return filters
+    left = keys[keys["live"]] if "live" in keys else keys.iloc[:0]
+    return _add(left, filters.iloc[:0]) if len(left) else filters.iloc[:0]
 
 
 _FILTERS = "shard int, level int, slots binary"
@@ -232,9 +236,11 @@ class LineIndex:
         left = written(there.join(out.select(*_PLACE, "batch"), [*_PLACE, "batch"], "left_anti"), "lines-left")
         first = lambda df, to: df.groupBy("key").agg(F.min(F.struct("batch", "doc_id", "line")).alias(to))
         back = first(there, "was").join(first(left, "now"), "key").where("was != now").select("now.doc_id", "now.line")
-        dead = written(out.select("shard", "key").distinct().join(left.select("key"), "key", "left_anti"), "lines-dead")
-        filters = written(dead.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_remove, _FILTERS), "lines-filters")
-        return LineIndex(self.spark, written(self.refs.unionByName(out), "lines-refs"), filters, self.shards, self.batch), back
+        dead = out.select("shard", "key").join(left.select("key"), "key", "left_anti").select("shard").distinct()
+        refs = written(self.refs.unionByName(out), "lines-refs")
+        keys = refs.join(dead, "shard", "left_semi").groupBy("shard", "key").agg((F.sum("n") > 0).alias("live"))
+        filters = written(keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_remove, _FILTERS), "lines-filters")
+        return LineIndex(self.spark, refs, filters, self.shards, self.batch), back
 
 
 def _live(refs: DataFrame) -> DataFrame:
@@ -265,8 +271,14 @@ def shards_for(docs: DataFrame) -> int:
 
 
 def dedup(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """``doc_id, text, removed`` after inserting ``docs`` in an empty index."""
-    _, gone = LineIndex.empty(docs.sparkSession, shards or shards_for(docs)).insert(docs)
+    """``doc_id, text, removed`` after inserting ``docs`` in an empty index, in ``BATCHES`` ranges of ``doc_id``, the lowest first."""
+    index, gone = LineIndex.empty(docs.sparkSession, shards or shards_for(docs)), None
+    i = F.col("doc_id").cast("long")
+    cuts = docs.select(i.cast("double").alias("i")).approxQuantile("i", [k / BATCHES for k in range(1, BATCHES)], 0.05)
+    bounds = [None, *sorted({math.floor(x) for x in cuts}), None]
+    for low, high in zip(bounds, bounds[1:]):
+        index, more = index.insert(docs.where((F.lit(True) if low is None else i > low) & (F.lit(True) if high is None else i <= high)))
+        gone = more if gone is None else gone.unionByName(more)
     return without(docs, gone)
 
 

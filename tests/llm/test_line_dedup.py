@@ -116,6 +116,45 @@ def test_full_filters_grow():
     assert not any(np.frombuffer(s, np.uint16).any() for s in line_dedup._remove(keys, made)["slots"])
 
 
+def test_surviving_keys_stay_in_the_filters():
+    import pandas as pd
+
+    key = lambda x: int(x).to_bytes(8, "little") * 2
+    older = Cuckoo.sized(8000)
+    prints, at, _ = older._places(np.arange(400_000, dtype=np.uint64))
+    last: dict = {}
+    pair = next((last[k], i) for i, k in enumerate(zip(prints, at)) if last.setdefault(k, i) != i)  # one print and bucket
+    rest = [i for i in range(500_000, 512_000)]
+    filters = line_dedup._rows(0, [])
+    for group in ([pair[0], *rest[:6000]], rest[6000:], [pair[1]]):
+        filters = line_dedup._add(pd.DataFrame({"shard": 0, "key": [key(x) for x in group]}), filters)
+    assert len(filters) > 1
+    keys = pd.DataFrame({"shard": 0, "key": [key(x) for x in [*pair, *rest]]})
+    keys["live"] = [True, False] + [i % 3 > 0 for i in range(len(rest))]
+    assert line_dedup._probe(keys[keys["live"]], line_dedup._remove(keys, filters))["maybe"].all()
+
+
+def test_deletes_over_several_levels(spark):
+    index = LineIndex.empty(spark, 1)
+    docs = [documents(spark, [(i, "\n".join(f"line {i} {j}" for j in range(400))) for i in range(a, a + 6)]) for a in (0, 6, 12)]
+    for d in docs:
+        index, _ = index.insert(d)
+    assert index.filters.count() > 1
+    index = index.delete(docs[1])
+    assert sum(slots(index).values()) == 4800 == len(counted(index))
+    for d in (docs[0], docs[2]):
+        assert index.insert(d.withColumn("doc_id", F.col("doc_id") + 100))[1].count() == 2400
+
+
+def test_op8_probes_its_filters(spark, monkeypatch):
+    asked = []
+    known = LineIndex._known
+    monkeypatch.setattr(LineIndex, "_known", lambda self, keys: asked.append(known(self, keys)) or asked[-1])
+    rows = [(i, f"a\nonly {i}\nb") for i in range(40)]
+    assert {r.doc_id: r.text for r in line_dedup.dedup(documents(spark, rows), 2).collect()} == slow(rows)
+    assert asked and asked[0].count() == 2
+
+
 def test_awkward_rows(spark):
     rows = awkward(random.Random(0))
     docs = with_clashes(documents(spark, rows))
