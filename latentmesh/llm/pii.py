@@ -6,7 +6,8 @@ numbers and keys are set at known places, besides those that strict patterns
 find there already.  ``spans`` then decodes every document in full: windows of
 ``WINDOW`` characters that overlap by ``OVERLAP`` are decoded side by side, and
 of overlapping spans of one document's windows those with the most context
-around them are taken first, over the document as a whole.
+around them are taken first, over the document as a whole.  Pieces of a span
+that is longer than the overlap, cut by the windows' edges, are joined before.
 
 A CRF tag is a kind or none.  One kind can only follow another after none.
 
@@ -220,10 +221,22 @@ def windows(length: int, window: int = WINDOW, overlap: int = OVERLAP) -> list[t
         at += window - overlap
 
 
+def joined(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The same, but overlapping pieces of one kind without context, which windows' edges cut, become their union."""
+    out, last = [s for s in found if s[3]], {}
+    for a, b, kind, _ in sorted(s for s in found if not s[3]):
+        if kind in last and a < last[kind][1] <= b:
+            a = last[kind][0]
+        elif kind in last:
+            out.append((*last[kind], kind, 0))
+        last[kind] = (a, b)
+    return out + [(a, b, kind, 0) for kind, (a, b) in last.items()]
+
+
 def reconcile(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
     """Of (start, end, kind, context) those that don't overlap, the most context first; in order of their starts."""
     taken: list[tuple[int, int, int]] = []
-    for a, b, kind, _ in sorted(found, key=lambda s: (-s[3], s[0], -s[1], s[2])):
+    for a, b, kind, _ in sorted(joined(found), key=lambda s: (-s[3], s[0], -s[1], s[2])):
         if all(b <= x or y <= a for x, y, _ in taken):
             taken.append((a, b, kind))
     return sorted(taken)

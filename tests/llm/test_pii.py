@@ -112,6 +112,14 @@ def test_windows_cover_and_reconcile(model):
     assert len(a & b) >= 0.95 * max(len(a), len(b))
 
 
+@pytest.mark.parametrize(("start", "length"), [(660, 120), (600, 97), (10, 96), (700, 2500), (0, 3000)])
+def test_spans_longer_than_the_overlap_stay_whole(monkeypatch, start, length):
+    monkeypatch.setattr(pii, "_decode", lambda model, chars, lengths: np.where(chars == pii.codes("X")[0], 5, 0).astype(np.uint8))
+    text = "a" * start + "X" * length + "a" * 900 + "X" * 20 + "a" * 500
+    want = [(start, start + length, "secret"), (start + length + 900, start + length + 920, "secret")]
+    assert pii.find(None, [text]) == [want]
+
+
 def test_awkward_rows(spark, model):
     rows = awkward(random.Random(0)) + [(20, "mail me.22@mail4.example.com now"), (20, "mail me.22@mail4.example.com now"), (None, "x@mail.example.com")]
     rows.append((21, "word " * 30_000 + "some one.33@mail2.example.com " + "word " * 100))
