@@ -135,6 +135,20 @@ def test_resume_fits_only_the_rest(spark, cohort):
     assert got["TP53_M"] == (0.123, "resumed") and got["KRAS_M"][1] == "ok" and "GONE_M" not in got
 
 
+def test_compare_weighs_samples_by_all_features(cohort, spark):
+    more = [(f"s{i}", f"X{k}_M", 1) for i in (0, 4, 8, 9) for k in range(12)]  # most of them beyond the top
+    wide = Cohort(cohort.counts.unionByName(spark.createDataFrame(more, cohort.counts.schema)))
+    top = counts.top(counts.totals(wide.counts), 3)
+    tables = fit.contingency(fit.joint_counts(wide.counts, top), wide.counts, top, F.lit(10))
+    per = {}
+    for r in wide.counts.collect():
+        per[r["sample"]] = per.get(r["sample"], 0) + 1
+    sums = spark.createDataFrame([(s, list(per.values()).count(s)) for s in set(per.values())], "sample_sum long, n long")
+    want = {(r.a, r.b): (r.me_p, r.co_p) for r in baselines.weighted_test(tables, sums).collect()}
+    got, wrong = compare(wide, 3)
+    assert not wrong and {(r.a, r.b): (r.weighted_me_p, r.weighted_co_p) for r in got.collect()} == want
+
+
 def test_compare_isolates_failures(cohort, spark):
     table, wrong = compare(cohort, 3)
     assert not wrong and table.count() == 3
