@@ -10,15 +10,20 @@ shingle is a candidate if it is long enough and if what can still be matched
 from that position on reaches the share; the candidates are verified exactly,
 over windows of the item's size.
 
-The items' shingles are broadcast in slices of at most ``SLICE_SHINGLES``; a
-larger benchmark takes more passes over the documents.
+The items' shingles are broadcast in slices of about ``SLICE_SHINGLES``: items
+are hashed to slices, and the driver holds one slice at a time; a larger
+benchmark takes more passes over the documents.  A document is worked on in
+runs of ``RUN_WORDS`` words, so memory doesn't grow with its length but for the
+hashes of its words.
 
 Defined cases: an item of fewer than ``WORDS`` words is one shingle of all its
 words; an item without words, or with a null text, matches nothing; items of
 equal text each match.  A null or empty document holds nothing.  Rows are
 judged one by one, so repeated rows get the same result; ``holds`` leaves out
-rows with a null ``doc_id`` or an item with a null ``item_id``, ``clean``
-judges and keeps rows whatever their ``doc_id`` is.
+rows with a null ``doc_id`` or an item with a null ``item_id``, and an id that
+isn't a whole number is null; ``clean`` judges and keeps rows whatever their
+``doc_id`` is.  ``text`` is found whatever its case; other columns may have any
+names, dots among them, and are kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -33,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .shared import opened, whole_number, written
 
 WORDS = 5
 SHARE = 0.8
 SLICE_SHINGLES = 1_000_000
+RUN_WORDS = 1 << 15
 
 
 @dataclass
@@ -67,23 +74,6 @@ def _distinct(ids: list[int], texts: list[str], n: int) -> list[tuple[int, int,
     return out
 
 
-def _slices(items: list, most: int) -> Iterator[list]:
-    part, total = [], 0
-    for item in items:
-        if part and total + len(item[3]) > most:
-            yield part
-            part, total = [], 0
-        part.append(item)
-        total += len(item[3])
-    if part:
-        yield part
-
-
-def _shingles_of(h: np.ndarray, off: np.ndarray, widths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for width in widths:
-        yield tk.shingles(h, off, int(width))
-
-
 def _lookup(values: np.ndarray, table: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``values`` that are in the sorted ``table``, and where in it."""
     maybe = np.flatnonzero(sieve[_slot(values, len(sieve))])
@@ -106,15 +96,28 @@ def _sieve(table: np.ndarray) -> np.ndarray:
     return bits
 
 
+def _hits(h: np.ndarray, off: np.ndarray, width: int, table: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, word positions in them and places in ``table`` of the rows' shingles that are in it."""
+    places, ats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(h) - width + 1, RUN_WORDS):
+        place, at = _lookup(tk.runs(h[lo : lo + RUN_WORDS + width - 1], width), table, sieve)
+        places.append(place + lo)
+        ats.append(at)
+    place, at = np.concatenate(places), np.concatenate(ats)
+    row = np.searchsorted(off, place, side="right") - 1
+    whole = place + width <= off[row + 1]  # else it goes on in the next row
+    row, place = row[whole], place[whole]
+    return row, place - off[row], at[whole]
+
+
 def _frequencies(share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, widths = share.value
         sieve, total = _sieve(table), np.zeros(len(table), dtype=np.int64)
         for batch in batches:
             h, off = tk.words(batch.column(0))
-            for s, cuts, _ in _shingles_of(h, off, widths):
-                place, at = _lookup(s, table, sieve)
-                row = np.searchsorted(cuts, place, side="right") - 1
+            for width in widths:
+                row, _, at = _hits(h, off, int(width), table, sieve)
                 total += np.bincount(np.unique(row * len(table) + at) % len(table), minlength=len(table))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["at", "docs"])
@@ -147,11 +150,9 @@ def _search(batch_texts: pa.Array, items: Items, sieve: np.ndarray) -> Iterator[
     h, off = tk.words(batch_texts)
     length = np.diff(off)
     for width in np.unique(items.width):
-        s, cuts, position = tk.shingles(h, off, int(width))
-        place, at = _lookup(s, items.hashes, sieve)
-        if not len(place):
+        row, position, at = _hits(h, off, int(width), items.hashes, sieve)
+        if not len(row):
             continue
-        row, position = np.searchsorted(cuts, place, side="right") - 1, position[place]
         owners = items.starts[at + 1] - items.starts[at]
         entry = np.repeat(items.starts[at] - np.concatenate([[0], np.cumsum(owners)[:-1]]), owners) + np.arange(owners.sum())
         row, position, at, item = np.repeat(row, owners), np.repeat(position, owners), np.repeat(at, owners), items.owners[entry]
@@ -176,10 +177,11 @@ def _prepared(docs: DataFrame, items: list, share: float) -> Items:
     sc = docs.sparkSession.sparkContext
     hashes = np.unique(np.concatenate([s for *_, s in items]))
     known = sc.broadcast((hashes, np.unique([w for _, _, w, _ in items])))
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(_frequencies(known), "at long, docs long").groupBy("at").agg(F.sum("docs").alias("docs"))
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(tk.tidy(_frequencies(known)), "at long, docs long").groupBy("at").agg(F.sum("docs").alias("docs"))
     often = np.zeros(len(hashes), dtype=np.int64)
     for row in counts.collect():  # at most one row for each of the slice's shingles
         often[row["at"]] = row["docs"]
+    known.destroy()
     need = np.array([math.ceil(share * len(s) - 1e-9) for *_, s in items])
     owners, at, prefix = [], [], []
     for k, (*_, s) in enumerate(items):
@@ -194,60 +196,70 @@ def _prepared(docs: DataFrame, items: list, share: float) -> Items:
     return Items(np.array(ids), np.array(size), np.array(width), need, hashes, owners[order], np.searchsorted(at[order], np.arange(len(hashes) + 1)), prefix[order], np.array([len(s) for *_, s in items]))
 
 
-def _benchmark(benchmark: DataFrame, words: int) -> list:
-    named = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().orderBy("item_id", "text")
-    out = []
-    part: list = []
-    for row in named.toLocalIterator():
-        part.append(row)
-        if len(part) == 4096:
-            out += _distinct([r.item_id for r in part], [r.text for r in part], words)
-            part = []
-    return out + (_distinct([r.item_id for r in part], [r.text for r in part], words) if part else [])
+_WORD = r"[a-z0-9\x{80}-\x{10FFFF}]++"
+
+
+def _benchmark(benchmark: DataFrame, words: int, slice_shingles: int) -> Iterator[list]:
+    """The items that have words, in slices; nothing for an empty benchmark."""
+    named = opened(benchmark, "item_id", "text")[0].select(whole_number("item_id").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    sized = written(named.withColumn("words", F.regexp_count(F.lower("text"), F.lit(_WORD))).where("words > 0"), "decontam-items")
+    slices = -(-(sized.agg(F.sum("words")).first()[0] or 0) // slice_shingles)
+    for k in range(slices):
+        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
+        if items := _distinct([r.item_id for r in rows], [r.text for r in rows], words):
+            yield items
+
+
+def _hold(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        sieve = _sieve(items.hashes)
+        for batch in batches:
+            hits = list(_search(batch.column(1), items, sieve))
+            rows, item, n, first = (np.array(c, dtype=np.int64) for c in zip(*hits)) if hits else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)), pa.array(items.ids[item].astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(items.count[item].astype(np.int32)), pa.array(first)],
+                names=["doc_id", "item_id", "matched", "shingles", "first_word"],
+            )
+
+    return run
+
+
+def _without(shared, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        sieve = _sieve(items.hashes)
+        for batch in batches:
+            stay = np.ones(batch.num_rows, dtype=bool)
+            stay[[row for row, *_ in _search(batch.column(at), items, sieve)]] = False
+            yield batch.filter(pa.array(stay))
+
+    return run
 
 
 def holds(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: float = SHARE, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
     """``doc_id, item_id, matched, shingles, first_word`` of each item that a document holds, at its best window."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, matched int, shingles int, first_word long"
-    found = None
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    for part in _slices(_benchmark(benchmark, words), slice_shingles):
-        shared = spark.sparkContext.broadcast(_prepared(named, part, share))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            sieve = _sieve(items.hashes)
-            for batch in batches:
-                hits = list(_search(batch.column(1), items, sieve))
-                rows, item, n, first = (np.array(c, dtype=np.int64) for c in zip(*hits)) if hits else [np.zeros(0, np.int64)] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(items.ids[item].astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(items.count[item].astype(np.int32)), pa.array(first)],
-                    names=["doc_id", "item_id", "matched", "shingles", "first_word"],
-                )
-
-        one = named.mapInArrow(run, schema)
-        found = one if found is None else found.unionByName(one)
-    return spark.createDataFrame([], schema) if found is None else found.distinct()
+    named = opened(docs, "doc_id", "text")[0].select(whole_number("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    found, last = spark.createDataFrame([], schema), None
+    for items in _benchmark(benchmark, words, slice_shingles):
+        if last is not None:  # a plan needs the items of one slice only
+            found = found.unionByName(written(last, "decontam-found"))
+        last = named.mapInArrow(tk.tidy(_hold(spark.sparkContext.broadcast(_prepared(named, items, share)))), schema)
+    return (found if last is None else found.unionByName(last)).distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, share: float = SHARE, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:
     """``docs`` without those that hold an item; their columns and rows are as they were."""
-    at, spark = docs.columns.index("text"), docs.sparkSession
-    kept = docs
-    for part in _slices(_benchmark(benchmark, words), slice_shingles):
-        shared = spark.sparkContext.broadcast(_prepared(docs, part, share))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            sieve = _sieve(items.hashes)
-            for batch in batches:
-                stay = np.ones(batch.num_rows, dtype=bool)
-                stay[[row for row, *_ in _search(batch.column(at), items, sieve)]] = False
-                yield batch.filter(pa.array(stay))
-
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+    spark = docs.sparkSession
+    kept, closed = opened(docs, "text")
+    at, last = kept.columns.index("text"), None
+    for items in _benchmark(benchmark, words, slice_shingles):
+        if last is not None:
+            kept = written(last, "decontam-kept")
+        last = kept.mapInArrow(tk.tidy(_without(spark.sparkContext.broadcast(_prepared(kept, items, share)), at)), kept.schema)
+    return closed(kept if last is None else last)
 
 
 _W = "[a-z0-9\\x{80}-\\x{10FFFF}]+"

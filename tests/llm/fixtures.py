@@ -28,3 +28,11 @@ def with_clashes(df):
 
     names = ["score", "shard", "keep_id", "f0", "copy", "rate", "mix_source", "mix_rate", "hash", "lines", "count_chars", "stat_upper", "shard_key", "row_order", "label", "kind"]
     return df.withColumns({n: F.lit(None).cast("string") if i % 2 else F.lit(i) for i, n in enumerate(names)})
+
+
+def odd_names(df):
+    """The needed columns in other cases, and columns with dots, blanks and operators' names in other cases."""
+    from pyspark.sql import functions as F
+
+    names = ["Doc_ID", "TEXT", "lang", "Source", "n_chars"]
+    return df.toDF(*names).select("*", *[F.lit(k).alias(n) for k, n in enumerate(["a.b", "x y", "Copy", "SHARD", "Score", "simhash_id", "_0", "`q`"])])

@@ -7,7 +7,7 @@ import pytest
 
 from latentmesh.llm import decontam
 
-from .fixtures import awkward, documents, with_clashes, words
+from .fixtures import awkward, documents, odd_names, with_clashes, words
 
 ITEMS = "item_id long, text string"
 
@@ -86,3 +86,26 @@ def test_empty_tables(spark):
     assert decontam.holds(docs, bench.where("false")).count() == 0
     assert decontam.clean(docs, bench.where("false")).count() == 1
     assert decontam.clean(docs, bench).count() == 0
+
+
+def test_names_and_ids_of_any_kind(spark):
+    docs = odd_names(documents(spark, [(1, "a b c d e f g"), (2, "x")]))
+    bench = spark.createDataFrame([("1", "a b c d e f"), ("n", "x")], "Item_ID string, Text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.holds(docs, bench).collect()] == [(1, 1)]
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and [r[0] for r in kept.collect()] == [2]
+
+
+def test_runs_of_words_meet_without_a_gap(spark, monkeypatch):
+    """Texts longer than a run, items across its edges and rows that end at them."""
+    rng = random.Random(8)
+    items = [(k, words(rng, 12)) for k in range(6)]
+    docs = [(d, " ".join([words(rng, rng.randint(0, 90)), items[d % 6][1], words(rng, rng.randint(0, 90)), items[(d + 1) % 6][1]])) for d in range(40)]
+    monkeypatch.setattr(decontam, "RUN_WORDS", 7)
+    kernel = decontam._prepared(documents(spark, docs), decontam._distinct([i for i, _ in items], [t for _, t in items], decontam.WORDS), decontam.SHARE)
+    import pyarrow as pa
+
+    found = decontam._search(pa.array([t for _, t in docs]), kernel, decontam._sieve(kernel.hashes))
+    got = {(docs[row][0], int(kernel.ids[item]), n, int(kernel.count[item]), first) for row, item, n, first in found}
+    assert got == slow(docs, items)
+    assert len(got) == 80
