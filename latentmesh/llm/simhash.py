@@ -6,13 +6,19 @@ fingerprints differ in at most ``RADIUS`` bits.  Equal fingerprints are folded
 first; the distinct ones are ordered by population count and packed in tiles of
 ``TILE``, and every pair of tiles whose population counts can be within the
 radius is compared in full, so no pair within the radius is missed.  Each
-document then belongs to the group of its smallest connected ``doc_id``.
+document then belongs to the class of its smallest connected ``doc_id``.
+
+Links aren't written one by one: a pair of tiles gives the number of each
+fingerprint's links, all counted, and as many links as it takes to connect what
+is connected, so its output and memory are bounded by the tiles however many
+texts are alike.
 
 Defined cases: a null text, and a text without a word, has no fingerprint and
-is no one's duplicate.  A row with a null ``doc_id`` can't be named in the
-result; it isn't compared, and ``drop`` keeps it.  Rows that share a ``doc_id``
-are one document, whose fingerprint is the least of theirs; ``drop`` keeps one
-such row.  Other columns are ignored by ``groups`` and kept by ``drop``.
+is no one's duplicate.  A row whose ``doc_id`` is null or no whole number can't
+be named in the result; it isn't compared, and ``drop`` keeps it.  Rows that
+share a ``doc_id`` are one document, whose fingerprint is the least of theirs;
+``drop`` keeps one such row.  Other columns, whatever their names, are ignored
+by ``groups`` and kept by ``drop``.
 """
 
 from __future__ import annotations
@@ -22,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import fresh, small_or_not, written
+from .shared import opened, small_or_not, temporary, whole_number, written
 
 BITS = 128
 #: Copies with one word in ten replaced differ in fewer bits (mean 14 for one in twenty); unrelated texts in 64 on average, standard deviation 5.7.
@@ -91,18 +97,21 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, f0, f1`` of each document that has a fingerprint, once for each ``doc_id``."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = named.mapInArrow(_fingerprint_batches, "doc_id long, f0 long, f1 long")
+    named = opened(docs, "doc_id", "text")[0].select(whole_number("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    found = named.mapInArrow(tk.tidy(_fingerprint_batches), "doc_id long, f0 long, f1 long")
     return found.groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("f")).select("doc_id", "f.f0", "f.f1")
 
 
+_TILES = pa.schema([("tile", pa.string()), ("least", pa.int32()), ("most", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("prints", pa.binary())])
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of population count, packed in tiles."""
 
     def tiles(table: pa.Table) -> pa.RecordBatch:
         bits = table.column("bits").to_numpy()
-        parts = [np.ascontiguousarray(table.column(c).to_numpy()).tobytes() for c in ("doc_id", "f0", "f1")]
-        return pa.RecordBatch.from_pydict({"tile": [uuid.uuid4().hex], "least": [int(bits.min())], "most": [int(bits.max())], "ids": [parts[0]], "prints": [parts[1] + parts[2]]}, schema=_TILES)
+        ids, copies, *prints = (np.ascontiguousarray(table.column(c).to_numpy()).tobytes() for c in ("keep_id", "copies", "f0", "f1"))
+        return pa.RecordBatch.from_pydict({"tile": [uuid.uuid4().hex], "least": [int(bits.min())], "most": [int(bits.max())], "ids": [ids], "copies": [copies], "prints": [b"".join(prints)]}, schema=_TILES)
 
     held, n = [], 0
     for batch in batches:
@@ -119,15 +128,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield tiles(pa.Table.from_batches(held))
 
 
-_TILES = pa.schema([("tile", pa.string()), ("least", pa.int32()), ("most", pa.int32()), ("ids", pa.binary()), ("prints", pa.binary())])
-
-
-def near(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 64, columns: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions in ``a`` and in ``b`` (word by fingerprint) within ``radius``, and the distances."""
-    left, right, apart = [], [], []
+def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False, rows: int = 64, columns: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in ``a`` and in ``b`` (word by fingerprint) within ``radius``, block by block; each pair once if both are the same."""
     for i in range(0, a.shape[1], rows):
         x = a[:, i : i + rows, None]
-        for j in range(0, b.shape[1], columns):
+        for j in range(i // columns * columns if same else 0, b.shape[1], columns):
             y = b[:, None, j : j + columns]
             d = np.bitwise_count(x[0] ^ y[0])
             for w in range(1, len(a)):
@@ -135,92 +140,146 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, rows: int = 64, columns: int
             hit = d <= radius
             if hit.any():
                 p, q = np.nonzero(hit)
-                left.append(p + i)
-                right.append(q + j)
-                apart.append(d[p, q])
-    if not left:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return np.concatenate(left), np.concatenate(right), np.concatenate(apart)
+                p, q = p + i, q + j
+                if same:
+                    once = p < q
+                    p, q = p[once], q[once]
+                if len(p):
+                    yield p, q
+
+
+def join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the links ``x, y`` connect what wasn't connected; ``label`` has the least member of each position's class and is brought up to date."""
+    at = np.flatnonzero(label[x] != label[y])
+    if not len(at):
+        return at
+    low, high = np.minimum(label[x[at]], label[y[at]]), np.maximum(label[x[at]], label[y[at]])
+    _, first = np.unique(low * len(label) + high, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    used = []
+    for k, u, v in zip(first.tolist(), low[first].tolist(), high[first].tolist()):
+        u, v = find(u), find(v)
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            used.append(k)
+    now = np.arange(len(label))
+    now[list(root)] = [find(v) for v in list(root)]
+    label[:] = now[label]
+    return at[used]
+
+
+def labels(prints: np.ndarray, radius: int) -> np.ndarray:
+    """The least position that each of a few fingerprints is connected with."""
+    label = np.arange(prints.shape[1])
+    for p, q in near(prints, prints, radius, same=True):
+        join(label, p, q)
+    return label
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                same, ids_a, prints_a, ids_b, prints_b = (batch.column(c)[r].as_py() for c in range(5))
+                same, ids_a, copies_a, prints_a, ids_b, copies_b, prints_b = (batch.column(c)[r].as_py() for c in range(7))
                 a, b = (np.frombuffer(x, np.uint64).reshape(2, -1) for x in (prints_a, prints_b))
-                i, j, d = near(a, b, radius)
-                if same:
-                    i, j, d = i[i < j], j[i < j], d[i < j]
-                x, y = np.frombuffer(ids_a, np.int64)[i], np.frombuffer(ids_b, np.int64)[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d.astype(np.int32))], names=["doc_a", "doc_b", "distance"])
+                n = a.shape[1]
+                shift = 0 if same else n
+                ids = np.frombuffer(ids_a if same else ids_a + ids_b, np.int64)
+                copies = np.frombuffer(copies_a if same else copies_a + copies_b, np.int64)
+                label, many = np.arange(len(ids)), np.zeros(len(ids))
+                for p, q in near(a, b, radius, same):
+                    q = q + shift
+                    many += np.bincount(p, copies[q], len(ids)) + np.bincount(q, copies[p], len(ids))
+                    new = join(label, p, q)
+                    if len(new):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[p[new]]), pa.array(ids[q[new]]), pa.nulls(len(new), pa.int64())], schema=_LINKS)
+                at = np.flatnonzero(many)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.nulls(len(at), pa.int64()), pa.array(many[at].astype(np.int64))], schema=_LINKS)
 
     return run
 
 
-def distinct_prints(found: DataFrame) -> DataFrame:
-    """One row for each distinct fingerprint, with its smallest ``doc_id``."""
-    return found.groupBy("f0", "f1").agg(F.min("doc_id").alias("doc_id"))
-
-
-def pairs(found: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``doc_a < doc_b, distance`` of all pairs of distinct fingerprints within ``radius``; each stands for the documents that share it.
+def links(one: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b, links`` from distinct fingerprints ``keep_id, copies, f0, f1``, whose ``keep_id`` stands for them.
 
-    The tiles are rows of a written table.  Their product is filtered on the
-    range of population counts before any fingerprint reaches Python, and
+    A row with ``b`` is a link; those rows connect all that is connected.  The
+    others say how many documents within the radius ``a`` has in some pair of
+    tiles.  The tiles are rows of a written table.  Their product is filtered on
+    the range of population counts before any fingerprint reaches Python, and
     neither side is shuffled.
     """
-    one = distinct_prints(found).withColumn("bits", F.bit_count("f0") + F.bit_count("f1")).select("bits", "doc_id", "f0", "f1")
-    tiles = written(one.repartitionByRange("bits", "doc_id").sortWithinPartitions("bits").mapInArrow(_pack, "tile string, least int, most int, ids binary, prints binary"), "simhash-tiles")
+    bits = one.withColumn("bits", F.bit_count("f0") + F.bit_count("f1")).select("bits", "keep_id", "copies", "f0", "f1")
+    packed = bits.repartitionByRange("bits", "keep_id").sortWithinPartitions("bits").mapInArrow(tk.tidy(_pack), "tile string, least int, most int, ids binary, copies binary, prints binary")
+    tiles = written(packed, "simhash-tiles")
     a, b = tiles.alias("a"), tiles.alias("b")
     apart = F.greatest(F.col("a.least") - F.col("b.most"), F.col("b.least") - F.col("a.most"))
     both = a.join(b, (F.col("a.tile") <= F.col("b.tile")) & (apart <= radius))
-    return both.select((F.col("a.tile") == F.col("b.tile")).alias("same"), "a.ids", "a.prints", F.col("b.ids").alias("ids_b"), F.col("b.prints").alias("prints_b")).mapInArrow(_compare(radius), "doc_a long, doc_b long, distance int")
+    sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("ids", "copies", "prints")]
+    return both.select((F.col("a.tile") == F.col("b.tile")).alias("same"), *sides).mapInArrow(tk.tidy(_compare(radius)), "a long, b long, links long")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node that each node of ``a, b`` is connected with.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until
-    nothing changes; each step is written in the shared folder.
+    nothing changes; each step is written in the shared folder.  The least
+    neighbours are aggregated before they are shuffled and joined, so that the
+    many neighbours of a node needn't meet in one task.
     """
-    now = written(edges.select("a", "b").distinct(), "components")
-    mark = None
-    for _ in range(rounds):
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
-        over = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(over), F.col("u"))).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        small = down.withColumn("m", F.min("v").over(over))
-        now = written(small.select(F.col("m").alias("a"), F.col("u").alias("b")).union(small.where("v != m").select("m", "v")).where("a != b").distinct(), "components")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == mark:
-            break
-        mark = state
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    with temporary(edges.sparkSession) as lasting:
+        now, mark = written(edges.select("a", "b").distinct(), "components"), None
+        while True:
+            both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
+            least = both.groupBy("u").agg(F.min("v").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.least("m", "u").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
+            down = written(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "components")
+            small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
+            now = written(small.select(F.col("m").alias("a"), F.col("u").alias("b")).union(small.where("v != m").select("m", "v")).where("a != b").distinct(), "components")
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == mark:
+                break
+            mark = state
+        return lasting(now.select(F.col("b").alias("node"), F.col("a").alias("root")), "simhash-roots")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, keep_id`` of each document that has a near duplicate of smaller id in its group."""
+    """``doc_id, keep_id, links`` of each document that has near duplicates.
+
+    ``keep_id``, the smallest id of its class, names the class; ``links`` is the
+    number of other documents within the radius.
+    """
     found = written(signatures(docs), "simhash")
-    same = found.select(F.min("doc_id").over(Window.partitionBy("f0", "f1")).alias("a"), F.col("doc_id").alias("b")).where("a != b")
-    same = written(same, "simhash-same")
-    joined = written(pairs(found, radius).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "simhash-pairs")
-    return components(same.unionByName(joined)).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+    one = written(found.groupBy("f0", "f1").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies")), "simhash-distinct")
+    linked = written(links(one, radius), "simhash-links")
+    roots = components(linked.where("b is not null"))
+    many = linked.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
+    like = many.join(roots, F.col("node") == F.col("a"), "left").select(F.col("a").alias("keep_id"), F.coalesce("root", "a").alias("root"), "links")
+    whole = one.join(like, "keep_id", "left").where("copies > 1 or root is not null")
+    classes = written(whole.select("f0", "f1", F.coalesce("root", "keep_id").alias("keep_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "simhash-classes")
+    return found.join(small_or_not(classes, 48), ["f0", "f1"]).select("doc_id", "keep_id", "links")
 
 
 def drop(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates."""
-    gone = written(groups(docs, radius).select("doc_id"), "simhash-gone")
-    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-again")
-    (key,) = fresh(docs, "row_order")
-    kept = docs.join(small_or_not(gone, 16), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one document of each class of near duplicates."""
+    held, closed = opened(docs, "doc_id", "text")
+    held = held.withColumn("simhash_id", whole_number("doc_id"))
+    gone = written(groups(docs, radius).where("doc_id <> keep_id").select(F.col("doc_id").alias("simhash_id")), "simhash-gone")
+    again = written(held.where("simhash_id is not null").groupBy("simhash_id").count().where("count > 1").select("simhash_id"), "simhash-again")
+    kept = held.join(small_or_not(gone, 16), "simhash_id", "left_anti")
     if again.isEmpty():
-        return kept
+        return closed(kept)
     repeated = small_or_not(again, 16)
-    first = Window.partitionBy("doc_id").orderBy(key)
-    once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).withColumn(key, F.xxhash64(*docs.columns)).withColumn(key, F.row_number().over(first)).where(F.col(key) == 1).drop(key)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    # the least row of each is found before rows are shuffled, so a third of all may share an id
+    once = kept.join(repeated, "simhash_id", "left_semi").groupBy("simhash_id").agg(F.min_by(F.struct(*held.columns), F.xxhash64(*held.columns)).alias("row")).select("row.*")
+    return closed(kept.join(repeated, "simhash_id", "left_anti").select(*held.columns).unionByName(once))

@@ -4,11 +4,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from latentmesh.llm import simhash
 from latentmesh.llm import textkernel as tk
 
-from .fixtures import awkward, documents, with_clashes, words
+from .fixtures import awkward, documents, odd_names, with_clashes, words
 
 
 def slow_print(text):
@@ -31,10 +32,10 @@ def slow_print(text):
     return tuple(out)
 
 
-def slow_groups(texts, radius):
-    """Connected components over all pairs, by id."""
+def slow(texts, radius):
+    """Class and number of links of each document that has one, over all pairs."""
     prints = {i: p for i, t in texts.items() if t is not None and (p := slow_print(t))}
-    root = {i: i for i in prints}
+    root, links = {i: i for i in prints}, Counter()
 
     def find(i):
         while root[i] != i:
@@ -45,9 +46,19 @@ def slow_groups(texts, radius):
     for k, i in enumerate(ids):
         for j in ids[:k]:
             if sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) <= radius:
+                links.update([i, j])
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in ids if find(i) != i}
+    return {i: (find(i), links[i]) for i in ids if links[i]}
+
+
+def slow_groups(texts, radius):
+    """The class of each document that isn't the first of it."""
+    return {i: r for i, (r, _) in slow(texts, radius).items() if r != i}
+
+
+def classes(found):
+    return {r.doc_id: r.keep_id for r in found.collect() if r.doc_id != r.keep_id}
 
 
 def near_copies(rng, n=30):
@@ -76,17 +87,43 @@ def test_near_finds_all_pairs_in_the_radius():
     for k in range(150):
         for b in rng.choice(64, rng.integers(0, 40) // 2, replace=False):
             a[rng.integers(2), 150 + k] ^= np.uint64(1) << np.uint64(b)
-    i, j, d = simhash.near(a, a, 28, 7, 50)
     exact = np.bitwise_count(a[:, :, None] ^ a[:, None]).astype(int).sum(0)
-    assert sorted(zip(i.tolist(), j.tolist(), d.tolist())) == sorted((x, y, int(exact[x, y])) for x, y in zip(*np.nonzero(exact <= 28)))
+    for same in (False, True):
+        found = [(int(x), int(y)) for p, q in simhash.near(a, a, 28, same, 7, 50) for x, y in zip(p, q)]
+        assert sorted(found) == sorted((x, y) for x, y in zip(*np.nonzero(exact <= 28)) if x < y or not same)
+
+
+def test_links_that_connect_are_few_and_enough():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 200, (2, 5000))
+    x, y = x // 2 * 2, y // 2 * 2  # even ones make one class
+    label = np.arange(200)
+    kept = np.concatenate([part[simhash.join(label, x[part], y[part])] for part in np.split(np.arange(5000), 50)])
+    assert len(kept) == 99
+    assert (label[::2] == 0).all() and (label[1::2] == np.arange(1, 200, 2)).all()
+
+
+def test_a_dense_family_gives_no_more_than_a_forest(spark):
+    """Of 3,000 fingerprints that are all alike every link is counted and hardly one is written."""
+    rng = np.random.default_rng(2)
+    n = 3000
+    f0 = np.array([sum(1 << int(b) for b in rng.choice(63, 5, replace=False)) for _ in range(n)])
+    _, first = np.unique(f0, return_index=True)
+    one = spark.createDataFrame([(int(k), 1 + int(k) % 3, int(f0[k]), 7) for k in first], "keep_id long, copies long, f0 long, f1 long")
+    found = simhash.links(one).toPandas()
+    assert len(found) == 2 * len(first) - 1
+    many = found[found["b"].isna()].set_index("a")["links"]
+    copies = {int(k): 1 + int(k) % 3 for k in first}
+    assert all(many[k] == sum(copies.values()) - c for k, c in copies.items())
 
 
 @pytest.mark.parametrize("tile", [16384, 7])
 def test_groups_equal_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
     texts = near_copies(random.Random(1))
-    got = {r.doc_id: r.keep_id for r in simhash.groups(documents(spark, list(texts.items()))).collect()}
-    assert got == slow_groups(texts, simhash.RADIUS)
+    texts |= {500 + k: texts[k] for k in range(9)} | {600: texts[0]}  # exact copies
+    got = {r.doc_id: (r.keep_id, r.links) for r in simhash.groups(documents(spark, list(texts.items()))).collect()}
+    assert got == slow(texts, simhash.RADIUS)
     assert got
 
 
@@ -96,14 +133,14 @@ def test_recall_of_planted_copies(spark):
     for i, t in texts.items():
         bases.setdefault(len(t.split()), []).append(i)
     planted = [(g[0], x) for g in bases.values() for x in g[1:] if len(set(texts[g[0]].split()) & set(texts[x].split())) > 10]
-    root = {i: i for i in texts} | {r.doc_id: r.keep_id for r in simhash.groups(documents(spark, list(texts.items()))).collect()}
+    root = {i: i for i in texts} | classes(simhash.groups(documents(spark, list(texts.items()))))
     assert sum(root[a] == root[b] for a, b in planted) >= 0.9 * len(planted)
 
 
 def test_awkward_rows(spark):
     rows = awkward(random.Random(0))
     docs = with_clashes(documents(spark, rows))
-    got = {r.doc_id: r.keep_id for r in simhash.groups(docs).collect()}
+    got = classes(simhash.groups(docs))
     assert got[2] == 1 and got[10] == 1
     assert not {3, 4, 5, 6, 7, 8, 9} & set(got)
     kept = simhash.drop(docs)
@@ -118,6 +155,14 @@ def test_repeated_rows_stay_once(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
 
 
+def test_names_and_ids_of_any_kind(spark):
+    docs = odd_names(documents(spark, [(1, "a b c d"), (2, "a b c d"), (3, "e f g h")]))
+    kept = simhash.drop(docs)
+    assert kept.columns == docs.columns and kept.count() == 2
+    named = docs.withColumn("Doc_ID", F.concat(F.lit("n"), F.col("Doc_ID").cast("string")))
+    assert simhash.groups(named).count() == 0 and simhash.drop(named).count() == 3
+
+
 def test_empty_table(spark):
     docs = documents(spark, [(1, "x")]).where("false")
     assert simhash.groups(docs).count() == 0
@@ -134,4 +179,4 @@ def test_repeated_words_are_no_likeness(spark):
     rng = random.Random(4)
     texts = {i: " ".join(w for x in words(rng, 8).split() + ["the"] * 2 for w in [x] * 60) for i in range(150)}
     texts[200] = texts[3] + " more"
-    assert {r.doc_id: r.keep_id for r in simhash.groups(documents(spark, list(texts.items()))).collect()} == {200: 3}
+    assert classes(simhash.groups(documents(spark, list(texts.items())))) == {200: 3}
