@@ -6,21 +6,28 @@ lasso-penalised logistic regression weighs the rules, and those that keep a
 weight are compiled into one Spark column expression.  A document is good if it
 is labelled ``quality = 1`` and not ``toxic = 1``.
 
-Two of the statistics count terms found in the labelled documents: words, and
-beginnings of words, that many toxic documents use and hardly any other one.
+Two of the statistics count terms found in the labelled documents: words of at
+least ``LEAST_LETTERS`` letters, and beginnings of words of as many and up to
+``LONGEST_START``, that toxic documents use and hardly any other one.  Near
+copies count as one document, and a term is taken if chance would hardly make
+any candidate as one-sided: the share of toxic documents to the power of those
+that have it, times the number of candidates, must be at most ``FALSE_TERMS``.
+Every term that passes is used.
 
 The fit uses at most ``FIT_ROWS`` labelled documents, taken in order of a hash
 of ``doc_id``; everything else covers all rows.
 
 Defined cases: a null text counts as an empty one; every statistic of an empty
 text is 0, so it gets the score of the rules that hold for zeros.  Other
-columns, nulls among them, are carried along.  Labels that are null or that
-contradict each other for a ``doc_id`` aren't used.  Without a good and a
-rejected label nothing can be fitted and every document keeps the score 1.
+columns, nulls among them, are carried along, whatever their names.  Labels that
+are null or that contradict each other for a ``doc_id`` aren't used, nor those
+of an id that isn't a whole number.  Without a good and a rejected label nothing
+can be fitted and every document keeps the score 1.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -28,10 +35,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from . import simhash
+from .shared import opened, temporary, whole_number, written
 
 #: Labelled documents used for fitting, at most.
 FIT_ROWS = 12000
+LEAST_LETTERS = 4
+LONGEST_START = 8
+#: A term's uses outside of toxic documents, as a share of all, and how many terms chance may make.
+STRAY_USES = 0.03
+FALSE_TERMS = 0.1
 #: A document is kept if its probability of being good is at least this.
 THRESHOLD = 0.5
 STATISTICS = ("n_chars", "n_words", "n_lines", "word_chars", "distinct", "upper", "symbols", "bars", "digits", "terms", "term_rate")
@@ -193,26 +206,42 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = STATISTICS,
     return tuple(sorted(kept, key=lambda r: -abs(r.weight))), bias
 
 
-def _terms(sample: DataFrame, most: int = 60) -> tuple[str, ...]:
-    """Words and beginnings of words that tell the toxic documents of the sample from the others; texts that begin alike count once."""
-    words = sample.select("toxic", F.substring("text", 1, 48).alias("opening"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))).alias("word"))
-    starts = F.transform(F.filter(F.sequence(F.lit(4), F.lit(8)), lambda k: k < F.length("word")), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k), F.lit("*")))
+def _classes(sample: DataFrame) -> dict[int, int]:
+    """Classes of near copies among the toxic documents of the bounded sample, by fingerprints as those of ``simhash``."""
+    rows = simhash.signatures(sample.where("toxic").select("doc_id", "text")).orderBy("doc_id").collect()
+    prints = np.array([(r.f0, r.f1) for r in rows], np.int64).reshape(-1, 2).T.copy().view(np.uint64)
+    return {r.doc_id: int(c) for r, c in zip(rows, simhash.labels(prints, simhash.RADIUS))}
+
+
+def _terms(sample: DataFrame) -> tuple[str, ...]:
+    """Words and beginnings of words that tell the toxic documents of the sample from the others."""
+    spark = sample.sparkSession
+    classes = spark.createDataFrame(list(_classes(sample).items()), "doc_id long, class long")
+    n, toxic = sample.agg(F.count_distinct("doc_id"), F.count_distinct(F.when(F.col("toxic"), F.col("doc_id")))).first()
+    if not toxic or toxic == n:
+        return ()
+    words = sample.select("doc_id", "toxic", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= LEAST_LETTERS))).alias("word"))
+    starts = F.transform(F.filter(F.sequence(F.lit(LEAST_LETTERS), F.lit(LONGEST_START)), lambda k: k < F.length("word")), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k), F.lit("*")))
     term = F.explode(F.concat(F.array("word"), starts)).alias("term")
     each = words.groupBy("word").agg(F.sum(F.col("toxic").cast("int")).alias("bad"), F.count("*").alias("uses"))
-    often = each.select("bad", "uses", term).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("uses").alias("uses")).where("bad >= 8 and bad >= 0.97 * uses")
-    found = words.where("toxic").select("opening", "word", term).join(often, "term").groupBy("term", "bad").agg(F.countDistinct("opening").alias("texts"), F.countDistinct("word").alias("forms")).where("texts >= 8")
+    by_term = written(each.select("bad", "uses", term).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("uses").alias("uses")).where("bad > 0"), "quality-terms")
+    need = math.log(max(1, by_term.count()) / FALSE_TERMS) / math.log(n / toxic)
+    every = by_term.where((F.col("bad") >= need) & (F.col("bad") >= (1 - STRAY_USES) * F.col("uses"))).select("term", "bad")
+    # at most fit_rows classes, so the size of this side is bounded
+    found = words.where("toxic").join(F.broadcast(classes), "doc_id").select("class", "word", term).join(every, "term").groupBy("term", "bad").agg(F.count_distinct("class").alias("texts"), F.count_distinct("word").alias("forms")).where(F.col("texts") >= need)
     chosen: list[str] = []
-    for row in found.orderBy(F.desc("bad"), F.length("term"), "term").limit(400).collect():
+    for row in found.orderBy(F.desc("bad"), F.length("term"), "term").collect():
         stem = row.term.rstrip("*")
         if not any(c.endswith("*") and stem.startswith(c[:-1]) or c.rstrip("*") == stem for c in chosen) and not (row.term.endswith("*") and row.forms < 2):
             chosen.append(row.term)
-    return tuple(chosen[:most])
+    return tuple(chosen)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 0) -> Model:
     """A model from at most ``fit_rows`` labelled documents."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"), F.max(good).alias("best"), F.max(F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")).where("good = best")
+    known = opened(labels, "doc_id", "quality", "toxic")[0].withColumn("doc_id", whole_number("doc_id")).where("doc_id is not null and quality is not null")
+    marks = known.groupBy("doc_id").agg(F.min(good).alias("good"), F.max(good).alias("best"), F.max(F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")).where("good = best")
     chosen = marks.select("doc_id", "good", "toxic").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_rows)
     ids = [tuple(r) for r in chosen.collect()]
     if len({good for _, good, _ in ids}) < 2:
@@ -220,13 +249,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     # at most fit_rows ids, so the size of this side is bounded
     spark = docs.sparkSession
     named = F.broadcast(spark.createDataFrame(ids, "doc_id long, good boolean, toxic boolean"))
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(named, "doc_id").cache()
-    try:
+    with temporary(spark):
+        sample = written(opened(docs, "doc_id", "text")[0].select(whole_number("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).join(named, "doc_id"), "quality-sample")
         terms = _terms(sample)
         held = sample.select("good", *[c.alias(n) for n, c in counts(F.col("text"), terms).items()])
         rows = held.select("good", *[c.alias(n) for n, c in statistics({n: F.col(n) for n in _COUNTS}).items()]).toPandas()
-    finally:
-        sample.unpersist()
     if rows.empty or rows["good"].nunique() < 2:
         return Model()
     rows = rows.sort_values([*STATISTICS, "good"])
@@ -234,19 +261,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     return Model(rules, bias, terms)
 
 
-def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
-    """``docs`` with the probability of being good in column ``to``, which replaces one of that name."""
-    names = fresh(docs, *[f"count_{n}" for n in _COUNTS], *[f"stat_{n}" for n in STATISTICS])
-    of_counts, of_statistics = names[: len(_COUNTS)], names[len(_COUNTS) :]
+def _scored(held: DataFrame, model: Model) -> DataFrame:
+    """``held`` with the probability of being good in column ``quality_score``."""
+    of_counts, of_statistics = [f"count_{n}" for n in _COUNTS], [f"stat_{n}" for n in STATISTICS]
     # a generator, so that the optimiser can't put the counts in place of each use of them
     once = F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip(of_counts, counts(F.col("text"), model.terms).values())])))
-    held = docs.select("*", once)
-    held = held.withColumns(dict(zip(of_statistics, statistics(dict(zip(_COUNTS, map(F.col, of_counts)))).values())))
+    wide = held.select("*", once)
+    wide = wide.withColumns(dict(zip(of_statistics, statistics(dict(zip(_COUNTS, map(F.col, of_counts)))).values())))
     margin = model.margin(dict(zip(STATISTICS, map(F.col, of_statistics))))
-    return held.withColumn(to, 1 / (1 + F.exp(-margin))).drop(*names)
+    return wide.withColumn("quality_score", 1 / (1 + F.exp(-margin)))
+
+
+def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
+    """``docs`` with the probability of being good in column ``to``, which replaces one of that name."""
+    held, closed = opened(docs, "text")
+    return closed(_scored(held, model), **{to: "quality_score"})
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that the model rejects; their columns and rows are as they were."""
-    (name,) = fresh(docs, "good_probability")
-    return score(docs, model, name).where(F.col(name) >= threshold).drop(name)
+    held, closed = opened(docs, "text")
+    return closed(_scored(held, model).where(F.col("quality_score") >= threshold))
