@@ -1,6 +1,6 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference counts.
 
-An index is a folder of tables, one version after the other:
+An index consists of tables:
 
 * ``refs``: a log of ``shard, key, doc_id, line, batch, n``: a line's 128-bit
   hash, where it occurs, the insertion that brought it, and 1 or, for deletions,
@@ -8,21 +8,25 @@ An index is a folder of tables, one version after the other:
   the one that stays in the texts.
 * ``filters``: for each shard its cuckoo filters, each twice as large as the one
   before it; a new one is added when the last is full, so no key is ever lost.
+* ``levels``: a log of ``shard, key, level, n``: which of the filters holds the
+  key's print, so that a deletion takes it out of that one and never takes the
+  equal print of another key out of an older one.
 
 Inserting documents asks the filters first: a line that no filter has is new,
 without a look at the log; only the lines that a filter may have are looked up
-exactly.  Deleting documents lowers the counts and makes the filters of shards
-with lines that nothing refers to any more anew from the rest, so deleting what was inserted leaves the
+exactly.  Deleting documents lowers the counts and takes lines that nothing
+refers to any more out of the filters, so deleting what was inserted leaves the
 index as it was.  Where the occurrence that stays is deleted and others are
 left, the first of them is returned, for its line must come back to its text.
-Of a line that is new to the index the first occurrence, by
-``doc_id`` and line number, stays; a line that the index has goes.
+Of a line that is new to the index the first occurrence, by ``doc_id`` and line
+number, stays; a line that the index has goes.
 
 Defined cases: lines end at a newline; a line of blanks is no line and always
-stays.  Null and empty texts stay as they are.  A row with a null ``doc_id``
-can't be ordered: it stays whole and isn't counted.  Rows that share a
-``doc_id`` are one document: lines of equal number and text in them are one
-occurrence.  Columns other than ``doc_id`` and ``text`` are ignored.
+stays.  Null and empty texts stay as they are.  A row whose ``doc_id`` is null or
+no whole number can't be ordered: it stays whole and isn't counted, and its id
+is null in the result.  Rows that share a ``doc_id`` are one document: lines of
+equal number and text in them are one occurrence.  Columns other than ``doc_id``
+and ``text``, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, small_or_not, written
+from .shared import opened, small_or_not, whole_number, written
 from .textkernel import mix64
 
 SHARDS = 64
@@ -112,17 +116,20 @@ class Cuckoo:
         return np.array(lost, dtype=np.int64)
 
     def remove(self, keys: np.ndarray) -> np.ndarray:
-        """Takes one copy of each key's fingerprint out; returns the positions of those that weren't there."""
-        missing = []
-        for k, (p, a, b) in enumerate(zip(*self._places(keys))):
-            for bucket in (a, b):
-                s = np.flatnonzero(self.slots[bucket] == p)
-                if len(s):
-                    self.slots[bucket, s[0]] = 0
-                    break
-            else:
-                missing.append(k)
-        return np.array(missing, dtype=np.int64)
+        """Takes one copy of each key's fingerprint out; returns the positions of those that weren't there.
+
+        Equal prints in one of a key's two buckets have the same two buckets, so it doesn't matter which is taken.
+        """
+        prints, a, b = self._places(keys)
+        left = np.arange(len(keys))
+        for bucket in (a, b):
+            for slot in range(SLOTS):
+                hit = np.flatnonzero(self.slots[bucket[left], slot] == prints[left])
+                _, first = np.unique(bucket[left[hit]], return_index=True)
+                done = hit[first]
+                self.slots[bucket[left[done]], slot] = 0
+                left = np.delete(left, done)
+        return left
 
 
 def _filters(rows: pd.DataFrame) -> list[Cuckoo]:
@@ -146,39 +153,49 @@ def _probe(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 
 
 def _add(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """A shard's filters with new keys, as rows with ``slots``, and the filter that each key is in, as rows with ``key``."""
     shard = int((keys if len(keys) else filters)["shard"].iloc[0])
-    found, h = _filters(filters), np.sort(_hash64(keys["key"]))
-    while len(h):
+    found, h = _filters(filters), _hash64(keys["key"])
+    left, level = np.argsort(h, kind="stable"), np.zeros(len(h), dtype=np.int32)
+    while len(left):
         if not found or found[-1].room <= 0:
-            found.append(Cuckoo.sized(max(len(h), 2 * found[-1].slots.size if found else 1024)))
-        n = min(len(h), max(1, found[-1].room))
-        lost = found[-1].add(h[:n])
-        h = np.concatenate([h[:n][lost], h[n:]])
+            found.append(Cuckoo.sized(max(len(left), 2 * found[-1].slots.size if found else 1024)))
+        n = min(len(left), max(1, found[-1].room))
+        part, rest = left[:n], left[n:]
+        level[part] = len(found) - 1
+        lost = found[-1].add(h[part])
+        left = np.concatenate([part[lost], rest])
         if len(lost):
-            found.append(Cuckoo.sized(max(len(h), 2 * found[-1].slots.size)))
-    return _rows(shard, found)
+            found.append(Cuckoo.sized(max(len(left), 2 * found[-1].slots.size)))
+    at = pd.DataFrame({"shard": shard, "level": level, "slots": None, "key": keys["key"].to_numpy()})
+    return pd.concat([_rows(shard, found).assign(key=None), at])
 
 
 def _remove(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """A shard's filters made anew of the keys that are still ``live``; as they are if no keys are given.
-
-    A key's print can't be taken out where it is met first: an equal print in an older filter may be another key's.
-    """
-    if not len(keys):
+    """A shard's filters without keys, each taken out of the filter that it is in."""
+    if not len(filters):
         return filters
-    left = keys[keys["live"]] if "live" in keys else keys.iloc[:0]
-    return _add(left, filters.iloc[:0]) if len(left) else filters.iloc[:0]
+    found, h = _filters(filters), _hash64(keys["key"])
+    level = keys["level"].to_numpy(dtype=np.int64)
+    for k, f in enumerate(found):
+        if len(f.remove(h[level == k])):
+            raise RuntimeError("a filter doesn't hold a key that the index has in it")
+    return _rows(int(filters["shard"].iloc[0]), found)
 
 
 _FILTERS = "shard int, level int, slots binary"
+_LEVELS = "shard int, key binary, level int, n int"
 _REFS = "shard int, key binary, doc_id long, line int, batch int, n int"
 _PLACE = ["shard", "key", "doc_id", "line"]
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    return opened(docs, "doc_id", "text")[0].select(whole_number("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def lines(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, line, key, shard`` of every line that isn't blank."""
-    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = named.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(r"\S"))
+    cut = _named(docs).where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(r"\S"))
     return cut.select("doc_id", "line", F.unhex(F.md5("words")).alias("key")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
@@ -189,12 +206,13 @@ class LineIndex:
     spark: SparkSession
     refs: DataFrame
     filters: DataFrame
+    levels: DataFrame
     shards: int = SHARDS
     batch: int = 0
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int = SHARDS) -> LineIndex:
-        return cls(spark, spark.createDataFrame([], _REFS), spark.createDataFrame([], _FILTERS), shards)
+        return cls(spark, spark.createDataFrame([], _REFS), spark.createDataFrame([], _FILTERS), spark.createDataFrame([], _LEVELS), shards)
 
     def _known(self, keys: DataFrame) -> DataFrame:
         """The rows of ``keys`` that the index counts: a filter may have them, and the log says how often they occur."""
@@ -207,8 +225,8 @@ class LineIndex:
         return self.refs.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0")
 
     def compacted(self) -> LineIndex:
-        """The same with one row for each occurrence in the log."""
-        return LineIndex(self.spark, written(_live(self.refs), "lines-refs"), self.filters, self.shards, self.batch)
+        """The same with one row for each occurrence and for each key in the logs."""
+        return LineIndex(self.spark, written(_live(self.refs), "lines-refs"), self.filters, written(_held(self.levels), "lines-levels"), self.shards, self.batch)
 
     def insert(self, docs: DataFrame) -> tuple[LineIndex, DataFrame]:
         """The index with the lines of ``docs``, and ``doc_id, line`` of the occurrences that must go."""
@@ -217,12 +235,14 @@ class LineIndex:
         new = written(found.groupBy("shard", "key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first")), "lines-new")
         known = written(self._known(new.select("shard", "key")).select("key"), "lines-known") if not self.filters.isEmpty() else self.spark.createDataFrame([], "key binary")
         added = new.join(small_or_not(known, 64), "key", "left_anti")
-        filters = written(added.select("shard", "key").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_add, _FILTERS), "lines-filters")
+        made = written(added.select("shard", "key").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_add, f"{_FILTERS}, key binary"), "lines-filters")
+        filters = made.where("slots is not null").drop("key")
+        levels = self.levels.unionByName(made.where("key is not null").select("shard", "key", "level", F.lit(1).alias("n")))
         refs = self.refs.unionByName(found.withColumns({"batch": F.lit(self.batch + 1), "n": F.lit(1)}))
         seen = known.withColumn("seen", F.lit(True))
         heavy = written(new.join(small_or_not(seen, 64), "key", "left").where("n > 1 or seen").select("key", "seen", "first"), "lines-heavy")
         gone = found.join(small_or_not(heavy, 96), "key").where(F.col("seen").isNotNull() | (F.struct("doc_id", "line") != F.col("first"))).select("doc_id", "line")
-        return LineIndex(self.spark, refs, filters, self.shards, self.batch + 1), gone
+        return LineIndex(self.spark, refs, filters, levels, self.shards, self.batch + 1), gone
 
     def delete(self, docs: DataFrame) -> LineIndex:
         """The index without the lines of ``docs``; what was never inserted is passed over."""
@@ -236,11 +256,16 @@ class LineIndex:
         left = written(there.join(out.select(*_PLACE, "batch"), [*_PLACE, "batch"], "left_anti"), "lines-left")
         first = lambda df, to: df.groupBy("key").agg(F.min(F.struct("batch", "doc_id", "line")).alias(to))
         back = first(there, "was").join(first(left, "now"), "key").where("was != now").select("now.doc_id", "now.line")
-        dead = out.select("shard", "key").join(left.select("key"), "key", "left_anti").select("shard").distinct()
-        refs = written(self.refs.unionByName(out), "lines-refs")
-        keys = refs.join(dead, "shard", "left_semi").groupBy("shard", "key").agg((F.sum("n") > 0).alias("live"))
-        filters = written(keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_remove, _FILTERS), "lines-filters")
-        return LineIndex(self.spark, refs, filters, self.shards, self.batch), back
+        dead = out.select("key").join(left.select("key"), "key", "left_anti").distinct()
+        out_of = written(_held(self.levels.join(dead, "key", "left_semi")), "lines-dead")
+        filters = written(out_of.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_remove, _FILTERS), "lines-filters")
+        levels = self.levels.unionByName(out_of.withColumn("n", F.lit(-1)))
+        return LineIndex(self.spark, self.refs.unionByName(out), filters, levels, self.shards, self.batch), back
+
+
+def _held(levels: DataFrame) -> DataFrame:
+    """The keys of a log that are in a filter."""
+    return levels.groupBy("shard", "key", "level").agg(F.sum("n").cast("int").alias("n")).where("n > 0")
 
 
 def _live(refs: DataFrame) -> DataFrame:
@@ -249,31 +274,32 @@ def _live(refs: DataFrame) -> DataFrame:
 
 
 def _repeats(docs: DataFrame) -> bool:
-    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return not _named(docs).where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``doc_id, text, removed``: the texts without the lines that must go, and how many went."""
     numbers = written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "lines-gone")
-    (key,) = fresh(docs, "gone_lines")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = numbers.agg(F.sum(F.size("lines"))).first()[0] or 0
-    joined = base.join(small_or_not(numbers.withColumnRenamed("lines", key), 48 + 8 * total // max(1, numbers.count())), "doc_id", "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(key), i)), "\n")
-    return joined.select("doc_id", F.when(F.col(key).isNull(), F.col("text")).otherwise(rest).alias("text"), F.coalesce(F.size(key), F.lit(0)).alias("removed"))
+    joined = _named(docs).join(small_or_not(numbers, 48 + 8 * total // max(1, numbers.count())), "doc_id", "left")
+    # a generator, so that a text is cut once and not for each of its lines
+    cut = joined.select("*", F.inline(F.array(F.struct(F.when(F.col("lines").isNotNull(), F.split("text", "\n")).alias("cut")))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), "lines")
+    rest = F.array_join(F.transform(left, lambda i: F.get("cut", i)), "\n")
+    return cut.select("doc_id", F.when(F.col("lines").isNull(), F.col("text")).otherwise(rest).alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("removed"))
 
 
 def shards_for(docs: DataFrame) -> int:
     """Shards for the lines of ``docs``, counted by their newlines."""
-    text = F.col("text").cast("string")
-    most = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    text = F.col("text")
+    most = _named(docs).agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     return max(SHARDS, -(-most // SHARD_LINES))
 
 
 def dedup(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """``doc_id, text, removed`` after inserting ``docs`` in an empty index, in ``BATCHES`` ranges of ``doc_id``, the lowest first."""
+    docs, i = _named(docs), F.col("doc_id")
     index, gone = LineIndex.empty(docs.sparkSession, shards or shards_for(docs)), None
-    i = F.col("doc_id").cast("long")
     cuts = docs.select(i.cast("double").alias("i")).approxQuantile("i", [k / BATCHES for k in range(1, BATCHES)], 0.05)
     bounds = [None, *sorted({math.floor(x) for x in cuts}), None]
     for low, high in zip(bounds, bounds[1:]):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from latentmesh.llm import line_dedup
 from latentmesh.llm.line_dedup import Cuckoo, LineIndex
 
-from .fixtures import awkward, documents, with_clashes, words
+from .fixtures import awkward, documents, odd_names, with_clashes, words
 
 
 def slow(rows, known=()):
@@ -105,18 +105,24 @@ def test_cuckoo_has_all_keys(n):
     assert not f.slots.any()
 
 
-def test_full_filters_grow():
+def added(keys, filters):
+    """The filters and the keys with their levels."""
     import pandas as pd
 
-    keys = pd.DataFrame({"shard": 0, "key": [i.to_bytes(16, "little") for i in range(9000)]})
-    made = line_dedup._rows(0, [Cuckoo.sized(10)])
-    made = line_dedup._add(keys, made)
-    assert len(made) > 1
-    assert line_dedup._probe(keys, made)["maybe"].all()
-    assert not any(np.frombuffer(s, np.uint16).any() for s in line_dedup._remove(keys, made)["slots"])
+    made = line_dedup._add(pd.DataFrame({"shard": 0, "key": keys}), filters)
+    return made[made["slots"].notna()], made[made["key"].notna()]
+
+
+def test_full_filters_grow():
+    keys = [i.to_bytes(16, "little") for i in range(9000)]
+    made, at = added(keys, line_dedup._rows(0, [Cuckoo.sized(10)]))
+    assert len(made) > 1 and sorted(at["key"]) == sorted(keys)
+    assert line_dedup._probe(at, made)["maybe"].all()
+    assert not any(np.frombuffer(s, np.uint16).any() for s in line_dedup._remove(at, made)["slots"])
 
 
 def test_surviving_keys_stay_in_the_filters():
+    """A key of a later filter has the print and buckets of one of the first; it is the later one that goes."""
     import pandas as pd
 
     key = lambda x: int(x).to_bytes(8, "little") * 2
@@ -124,14 +130,20 @@ def test_surviving_keys_stay_in_the_filters():
     prints, at, _ = older._places(np.arange(400_000, dtype=np.uint64))
     last: dict = {}
     pair = next((last[k], i) for i, k in enumerate(zip(prints, at)) if last.setdefault(k, i) != i)  # one print and bucket
-    rest = [i for i in range(500_000, 512_000)]
-    filters = line_dedup._rows(0, [])
+    rest = list(range(500_000, 512_000))
+    filters, levels = line_dedup._rows(0, []), []
     for group in ([pair[0], *rest[:6000]], rest[6000:], [pair[1]]):
-        filters = line_dedup._add(pd.DataFrame({"shard": 0, "key": [key(x) for x in group]}), filters)
+        filters, at = added([key(x) for x in group], filters)
+        levels.append(at)
+    level = pd.concat(levels)
     assert len(filters) > 1
-    keys = pd.DataFrame({"shard": 0, "key": [key(x) for x in [*pair, *rest]]})
-    keys["live"] = [True, False] + [i % 3 > 0 for i in range(len(rest))]
-    assert line_dedup._probe(keys[keys["live"]], line_dedup._remove(keys, filters))["maybe"].all()
+    of = dict(zip(level["key"], level["level"]))
+    assert of[key(pair[0])] != of[key(pair[1])]
+    goes = {key(pair[1]), *(key(x) for x in rest[::3])}
+    mark = level["key"].map(lambda k: k in goes)
+    after = line_dedup._remove(level[mark], filters)
+    assert line_dedup._probe(level[~mark], after)["maybe"].all()
+    assert sum(np.count_nonzero(np.frombuffer(s, np.uint16)) for s in after["slots"]) == int((~mark).sum())
 
 
 def test_deletes_over_several_levels(spark):
@@ -164,6 +176,16 @@ def test_awkward_rows(spark):
     assert got[3, None] == 0 and got[4, ""] == 0 and got[7, " \n\t "] == 0
     assert got[None, base] == 0
     assert got[8, rows[10][1]] == 0
+    odd = odd_names(documents(spark, [(1, "a\nb"), (2, "b\nc")]))
+    assert {tuple(r) for r in line_dedup.dedup(odd, 2).collect()} == {(1, "a\nb", 0), (2, "c", 1)}
+    named = documents(spark, [(1, "a\na")]).withColumn("doc_id", F.lit("x"))
+    assert [tuple(r) for r in line_dedup.dedup(named, 2).collect()] == [(None, "a\na", 0)]
+
+
+def test_a_text_of_many_lines_that_go(spark):
+    text = "\n".join(f"l{k % 40_000}" for k in range(80_000))
+    got = line_dedup.dedup(documents(spark, [(1, text)]), 2).first()
+    assert got.removed == 40_000 and got.text == "\n".join(f"l{k}" for k in range(40_000))
 
 
 def test_empty_table(spark):
