@@ -1,9 +1,9 @@
 """Personal data by a character-level bidirectional LSTM with CRF transitions, in numpy.
 
 ``train`` fits the model on labelled spans: passages of at most ``FIT_DOCS``
-documents, in order of a hash of ``doc_id``, in which made-up addresses,
-numbers and keys are set at known places, besides those that strict patterns
-find there already.  ``spans`` then decodes every document in full: windows of
+documents, in order of a hash of ``doc_id``, at most ``PASSAGE`` characters of
+each from a place by hash, in which made-up addresses, numbers and keys are set
+at known places, besides those that strict patterns find there already.  ``spans`` then decodes every document in full: windows of
 ``WINDOW`` characters that overlap by ``OVERLAP`` are decoded side by side, and
 of overlapping spans of one document's windows those with the most context
 around them are taken first, over the document as a whole.  Pieces of a span
@@ -11,14 +11,15 @@ that is longer than the overlap, cut by the windows' edges, are joined before.
 
 A CRF tag is a kind or none.  One kind can only follow another after none.
 
-Defined cases: null and empty texts have no spans.  Rows with a null ``doc_id``
-can't be named and are left out; repeated rows give their spans once each.
+Defined cases: null and empty texts have no spans.  Rows whose ``doc_id`` is null
+or no whole number can't be named and are left out; repeated rows give their spans once each.
 ``start`` and ``end`` count code points.  Other columns are ignored.  With no
 document to take passages from, the training passages consist of made-up words.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import opened, whole_number
+
 KINDS = ("email", "phone", "ip", "card", "secret")
 TAGS = 1 + len(KINDS)
 FIT_DOCS = 1500
@@ -235,11 +238,12 @@ def joined(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
 
 def reconcile(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
     """Of (start, end, kind, context) those that don't overlap, the most context first; in order of their starts."""
-    taken: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int, int]] = []  # in order, so that a span's neighbours are found by halving
     for a, b, kind, _ in sorted(joined(found), key=lambda s: (-s[3], s[0], -s[1], s[2])):
-        if all(b <= x or y <= a for x, y, _ in taken):
-            taken.append((a, b, kind))
-    return sorted(taken)
+        at = bisect.bisect_left(taken, (b,))
+        if at == 0 or taken[at - 1][1] <= a:
+            taken.insert(at, (a, b, kind))
+    return taken
 
 
 def find(model: Tagger, texts: list[str | None], window: int = WINDOW, overlap: int = OVERLAP) -> list[list[tuple[int, int, str]]]:
@@ -366,7 +370,7 @@ def fit(texts: list[str], steps: int = STEPS, seed: int = 0, batch: int = 96, le
 
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 0) -> Tagger:
     """A tagger from passages of at most ``fit_docs`` documents."""
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = opened(docs, "doc_id", "text")[0].select(whole_number("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     chosen = texts.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(fit_docs)
     # at most fit_docs ids, so the size of this side is bounded
     # and from anywhere in a text at most PASSAGE characters
@@ -386,5 +390,5 @@ def spans(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())], names=["doc_id", "start", "end", "kind", "value"])
 
-    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    named = opened(docs, "doc_id", "text")[0].select(whole_number("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return named.mapInArrow(run, "doc_id long, start long, end long, kind string, value string")

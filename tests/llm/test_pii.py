@@ -1,12 +1,13 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 
 from latentmesh.llm import pii
 
-from .fixtures import awkward, documents, with_clashes, words
+from .fixtures import awkward, documents, odd_names, with_clashes, words
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +147,28 @@ def test_training_reads_the_table(spark, texts):
         pii.fit = real
     assert real([], steps=1, batch=4, length=16)
     assert pii.spans(docs.where("false"), real([], steps=1, batch=4, length=16)).count() == 0
+
+
+def test_names_and_ids_of_any_kind(spark, model):
+    docs = documents(spark, [(1, "write to someone@mail.example.com today"), (2, "nothing")])
+    assert sorted(pii.spans(odd_names(docs), model).collect()) == sorted(pii.spans(docs, model).collect())
+    assert pii.spans(docs.selectExpr("concat('n', doc_id) AS doc_id", "text"), model).count() == 0
+
+
+def test_many_spans_are_reconciled_in_good_time():
+    """Against the plain rule on few, and quickly on many."""
+    rng = random.Random(1)
+
+    def slow(found):
+        taken = []
+        for a, b, kind, _ in sorted(pii.joined(found), key=lambda s: (-s[3], s[0], -s[1], s[2])):
+            if all(b <= x or y <= a for x, y, _ in taken):
+                taken.append((a, b, kind))
+        return sorted(taken)
+
+    for n in (3, 30, 300):
+        found = [(a, a + rng.randint(1, 20), rng.randint(1, 5), rng.randint(0, 4)) for a in (rng.randrange(4 * n) for _ in range(n))]
+        assert pii.reconcile(found) == slow(found)
+    began = time.process_time()
+    assert len(pii.reconcile([(k, k + 3, 1, 1 + k % 50) for k in range(0, 800_000, 2)])) > 100_000
+    assert time.process_time() - began < 20
