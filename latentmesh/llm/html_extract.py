@@ -15,7 +15,8 @@ Defined cases: a null or empty page, and one without words, has an empty text
 and the region (0, 0).  Of regions of equal score the first and then the
 shortest is taken.  A tag that the page's end cuts off ends there.  Without
 labelled pages all tags weigh the same.  Rows with a null ``page_id`` and
-repeated rows are extracted one by one; other columns are ignored.
+repeated rows are extracted one by one; an id that is no whole number is null;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import opened, whole_number
+
 FIT_PAGES = 600
 EPOCHS = 8
 #: No tag scores more than this.
 LEAST = -0.02
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-z][a-z0-9-]*)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
+#: In a tag a quote begins a value after an equals sign only; elsewhere, as in an unquoted value, it is a character like others.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-z][a-z0-9-]*)(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)*+(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
 _BREAK = {"p", "br", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "main", "blockquote", "pre", "hr", "nav", "header", "footer", "title", "head", "body"}
 _UNWEIGHED = {"article", "main"}
 _OTHER = "#other"
@@ -144,7 +148,8 @@ def extract(page: str | None, w: Weights) -> tuple[int, int, str]:
 
 
 def train(pages: DataFrame, fit_pages: int = FIT_PAGES, seed: int = 0) -> Weights:
-    marked = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.col("html").contains("<article") & F.col("html").contains("</article"))
+    named = opened(pages, "page_id", "html")[0].select(whole_number("page_id").alias("page_id"), F.col("html").cast("string").alias("html"))
+    marked = named.where("page_id is not null").where(F.col("html").contains("<article") & F.col("html").contains("</article"))
     ids = marked.select("page_id").orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id").limit(fit_pages)
     # at most fit_pages ids, so the size of this side is bounded
     rows = marked.join(F.broadcast(ids.distinct()), "page_id", "left_semi").orderBy("page_id", "html").limit(fit_pages).collect()
@@ -161,4 +166,5 @@ def content(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
             a, b, text = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(text, pa.string())], names=["page_id", "start", "end", "text"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, "page_id long, start long, end long, text string")
+    named = opened(pages, "page_id", "html")[0].select(whole_number("page_id").alias("page_id"), F.col("html").cast("string"))
+    return named.mapInArrow(run, "page_id long, start long, end long, text string")

@@ -1,4 +1,5 @@
 import random
+import time
 
 from latentmesh.llm import html_extract as h
 
@@ -81,3 +82,26 @@ def test_trains_on_the_table(spark):
     assert h.content(table).count() == 60
     assert h.content(table.where("false")).count() == 0
     assert h.train(table.where("false")) == h.Weights()
+
+
+def test_quotes_count_in_values_only():
+    w = h.Weights()
+    for open_tag in ("<p title=don't>", "<p don't>", "<p title = it's>", "<p a='x>y' b=\"<br>\">", "<p a=b='c>", "<p a= >", "<p a=>", '<p "x>', '<p a="never closed>'):
+        runs, tags, places = h.pieces(f"{open_tag}first words here</p><p>it's more words</p><p>last</p>")
+        assert tags == ["p"] * 6 and places[0] == (0, len(open_tag)), open_tag
+    assert h.extract("<p title=don't>first words here </p>", w)[2] == "first words here"
+    assert h.pieces("<a href='x>y'>t")[2] == [(0, 14)]
+
+
+def test_unclosed_quotes_take_linear_time():
+    began = time.process_time()
+    h.pieces("<a b=\"" + "x<a b='y" * 40_000)
+    h.pieces("<a " * 40_000)
+    h.pieces("<a b=" * 40_000)
+    assert time.process_time() - began < 5
+
+
+def test_names_and_ids_of_any_kind(spark):
+    pages = spark.createDataFrame([("1", "u", "<p>some words</p>"), ("x", "u", "<p>other</p>")], "Page_ID string, `a.b` string, HTML string")
+    got = {r.page_id: r.text for r in h.content(pages, h.Weights()).collect()}
+    assert got == {1: "some words", None: "other"}
