@@ -7,8 +7,9 @@ the same again with the others that do, so equal hashes never drop a text that
 isn't equal.
 
 Defined cases: a null text equals nothing; empty texts are equal to each other.
-Rows with a null ``doc_id`` can't be named and are left out.  Rows that share a
-``doc_id`` are no duplicates of each other.  Other columns are ignored.
+Rows whose ``doc_id`` is null or no whole number can't be named and are left out.
+Rows that share a ``doc_id`` are no duplicates of each other.  Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_or_not, written
+from .shared import opened, small_or_not, whole_number, written
 
 
 def content_hash(text: Column) -> Column:
@@ -28,7 +29,7 @@ def content_hash(text: Column) -> Column:
 
 def duplicates(docs: DataFrame, digest: Callable[[Column], Column] = content_hash) -> DataFrame:
     """``doc_id, keep_id`` of each document whose bytes equal those of one of smaller id; ``keep_id`` is the smallest."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    named = opened(docs, "doc_id", "text")[0].select(whole_number("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return _pairs(named, digest).distinct()
 
 

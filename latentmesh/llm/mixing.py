@@ -13,7 +13,9 @@ Defined cases: a null source is a source of its own, named by None in given
 weights.  A source that is absent from given weights has weight 0 and goes.  A
 null or empty text has no tokens; it is emitted at its source's rate, and a
 source without any token has the rate 0.  A null ``doc_id`` draws as the empty
-string does.  Repeated rows draw alike.  Other columns are carried along.
+string does; ids of any type draw by their text.  Repeated rows draw alike.
+Other columns are carried along, whatever their names; one named like ``copy``
+but for case is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, fresh, small_or_not, written
+from .shared import BROADCAST_BYTES, opened, small_or_not, written
 
 ALPHA = 0.5
 SEED = 17
@@ -36,7 +38,7 @@ def tokens(text: Column) -> Column:
 
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = ALPHA, target_tokens: int | None = None) -> DataFrame:
     """``source, tokens, rate`` of every source in ``docs``."""
-    sums = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(tokens(F.col("text"))).alias("tokens"))
+    sums = opened(docs, "source", "text")[0].groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(tokens(F.col("text"))).alias("tokens"))
     if weights is None:
         weighed = sums.withColumn("w", F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(float(alpha)))).otherwise(F.lit(0.0)))
     else:
@@ -58,19 +60,19 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, alpha: float = ALPHA, target_tokens: int | None = None, seed: int = SEED, copy: str | None = None) -> DataFrame:
     """``docs`` with each row as often as its source's rate says; ``copy`` names a column for the number of the copy, from 0."""
-    name, rate, n = fresh(docs, "mix_source", "mix_rate", "mix_copies")
-    by_source = rates(docs, weights, alpha, target_tokens).select(F.col("source").alias(name), F.col("rate").alias(rate))
-    joined = docs.join(small_or_not(by_source, 128, BROADCAST_BYTES), F.col("source").cast("string").eqNullSafe(F.col(name)))
-    whole = F.floor(rate)
-    times = whole + F.when(draw(F.col("doc_id"), seed) < F.col(rate) - whole, 1).otherwise(0)
-    many = joined.withColumn(n, times.cast("int")).where(F.col(n) > 0)
-    number = F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    return many.select(*[docs[c] for c in docs.columns if c != copy], number.alias(copy or n)).drop(*([] if copy else [n]))
+    held, closed = opened(docs, "doc_id", "source", "text")
+    by_source = rates(held, weights, alpha, target_tokens).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
+    joined = held.join(small_or_not(by_source, 128, BROADCAST_BYTES), F.col("source").cast("string").eqNullSafe(F.col("mix_source")))
+    whole = F.floor("mix_rate")
+    times = whole + F.when(draw(F.col("doc_id"), seed) < F.col("mix_rate") - whole, 1).otherwise(0)
+    many = joined.withColumn("mix_copies", times.cast("int")).where("mix_copies > 0")
+    emitted = many.select(*held.columns, F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"))
+    return closed(emitted, **({copy: "mix_copy"} if copy else {}))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, source, copy`` of everything that the default mix emits."""
-    return mix(docs.select("doc_id", "source", "text"), copy="copy").select("doc_id", "source", "copy")
+    return mix(opened(docs, "doc_id", "source", "text")[0].select("doc_id", "source", "text"), copy="copy").select("doc_id", "source", "copy")
 
 
 SQL = rf"""

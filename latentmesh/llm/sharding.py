@@ -18,20 +18,22 @@ Defined cases: a null and an empty text have no bytes and are groups of their
 own.  Repeated rows are in one group.  With fewer groups than shards some
 shards stay empty; an empty table gives an empty result.  Ties are broken by
 the group's hash, so the result doesn't depend on the order of the rows.  Other
-columns are carried along; one named like the result's is replaced.
+columns are carried along, whatever their names; one named like the result's
+but for case is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, small_or_not, written
+from .shared import opened, small_or_not, written
 
 SHARDS = 16
 BUCKET = 20_000
@@ -147,15 +149,18 @@ def content_key(text: Column) -> Column:
 
 def shard(docs: DataFrame, shards: int = SHARDS, key: Column | None = None, to: str = "shard", bucket: int = BUCKET, fan_in: int = FAN_IN) -> DataFrame:
     """``docs`` with the number of its shard in column ``to``; rows of equal ``key``, by default of equal text, share one."""
-    name, size = fresh(docs, "shard_key", "shard_bytes")
-    key = content_key(F.col("text")) if key is None else F.xxhash64(key)
-    sizes = docs.select(key.alias("key"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes"))
+    held, closed = opened(docs, "text")
+    if key is None:
+        keyed = held.withColumn("shard_key", content_key(F.col("text")))
+    else:  # it may name any column of docs, so it's worked out beside the renamed ones
+        name = f"key-{uuid.uuid4().hex}"
+        keyed = opened(docs.select("*", F.xxhash64(key).alias(name)), "text", name)[0].withColumnRenamed(name, "shard_key")
+    sizes = keyed.select(F.col("shard_key").alias("key"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes"))
     placed = written(plan(sizes.groupBy("key").agg(F.sum("bytes").alias("bytes")), shards, bucket, fan_in), "sharding-plan")
-    found = placed.select(F.col("key").alias(name), F.col("shard").alias(size))
-    joined = docs.withColumn(name, key).join(small_or_not(found, 24), name)
-    return joined.select(*[F.col(c) for c in docs.columns if c.lower() != to.lower()], F.col(size).alias(to))
+    found = placed.select(F.col("key").alias("shard_key"), F.col("shard").alias("shard_number"))
+    return closed(keyed.join(small_or_not(found, 24), "shard_key"), **{to: "shard_number"})
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, shard`` of every document."""
-    return shard(docs.select("doc_id", "text"), shards).select("doc_id", "shard")
+    return shard(opened(docs, "doc_id", "text")[0].select("doc_id", "text"), shards).select("doc_id", "shard")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from latentmesh.llm import exact_dedup
 
-from .fixtures import awkward, documents, with_clashes, words
+from .fixtures import awkward, documents, odd_names, with_clashes, words
 
 
 def slow(rows):
@@ -39,3 +39,9 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert exact_dedup.duplicates(documents(spark, [(1, "x")]).where("false")).count() == 0
+
+
+def test_names_and_ids_of_any_kind(spark):
+    docs = documents(spark, [(1, "a"), (2, "a"), (3, "b")])
+    assert [tuple(r) for r in exact_dedup.duplicates(odd_names(docs)).collect()] == [(2, 1)]
+    assert exact_dedup.duplicates(docs.selectExpr("concat('n', doc_id) AS doc_id", "text")).count() == 0

@@ -2,9 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from latentmesh.llm import mixing
 
-from .fixtures import awkward, documents, with_clashes, words
+from .fixtures import awkward, documents, odd_names, with_clashes, words
 
 
 def slow(rows, weights, seed=mixing.SEED):
@@ -77,3 +79,12 @@ def test_without_broadcast(spark, monkeypatch):
     want = Counter(r.doc_id for r in mixing.mix(docs).collect())
     monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
     assert Counter(r.doc_id for r in mixing.mix(docs).collect()) == want
+
+
+def test_names_and_ids_of_any_kind(spark):
+    docs = odd_names(documents(spark, [(k, f"text {k}", "en", "s", 6) for k in range(20)]))
+    got = mixing.mix(docs, copy="copy")
+    assert got.columns == [c for c in docs.columns if c != "Copy"] + ["copy"] and got.count() == 20
+    assert mixing.mix(docs).columns == docs.columns
+    named = docs.withColumn("Doc_ID", F.concat(F.lit("n"), F.col("Doc_ID").cast("string")))
+    assert mixing.mix(named).count() == 20

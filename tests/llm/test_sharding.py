@@ -3,10 +3,11 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latentmesh.llm import sharding
 
-from .fixtures import awkward, documents, with_clashes, words
+from .fixtures import awkward, documents, odd_names, with_clashes, words
 
 
 def slow_difference(sizes, k):
@@ -88,3 +89,11 @@ def test_awkward_rows(spark):
     assert len({r.shard for r in rows if r.text == ""}) == 1
     assert all(0 <= r.shard < 4 for r in rows)
     assert sharding.shard(docs.where("false"), 4).count() == 0
+
+
+def test_names_and_keys_of_any_kind(spark):
+    docs = odd_names(documents(spark, [(k, f"text {k}") for k in range(20)]))
+    got = sharding.shard(docs, 4)
+    assert got.columns == [c for c in docs.columns if c != "SHARD"] + ["shard"] and got.count() == 20
+    by = sharding.shard(docs, 4, key=F.col("`a.b`"))
+    assert by.count() == 20 and by.select("shard").distinct().count() == 1
