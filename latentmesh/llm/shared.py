@@ -106,17 +106,6 @@ def opened(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFr
     return df.toDF(*names), closed
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """A name for each of ``names`` that no column of ``df`` has, whatever the case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def whole_number(name: str) -> Column:
     """An id as a long; what isn't a whole number, such as a name, is null."""
     return F.col(name).try_cast("long")
