@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import api
 from .operators import evaluation, simulation
-from .operators.counts import count_features, wide
+from .operators.counts import count_features, totals, wide
 from .sources import files
 
 VERBOSE = 15
@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
         m.add_argument(name, required=True)
     s = verbs.add_parser("simulate", help="draw counts of known rates")
     s.add_argument("action", choices=["create", "evaluate"])
-    s.add_argument("kind", choices=["single", "pair"])
+    s.add_argument("kind", choices=["single", "pair", "matrix"])
     s.add_argument("--out", required=True)
     s.add_argument("--samples", type=int, default=1000)
     s.add_argument("--simulations", type=int, default=2500)
@@ -51,10 +51,31 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--driver-proportion", type=float, default=1.0)
     s.add_argument("--length", type=int, default=10_000)
     s.add_argument("--rate", type=float, default=1e-6)
+    s.add_argument("--counts", help="matrix: the counts whose features are simulated")
+    s.add_argument("--pmfs", help="matrix: their backgrounds")
+    s.add_argument("--drivers", help="matrix: a table of driver genes")
+    s.add_argument("--me-pairs", type=int, default=25)
+    s.add_argument("--co-pairs", type=int, default=25)
+    s.add_argument("--tau-low", type=float, default=0.05)
+    s.add_argument("--tau-high", type=float, default=0.15)
+    s.add_argument("--passengers", type=int, default=100)
+    s.add_argument("--results", help="matrix: a folder of runs R1, R2, ... with the tables of pairs and what was planted")
+    s.add_argument("--direction", choices=["ME", "CO"], default="ME")
     s.add_argument("--seed", type=int, default=0)
     return p
 
 
+def simulate_matrix(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Draws a matrix of counts with planted pairs and writes it; what was planted."""
+    long, _, _ = files.read_counts(spark, a.counts)
+    pmfs = files.read_pmfs(spark, a.pmfs)
+    known = totals(long).join(pmfs.select("feature"), "feature", "left_semi")
+    drivers, passengers = simulation.chosen_features(known, files.read_drivers(spark, a.drivers, files.first_column(spark, a.drivers)), 2 * (a.me_pairs + a.co_pairs), a.passengers)
+    drawn, planted = simulation.matrix(pmfs, drivers, passengers, a.me_pairs, a.co_pairs, a.samples, a.tau_low, a.tau_high, a.driver_proportion, a.seed)
+    drawn.write.mode("overwrite").parquet(f"{a.out}/counts")
+    return planted
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     a = parser().parse_args(argv)
     logging.basicConfig(level=VERBOSE if a.verbose else logging.INFO)
@@ -66,7 +87,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         options = {"dig": files.read_dig(spark, a.dig_results), "n_samples": a.dig_samples} if a.background == "negative_binomial" else {}
         made = api.estimate_background(found, a.background, **options)
         names = [r[0] for r in found.select("feature").distinct().orderBy("feature").collect()]  # the columns of a wide file
-        files.write_csv(wide(found, names), f"{a.out}/count_matrix")
+        files.write_csv(wide(found, names), f"{a.out}/count_matrix", one_file=False)
         pmfs = made.pmfs
         most = pmfs.agg(F.max(F.size("pmf"))).first()[0] or 1
         files.write_csv(pmfs.select(F.col("feature").alias("gene"), *[F.get("pmf", F.lit(k)).alias(str(k)) for k in range(most)]), f"{a.out}/bmr_pmfs")
@@ -78,6 +99,16 @@ def main(argv: Sequence[str] | None = None) -> None:
         read = lambda p: spark.read.option("header", True).csv(p)
         rename = lambda d: d.withColumnsRenamed({"Gene A": "a", "Gene B": "b"})
         api.merge_results(rename(read(a.pairs)), rename(read(a.comparison)), a.out)
+    elif a.kind == "matrix":
+        if a.action == "create":
+            if not (a.counts and a.pmfs and a.drivers):
+                raise SystemExit("--counts, --pmfs and --drivers are needed")
+            planted = simulate_matrix(spark, a)
+            files.write_truth(spark, planted, a.out)
+        else:
+            if not a.results:
+                raise SystemExit("--results is needed")
+            api.evaluate_matrix(spark, a.results, a.direction, a.out)
     else:
         pmf = simulation.binomial_pmf(a.length, a.rate)
         if a.action == "evaluate":

@@ -6,7 +6,6 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,30 +24,54 @@ def log_factorial(n: Column) -> Column:
 def hypergeometric_tail(n11: Column, n10: Column, n01: Column, n00: Column, less: bool) -> Column:
     """One-sided exact p-value of a 2 x 2 table: the probability of at most, or at least, n11.
 
-    Only the observed table's probability is computed from factorials; the
-    others follow from it by the ratio of neighbours.
+    From the observed table outwards, on its side of the mode, probabilities
+    only fall: they are summed as shares of the observed one, whose logarithm
+    comes from factorials, and as far as forty deviations, beyond which nothing
+    is left.  A table on the other side of the mode gets 1 less the rest.  So no
+    sum can underflow before its logarithm does, and the number of terms grows
+    with the root of the number of samples.
     """
-    a, b, n = n11 + n10, n11 + n01, n11 + n10 + n01 + n00
-    first = F.exp(log_factorial(a) + log_factorial(b) + log_factorial(n - a) + log_factorial(n - b) - log_factorial(n) - log_factorial(n11) - log_factorial(n10) - log_factorial(n01) - log_factorial(n00))
     x, y, z, w = (c.cast("double") for c in (n11, n10, n01, n00))
+    a, b, n = x + y, x + z, x + y + z + w
+    mode = F.floor((a + 1) * (b + 1) / (n + 2))
+    most = F.floor(40 * F.sqrt(a * b * (n - a) * (n - b) / F.greatest(n * n * (n - 1), F.lit(1.0)))) + 60
+    margins = log_factorial(a) + log_factorial(b) + log_factorial(n - a) + log_factorial(n - b) - log_factorial(n)
+
+    def outwards(x: Column, y: Column, z: Column, w: Column, down: bool) -> Column:
+        """The tail from this table on."""
+        log = margins - log_factorial(x) - log_factorial(y) - log_factorial(z) - log_factorial(w)
+        steps = F.least(x, w, most) if down else F.least(y, z, most)
+        ratio = (lambda j: (x - j + 1) * (w - j + 1) / ((y + j) * (z + j))) if down else (lambda j: (y - j + 1) * (z - j + 1) / ((x + j) * (w + j)))
+        grow = lambda acc, j: F.struct((acc.t * ratio(j)).alias("t"), (acc.s + acc.t * ratio(j)).alias("s"))
+        one = F.lit(1.0)
+        shares = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, one).cast("int")), F.struct(one.alias("t"), one.alias("s")), grow, lambda acc: F.ln(acc.s))
+        return F.exp(log + F.when(steps < 1, F.lit(0.0)).otherwise(shares))
+
     if less:
-        steps = F.least(n11, n00)
-        ratio = lambda j: (x - j + 1) * (w - j + 1) / ((y + j) * (z + j))
+        tail = F.when(x <= mode, outwards(x, y, z, w, True)).when((y < 1) | (z < 1), F.lit(1.0)).otherwise(1 - outwards(x + 1, y - 1, z - 1, w + 1, False))
     else:
-        steps = F.least(n10, n01)
-        ratio = lambda j: (y - j + 1) * (z - j + 1) / ((x + j) * (w + j))
-    start = F.struct(first.alias("t"), first.alias("s"))
-    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1).cast("long"))), start, lambda acc, j: F.struct((acc.t * ratio(j)).alias("t"), (acc.s + acc.t * ratio(j)).alias("s")), lambda acc: acc.s)
-    return F.least(F.lit(1.0), F.when(steps < 1, first).otherwise(more))
+        tail = F.when(x >= mode, outwards(x, y, z, w, False)).when((x < 1) | (w < 1), F.lit(1.0)).otherwise(1 - outwards(x - 1, y + 1, z + 1, w - 1, True))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))
 
 
-def _chi2_tail(x: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None or v != v else math.erfc(math.sqrt(max(v, 0.0) / 2)) for v in x], dtype=float)
+def erfc(z: Column) -> Column:
+    """The complementary error function of numbers from 0 up: by its series below 2, by its continued fraction from there on."""
+    near, far = F.least(z, F.lit(2.0)), F.greatest(z, F.lit(2.0))
+    term = lambda acc, k: F.struct((acc.t * 2 * near * near / (2 * k + 1)).alias("t"), (acc.s + acc.t * 2 * near * near / (2 * k + 1)).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(near.alias("t"), near.alias("s")), term, lambda acc: acc.s)
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1)), far, lambda acc, k: far + k / 2 / acc)
+    root = math.sqrt(math.pi)
+    return F.when(z < 2, 1 - 2 / root * F.exp(-near * near) * series).otherwise(F.exp(-far * far) / root / fraction)
 
 
 def chi2_tail(x: Column) -> Column:
-    """Upper tail of chi-squared with one degree of freedom; negative statistics count as 0."""
-    return F.pandas_udf(_chi2_tail, "double")(x)
+    """Upper tail of chi-squared with one degree of freedom; negative statistics count as 0, and what isn't a number is null."""
+    return F.when(x.isNotNull() & ~F.isnan(x), erfc(F.sqrt(F.greatest(x, F.lit(0.0)) / 2)))
+
+
+def rate_of(p: Column) -> Column:
+    """The Poisson rate whose chance of any event is ``p``."""
+    return -F.ln(1 - p)
 
 
 def poisson_pmf(rate: Column, kmax: int) -> Column:
@@ -97,6 +120,11 @@ def epsilon(n: float, alpha: float = 0.001) -> float:
     return z * z / (n + z * z)
 
 
+def epsilon_column(n: Column, alpha: float = 0.001) -> Column:
+    z = NormalDist().inv_cdf(1 - alpha)
+    return F.lit(z * z) / (n + F.lit(z * z))
+
+
 def restarts(n_inits: int, seed: int) -> tuple[list[float], list[list[float]]]:
     """The starting points of the fits: an informed one and random ones, for single features and for pairs."""
     one, two = np.random.default_rng(seed), np.random.default_rng(seed)

@@ -1,4 +1,14 @@
-"""Background distributions of counts, ``feature, pmf`` shared by all samples or ``feature, sample, pmf`` for each."""
+"""Background distributions of counts.
+
+``feature, pmf`` is shared by all samples and ``feature, sample, pmf`` has one for
+each.  ``feature, class, pmf`` has one for each class of samples with equal
+backgrounds, which is what fits take: their histograms then grow with the
+number of classes and not of samples.  Where every sample has a background of
+its own, it is its own class.
+
+``kmax`` is the largest count that has a probability; ``largest`` finds that of
+a cohort, beyond which there is nothing to look up.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +23,6 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 
-KMAX = 8
-
-
 @dataclass(frozen=True)
 class Background:
     counts: DataFrame | None
@@ -29,7 +36,12 @@ class Provider(Protocol):
     def estimate(self, counts: DataFrame | None) -> Background: ...
 
 
-def poisson(totals: DataFrame, n: Column, share: float = 0.8, kmax: int = KMAX) -> DataFrame:
+def largest(counts: DataFrame) -> int:
+    """The largest count, at least 1."""
+    return int(counts.agg(F.greatest(F.coalesce(F.max("c"), F.lit(1)), F.lit(1))).first()[0])
+
+
+def poisson(totals: DataFrame, n: Column, share: float, kmax: int) -> DataFrame:
     """Poisson with ``share`` of a feature's mean count."""
     return totals.select("feature", special.poisson_pmf(F.lit(share) * F.col("total") / n, kmax).alias("pmf"))
 
@@ -51,41 +63,73 @@ def negative_binomial(dig: DataFrame, n_samples: int, max_count: int | None = No
     return both.crossJoin(F.broadcast(top)).select("feature", F.when(F.col("pi") > 0, special.negative_binomial_pmf(F.col("size"), F.col("p"), F.col("kmax"))).otherwise(zero).alias("pmf"))  # one row is broadcast
 
 
-def by_burden(expected: DataFrame, burdens: DataFrame, kmax: int = KMAX, least: float = 1e-9) -> DataFrame:
-    """``feature, sample, lambda, pmf``: a feature's expectation times the sample's burden over the mean one."""
-    mean = burdens.agg(F.avg("burden").alias("mean"))
-    scale = burdens.crossJoin(F.broadcast(mean)).select("sample", (F.col("burden") / F.col("mean")).alias("scale"))  # one row is broadcast
-    rates = expected.select("feature", "expected").crossJoin(scale).select("feature", "sample", F.greatest(F.col("expected") * F.col("scale"), F.lit(least)).alias("lambda"))
+def _scaled(expected: DataFrame, burdens: DataFrame, key: str, kmax: int, least: float) -> DataFrame:
+    mean = burdens.agg((F.sum(F.col("burden") * F.col("n")) / F.sum("n")).alias("mean"))
+    scale = burdens.crossJoin(F.broadcast(mean)).select(key, (F.col("burden") / F.col("mean")).alias("scale"))  # one row is broadcast
+    rates = expected.select("feature", "expected").crossJoin(scale).select("feature", key, F.greatest(F.col("expected") * F.col("scale"), F.lit(least)).alias("lambda"))
     return rates.withColumn("pmf", special.poisson_pmf(F.col("lambda"), kmax))
 
 
-def by_rates(rates: DataFrame, samples: DataFrame, kmax: int = KMAX, least: float = 1e-12) -> DataFrame:
-    """``feature, sample, lambda, pmf`` of given rates; a sample without one has the feature's mean."""
+def by_burden(expected: DataFrame, burdens: DataFrame, kmax: int, least: float = 1e-9) -> DataFrame:
+    """``feature, sample, lambda, pmf``: a feature's expectation times the sample's burden over the mean one."""
+    return _scaled(expected, burdens.withColumn("n", F.lit(1)), "sample", kmax, least)
+
+
+def burden_classes(burdens: DataFrame) -> DataFrame:
+    """``sample, class``: samples of one burden have one background."""
+    return burdens.select("sample", F.col("burden").alias("class"))
+
+
+def by_burden_class(expected: DataFrame, burdens: DataFrame, kmax: int, least: float = 1e-9) -> DataFrame:
+    """``feature, class, lambda, pmf``: the same for each burden instead of each sample."""
+    return _scaled(expected, burdens.groupBy("burden").agg(F.count("*").alias("n")).withColumn("class", F.col("burden")), "class", kmax, least)
+
+
+def own_classes(samples: DataFrame) -> DataFrame:
+    """``sample, class``: every sample for itself."""
+    return samples.select("sample", F.col("sample").alias("class"))
+
+
+def by_rates(rates: DataFrame, samples: DataFrame, kmax: int, fallback: DataFrame | None = None, least: float = 1e-12) -> DataFrame:
+    """``feature, class, lambda, pmf`` of given rates ``feature, sample, lambda``.
+
+    A sample without a rate has the feature's mean; a feature without any has
+    its shared distribution in ``fallback``, if there is one.
+    """
     mean = rates.groupBy("feature").agg(F.avg("lambda").alias("mean"))
     full = mean.crossJoin(samples.select("sample")).join(rates, ["feature", "sample"], "left")
-    return full.select("feature", "sample", F.greatest(F.coalesce("lambda", "mean"), F.lit(least)).alias("lambda")).withColumn("pmf", special.poisson_pmf(F.col("lambda"), kmax))
+    made = full.select("feature", F.col("sample").alias("class"), F.greatest(F.coalesce("lambda", "mean"), F.lit(least)).alias("lambda")).withColumn("pmf", special.poisson_pmf(F.col("lambda"), kmax))
+    if fallback is None:
+        return made
+    rest = fallback.select("feature", "pmf").join(mean, "feature", "left_anti").crossJoin(samples.select(F.col("sample").alias("class")))
+    return made.unionByName(rest.select("feature", "class", special.pmf_mean(F.col("pmf")).alias("lambda"), "pmf"))
 
 
-def by_exposure(genes: DataFrame, factors: DataFrame, n: int, kmax: int = KMAX, least: float = 1e-12) -> DataFrame:
-    """``feature, sample, lambda, pmf`` from ``gene, mutrate, n_eff, nmis, nnon, nspl`` and a factor of each sample."""
-    both = genes.select("mutrate", "n_eff", F.inline(F.array(F.struct(F.concat("gene", F.lit("_M")).alias("feature"), F.col("nmis").alias("sites")), F.struct(F.concat("gene", F.lit("_N")), F.col("nnon") + F.col("nspl")))))
-    rate = F.greatest(F.col("sites") / n * F.col("mutrate") * F.col("factor"), F.lit(least))
-    return both.crossJoin(factors).select("feature", "sample", rate.alias("lambda")).withColumn("pmf", special.poisson_pmf(F.col("lambda"), kmax))
+def exposure_rates(genes: DataFrame, factors: DataFrame, n: int) -> DataFrame:
+    """``feature, sample, lambda`` from ``gene, mutrate, n_eff, nmis, nnon, nspl`` and a ``factor`` of each sample.
+
+    A gene's rate is the mean number of its sites a sample, covered in ``n_eff``,
+    times its chance of a mutation; splice sites count as nonsense.
+    """
+    both = genes.select("mutrate", "n_eff", F.inline(F.array(F.struct(F.concat("gene", F.lit("_M")).alias("feature"), F.col("nmis").alias("sites")), F.struct(F.concat("gene", F.lit("_N")).alias("feature"), (F.col("nnon") + F.col("nspl")).alias("sites")))))
+    return both.crossJoin(factors).select("feature", "sample", (F.col("sites") / n * F.col("mutrate") * F.col("factor")).alias("lambda"))
 
 
-def expected(pmfs: DataFrame) -> DataFrame:
-    """``feature, expected``: the mean count a sample."""
-    return pmfs.groupBy("feature").agg(F.avg(special.pmf_mean(F.col("pmf"))).alias("expected"))
+def expected(pmfs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """``feature, expected``: the mean count a sample; distributions of classes weigh as many as are in each."""
+    mean = special.pmf_mean(F.col("pmf"))
+    if classes is None:
+        return pmfs.groupBy("feature").agg(F.avg(mean).alias("expected"))
+    sizes = classes.groupBy("class").agg(F.count("*").alias("n"))
+    return pmfs.join(sizes, "class").groupBy("feature").agg((F.sum(mean * F.col("n")) / F.sum("n")).alias("expected"))
 
 
-def max_entropy(row_sums: np.ndarray, column_sums: np.ndarray, sweeps: int = 200, tol: float = 1e-6, halvings: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def max_entropy(rows: np.ndarray, many_rows: np.ndarray, columns: np.ndarray, many_columns: np.ndarray, sweeps: int = 200, tol: float = 1e-6, halvings: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """a and b with p = 1 / (1 + exp(a + b)) having the given sums in expectation.
 
-    Equal sums have equal solutions, so only distinct ones, with their numbers,
-    are solved; each side in turn by bisection on [-50, 50].
+    Equal sums have equal solutions, so distinct ones are given, with how many
+    have each; each side is solved in turn by bisection on [-50, 50].
     """
-    rows, of_row, many_rows = np.unique(row_sums, return_inverse=True, return_counts=True)
-    columns, of_column, many_columns = np.unique(column_sums, return_inverse=True, return_counts=True)
     a, b = np.zeros(len(rows)), np.zeros(len(columns))
 
     def solve(sums: np.ndarray, other: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -102,7 +146,7 @@ def max_entropy(row_sums: np.ndarray, column_sums: np.ndarray, sweeps: int = 200
         fitted = (many_columns / (1 + np.exp(a[:, None] + b[None]))).sum(1)
         if np.abs(fitted - rows).max(initial=0) < tol:
             break
-    return a[of_row], b[of_column]
+    return a, b
 
 
 def max_entropy_background(counts: DataFrame, least: float = 1e-12) -> DataFrame:
@@ -114,8 +158,7 @@ def max_entropy_background(counts: DataFrame, least: float = 1e-12) -> DataFrame
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         r, c = (frame[frame["side"] == k].sort_values("s") for k in (0, 1))
-        a, b = max_entropy(np.repeat(r["s"].to_numpy(float), r["n"]), np.repeat(c["s"].to_numpy(float), c["n"]))
-        a, b = a[np.cumsum(r["n"].to_numpy()) - 1], b[np.cumsum(c["n"].to_numpy()) - 1]
+        a, b = max_entropy(*(v.to_numpy(float) for x in (r, c) for v in (x["s"], x["n"])))
         p = np.clip(1 / (1 + np.exp(a[:, None] + b[None])), least, 1 - least)
         return pd.DataFrame({"feature_sum": np.repeat(r["s"].to_numpy(), len(c)), "sample_sum": np.tile(c["s"].to_numpy(), len(r)), "p": p.ravel()})
 
@@ -125,13 +168,13 @@ def max_entropy_background(counts: DataFrame, least: float = 1e-12) -> DataFrame
 @dataclass(frozen=True)
 class PoissonProvider:
     share: float = 0.8
-    kmax: int = KMAX
+    kmax: int | None = None
 
     def estimate(self, counts: DataFrame | None) -> Background:
         if counts is None:
             raise ValueError("counts are needed")
         n = counts.agg(F.count_distinct("sample")).first()[0]
-        return Background(counts, poisson(counts.groupBy("feature").agg(F.sum("c").alias("total")), F.lit(n), self.share, self.kmax))
+        return Background(counts, poisson(counts.groupBy("feature").agg(F.sum("c").alias("total")), F.lit(n), self.share, self.kmax or largest(counts)))
 
 
 @dataclass(frozen=True)

@@ -10,27 +10,64 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import special
+from ..sources.staging import staged
 from .calls import benjamini_hochberg
 
 
+def _tilted(p: np.ndarray, many: np.ndarray, x: int) -> float:
+    """P(at least x), x above the mean, of the sum of independent events, ``many`` of each chance.
+
+    Every chance's odds are raised by one factor e^t until the mean is x.  The
+    raised sum's probabilities, within twelve deviations of x, come from its
+    characteristic function; weighing each back by e^-t(k - x) leaves the tail
+    precise however small it is, as its large terms are those near x.
+    """
+    n = int(many.sum())
+    if x > n - int(many[p <= 0].sum()):
+        return 0.0
+    log_odds = np.log(p) - np.log1p(-p)
+    low, high = 0.0, 1.0
+    chance = lambda t: 0.5 * (1 + np.tanh((log_odds + t) / 2))
+    while (many * chance(high)).sum() < x and high < 700:
+        low, high = high, 2 * high
+    for _ in range(60):
+        t = (low + high) / 2
+        low, high = (t, high) if (many * chance(t)).sum() < x else (low, t)
+    t = (low + high) / 2
+    q = chance(t)
+    scale = float((many * (np.logaddexp(0, log_odds + t) - np.logaddexp(0, log_odds))).sum()) - t * x
+    sd = float(np.sqrt((many * q * (1 - q)).sum()))
+    first, last = max(0, int(x - 12 * sd - 20)), min(n, int(x + 12 * sd + 20))
+    size = last - first + 1
+    turn = 2j * np.pi * np.arange(size) / size
+    w, log = np.exp(turn), -turn * first
+    for c, k in zip(q, many):
+        log = log + k * np.log(1 - c + c * w)
+    pmf = np.clip(np.fft.fft(np.exp(log)).real / size, 0, 1)[x - first :]
+    return float(min(1.0, np.exp(scale) * (pmf * np.exp(-t * np.arange(len(pmf)))).sum()))
+
+
 def poisson_binomial(p: np.ndarray, many: np.ndarray, x: int) -> tuple[float, float]:
     """P(at most x) and P(at least x) of the sum of independent events, ``many`` of each chance.
 
-    The characteristic function is inverted over the sums within twelve
-    standard deviations of the mean, outside of which there is less than a
-    double can tell; so the cost grows with the root of the number of events.
+    The tail away from the mean is computed with full relative precision, the
+    other one as its complement; the cost grows with the root of the number of
+    events.
     """
-    n, mean, sd = int(many.sum()), float((many * p).sum()), float(np.sqrt((many * p * (1 - p)).sum()))
-    low, high = max(0, int(mean - 12 * sd - 20)), min(n, int(mean + 12 * sd + 20))
-    if not low <= x <= high:
-        return (0.0, 1.0) if x < low else (1.0, 0.0)
-    size = high - low + 1
-    turn = 2j * np.pi * np.arange(size) / size
-    w, log = np.exp(turn), -turn * low
-    for q, k in zip(p, many):
-        log = log + k * np.log(1 - q + q * w)
-    pmf = np.clip(np.fft.fft(np.exp(log)).real / size, 0, 1)
-    return float(min(1, pmf[: x - low + 1].sum())), float(min(1, pmf[x - low :].sum()))
+    keep = many > 0
+    p, many = np.clip(p[keep], 1e-300, 1 - 1e-16), many[keep]
+    n, mean = int(many.sum()), float((many * p).sum())
+    if x < 0 or x > n:
+        return (0.0, 1.0) if x < 0 else (1.0, 0.0)
+
+    def least(x: int) -> float:
+        return 1.0 if x <= 0 else _tilted(p, many, x) if x > mean else 1 - most(x - 1)
+
+    def most(x: int) -> float:
+        return 1.0 if x >= n else _tilted(1 - p, many, n - x) if x < mean else 1 - least(x + 1)
+
+    return most(x), least(x)
 
 
 def overlap_test(tables: DataFrame, background: DataFrame, sample_sums: DataFrame) -> DataFrame:
@@ -54,38 +91,41 @@ def overlap_test(tables: DataFrame, background: DataFrame, sample_sums: DataFram
     return benjamini_hochberg(benjamini_hochberg(tested, "me_p", "me_q", ties=["a", "b"]), "co_p", "co_q", ties=["a", "b"])
 
 
-def exclusivity_ratio(n11: int, n10: int, n01: int, n00: int) -> float:
-    """Likelihood ratio of a mutually exclusive pair, after Hua et al. (2016).
+def exclusivity_ratio(n11: np.ndarray, n10: np.ndarray, n01: np.ndarray, n00: np.ndarray, steps: int = 2000) -> np.ndarray:
+    """Likelihood ratios of mutually exclusive pairs, after Hua et al. (2016).
 
     A share g of the samples has exactly one of the two events besides
     independent background events; g = 0 is the null hypothesis.
     """
+    n11, n10, n01, n00 = (np.asarray(v, float) for v in (n11, n10, n01, n00))
     n = n11 + n10 + n01 + n00
-    pa, pb = (n11 + n10) / n, (n11 + n01) / n
 
-    def loglik(g: float, a: float, b: float) -> float:
+    def loglik(g: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         p11 = g * (a + b) / 2 + (1 - g) * a * b
         p10 = g * (1 - b) / 2 + (1 - g) * a * (1 - b)
         p01 = g * (1 - a) / 2 + (1 - g) * (1 - a) * b
         p00 = (1 - g) * (1 - a) * (1 - b)
-        return sum(k * math.log(max(p, 1e-300)) for k, p in ((n11, p11), (n10, p10), (n01, p01), (n00, p00)) if k)
+        return sum(k * np.log(np.maximum(p, 1e-300)) for k, p in ((n11, p11), (n10, p10), (n01, p01), (n00, p00)))
 
-    null = loglik(0.0, pa, pb)
-    g, a, b, best = (n10 + n01) / n, pa / 2, pb / 2, null
-    for _ in range(2000):  # what covers a sample - a, b or neither - is latent
+    pa, pb = (n11 + n10) / n, (n11 + n01) / n
+    null = loglik(np.zeros(len(n)), pa, pb)
+    g, a, b, best = (n10 + n01) / n, pa / 2, pb / 2, null.copy()
+    going = np.ones(len(n), bool)
+    for _ in range(steps):  # what covers a sample - a, b or neither - is latent
         p11 = (g * b / 2, g * a / 2, (1 - g) * a * b)
-        p10 = (g * (1 - b) / 2, 0.0, (1 - g) * a * (1 - b))
-        p01 = (0.0, g * (1 - a) / 2, (1 - g) * (1 - a) * b)
-        share = [[k * q / (sum(p) or 1.0) for q in p] for k, p in ((n11, p11), (n10, p10), (n01, p01))]
+        p10 = (g * (1 - b) / 2, np.zeros(len(n)), (1 - g) * a * (1 - b))
+        p01 = (np.zeros(len(n)), g * (1 - a) / 2, (1 - g) * (1 - a) * b)
+        share = [[k * q / np.where(sum(p) > 0, sum(p), 1.0) for q in p] for k, p in ((n11, p11), (n10, p10), (n01, p01))]
         by_a, by_b = (sum(s[i] for s in share) for i in (0, 1))
-        g = (by_a + by_b) / n
-        a = (n11 + n10 - by_a) / max(n - by_a, 1e-9)
-        b = (n11 + n01 - by_b) / max(n - by_b, 1e-9)
+        g = np.where(going, (by_a + by_b) / n, g)
+        a = np.where(going, (n11 + n10 - by_a) / np.maximum(n - by_a, 1e-9), a)
+        b = np.where(going, (n11 + n01 - by_b) / np.maximum(n - by_b, 1e-9), b)
         now = loglik(g, a, b)
-        if abs(now - best) < 1e-10:
+        going &= np.abs(now - best) >= 1e-10
+        if not going.any():
             break
-        best = now
-    return max(0.0, 2 * (max(best, null) - null))
+        best = np.where(going, now, best)
+    return np.maximum(0.0, 2 * (np.maximum(best, null) - null))
 
 
 def exclusivity_test(tables: DataFrame) -> DataFrame:
@@ -93,37 +133,102 @@ def exclusivity_test(tables: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            s = [exclusivity_ratio(*map(int, r)) for r in frame[["n11", "n10", "n01", "n00"]].to_numpy()]
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "s": s, "p": [0.5 * math.erfc(math.sqrt(x / 2)) for x in s]})
+            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "s": exclusivity_ratio(*(frame[c].to_numpy() for c in ("n11", "n10", "n01", "n00")))})
+
+    ratios = tables.select("a", "b", "n11", "n10", "n01", "n00").mapInPandas(run, "a string, b string, s double")
+    return benjamini_hochberg(ratios.withColumn("p", special.chi2_tail(F.col("s")) / 2), "p", "q", ties=["a", "b"])
 
-    return benjamini_hochberg(tables.select("a", "b", "n11", "n10", "n01", "n00").mapInPandas(run, "a string, b string, s double, p double"), "p", "q", ties=["a", "b"])
+
+def weighted_draws(rng: np.random.Generator, weight: np.ndarray, many: np.ndarray, k: int, times: int) -> np.ndarray:
+    """How many of each class, (times, classes), are among ``k`` drawn without replacement, one after the other by weight.
+
+    Drawing by weight is taking those whose exponential clocks, of a rate equal
+    to the weight, ring first.  So time passes in steps in which the numbers
+    that ring are binomial; a step is so short that hardly ever more ring than
+    are still wanted.  Where more do, the step is halved until the wanted ones
+    are apart from the others.  The last few are drawn one by one.
+    """
+    taken = np.zeros((times, len(weight)), dtype=np.int64)
+    rows = np.arange(times)
+    while len(rows):
+        left = many - taken[rows]
+        want = k - taken[rows].sum(1)
+        if want.max(initial=0) <= 0:
+            break
+        everything, near = left.sum(1) <= want, want <= 32
+        taken[rows[everything]] += left[everything]
+        few, wanted = np.flatnonzero(near & ~everything), want.copy()
+        while (few := few[wanted[few] > 0]).size:
+            ahead = np.cumsum(left[few] * weight, axis=1)
+            c = (ahead <= rng.random(len(few))[:, None] * ahead[:, -1:]).sum(1)
+            left[few, c] -= 1
+            taken[rows[few], c] += 1
+            wanted[few] -= 1
+        near |= everything
+        rows, left, want = rows[~near], left[~near], want[~near]
+        if not len(rows):
+            break
+        goal = want - 5 * np.sqrt(want)  # in expectation
+        low, high = np.zeros(len(rows)), np.full(len(rows), 1.0)
+        ringing = lambda t, left=left: (left * -np.expm1(-weight * t[:, None])).sum(1)
+        while (short := ringing(high) < goal).any():
+            high[short] *= 2
+        for _ in range(50):
+            t = (low + high) / 2
+            low, high = np.where(ringing(t) < goal, t, low), np.where(ringing(t) < goal, high, t)
+        t = (low + high) / 2
+        rung = rng.binomial(left, -np.expm1(-weight * t[:, None]))
+        over = np.flatnonzero(rung.sum(1) > want)
+        rung[over] = _first_of(rng, weight, rung[over], want[over], t[over])
+        taken[rows] += rung
+    return taken
+
+
+def _first_of(rng: np.random.Generator, weight: np.ndarray, rung: np.ndarray, want: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Of the clocks that rang within ``t``, by class, how many are among the first ``want``."""
+    kept, rung, want, t = np.zeros_like(rung), rung.copy(), want.copy(), t.copy()
+    while (open_ := np.flatnonzero((want > 0) & (rung.sum(1) > want))).size:
+        t[open_] /= 2
+        # in the first half of a step, given that they rang within it
+        half = rng.binomial(rung[open_], 1 / (1 + np.exp(-weight * t[open_, None])))
+        fits = half.sum(1) <= want[open_]
+        done, later = open_[fits], open_[~fits]
+        kept[done] += half[fits]
+        want[done] -= half[fits].sum(1)
+        rung[done] -= half[fits]
+        rung[later] = half[~fits]
+    last = want > 0
+    kept[last] += rung[last]
+    return kept
 
 
 def weighted_test(tables: DataFrame, sample_sums: DataFrame, resamples: int = 100, seed: int = 0) -> DataFrame:
-    """``a, b, me_p, co_p`` after Kim et al. (2017): each feature's samples are drawn anew, weighed by their number of events.
+    """``a, b, me_p, co_p`` with q-values, after Kim et al. (2017): each feature's samples are drawn anew, weighed by their number of events.
 
-    Samples of one sum are alike, so a draw is a number from each class of sums.
+    Samples of one sum are alike, so a draw is a number from each class of sums,
+    and what two draws share in a class is hypergeometric; memory is that of the
+    classes and not of the samples.
     """
     classes = sample_sums.agg(F.array_sort(F.collect_list(F.struct("sample_sum", "n"))).alias("classes"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn: dict[tuple[str, int], np.ndarray] = {}  # as many as features
         for frame in frames:
             me, co = [], []
             for r in frame.itertuples():
                 weight = np.array([c["sample_sum"] for c in r.classes], float)
                 many = np.array([c["n"] for c in r.classes])
-                rng = np.random.default_rng([seed, *r.a.encode(), *r.b.encode()])
-                times = np.repeat(weight, many)
-                k = [int(r.n11 + r.n10), int(r.n11 + r.n01)]
-                keys = rng.exponential(size=(2, resamples, len(times))) / times
-                hit = [keys[i] <= np.partition(keys[i], max(0, k[i] - 1), axis=1)[:, max(0, k[i] - 1), None] if k[i] else np.zeros_like(keys[i], bool) for i in range(2)]
-                both = (hit[0] & hit[1]).sum(1)
+                for f, k in (x := (r.a, int(r.n11 + r.n10)), y := (r.b, int(r.n11 + r.n01))):
+                    if (f, k) not in drawn:
+                        drawn[f, k] = weighted_draws(np.random.default_rng([seed, *f.encode()]), weight, many, k, resamples)
+                both = np.random.default_rng([seed, *r.a.encode(), 0, *r.b.encode()]).hypergeometric(drawn[x], many - drawn[x], drawn[y]).sum(1)
                 me.append((1 + (both <= r.n11).sum()) / (resamples + 1))
                 co.append((1 + (both >= r.n11).sum()) / (resamples + 1))
             yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "me_p": me, "co_p": co})
 
     rows = tables.select("a", "b", "n11", "n10", "n01", "n00").crossJoin(F.broadcast(classes))  # one row is broadcast
-    return rows.mapInPandas(run, "a string, b string, me_p double, co_p double")
+    tested = rows.mapInPandas(run, "a string, b string, me_p double, co_p double")
+    return benjamini_hochberg(benjamini_hochberg(tested, "me_p", "me_q", ties=["a", "b"]), "co_p", "co_q", ties=["a", "b"])
 
 
 def logit_p(y: np.ndarray, x: np.ndarray, weight: np.ndarray, steps: int = 50) -> float | None:
@@ -187,15 +292,13 @@ def explained_by_burden(conditioned: DataFrame, alpha: float = 0.05) -> DataFram
 def compare(methods: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
     """The tables of all methods joined on the pair, and what went wrong with those left out; raises if all did.
 
-    A method's plan is run here, as a lazy one would only fail later.
+    A method's table is written here, as a lazy one would only fail later.
     """
     good, wrong = [], {}
     for name, make in methods.items():
         try:
             table = make()
-            table = table.select("a", "b", *[F.col(c).alias(f"{name}_{c}") for c in table.columns if c not in ("a", "b")]).cache()
-            table.count()
-            good.append(table)
+            good.append(staged(table.select("a", "b", *[F.col(c).alias(f"{name}_{c}") for c in table.columns if c not in ("a", "b")]), f"compare-{name}"))
         except Exception as e:  # one method's failure mustn't hide the others' results
             wrong[name] = str(e)
     if not good:

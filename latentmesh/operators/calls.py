@@ -5,7 +5,9 @@ Tables of results may hold many cohorts; ``by`` names the columns of a family.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +15,40 @@ from pyspark.sql import functions as F
 from ..functions import special
 from .counts import base_gene
 
-ME_METHODS = ("rho", "lrt", "fisher_me", "discover_me", "megsa", "wesme")
-CO_METHODS = ("lrt", "rho", "fisher_co", "discover_co", "wesco")
-CUTOFFS = {"fisher_me": 0.01, "fisher_co": 0.01, "discover_me": 0.01, "discover_co": 0.01, "wesme": 0.01, "wesco": 0.01, "megsa": 1e-3}
+@dataclass(frozen=True)
+class Method:
+    """The column that a method ranks pairs by and in which direction, and the one that it calls them by below a cutoff."""
+
+    column: str
+    ascending: bool
+    judged_by: str | None = None
+    cutoff: float | None = None
+    fitted: bool = False  # by joint rates: only pairs with both rates above the threshold and rho of the right sign
+    above: bool = False  # called above its cutoff
+
+
+#: Methods by direction; columns are those of the table of pairs joined with that of the comparison.  The cutoffs of rho
+#: and of the ratio are no constants but come from pairs without interaction, see ``thresholds``.
+ME_METHODS = {
+    "rho": Method("rho", True, "rho", fitted=True),
+    "lrt": Method("lrt", False, fitted=True),
+    "lor": Method("lor", False, fitted=True),
+    "wald": Method("wald", False, fitted=True),
+    "overlap": Method("overlap_me_p", True, "overlap_me_q", 0.01),
+    "fisher": Method("fisher_me_p", True, "fisher_me_q", 0.01),
+    "ratio": Method("ratio_s", False, "ratio_p", 1e-3),
+    "weighted": Method("weighted_me_p", True, "weighted_me_q", 0.01),
+}
+CO_METHODS = {
+    "rho": Method("rho", False, fitted=True),
+    "lrt": Method("lrt", False, "lrt", fitted=True, above=True),
+    "lor": Method("lor", True, fitted=True),
+    "wald": Method("wald", True, fitted=True),
+    "overlap": Method("overlap_co_p", True, "overlap_co_q", 0.01),
+    "fisher": Method("fisher_co_p", True, "fisher_co_q", 0.01),
+    "weighted": Method("weighted_co_p", True, "weighted_co_q", 0.01),
+}
+METHODS = {"ME": ME_METHODS, "CO": CO_METHODS}
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str, by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
@@ -74,11 +107,31 @@ def rank_pairs(pairs: DataFrame, direction: str, eps: Column | float, by: Sequen
     return found.withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(*order, "a", "b")))
 
 
-def rank_by(table: DataFrame, method: str, ascending: bool, k: int, cutoff: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The first ``k`` rows by a method's column, nulls last, and how many pass its cutoff before they are cut."""
-    order = F.asc_nulls_last(method) if ascending else F.desc_nulls_last(method)
-    passes = F.lit(None).cast("long") if cutoff is None else F.count_if(F.col(method) < cutoff if ascending else F.col(method) > cutoff)
-    return table.orderBy(order, "a", "b").limit(k), table.agg(passes.alias("significant"))
+def rank_by(table: DataFrame, direction: str, name: str, eps: Column | float, cutoff: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``table`` in the order of a method: ``a, b, method, value, significant, rk, n_significant``.
+
+    What can't be ranked comes last.  ``cutoff`` replaces the method's own; a
+    method that has none calls nothing, and its ``significant`` is null.
+    ``n_significant`` counts all pairs that the method ranks, before any is cut.
+    """
+    m = METHODS[direction][name]
+    cutoff = m.cutoff if cutoff is None else cutoff
+    found = both_active(table, eps).where("rho < 0" if direction == "ME" else "rho > 0") if m.fitted else table
+    if m.judged_by is None or cutoff is None:
+        significant = F.lit(None).cast("boolean")
+    else:
+        judged = F.col(m.judged_by)
+        significant = F.coalesce(judged > cutoff if m.above else judged < cutoff, F.lit(False))
+    order = [F.asc_nulls_last(m.column) if m.ascending else F.desc_nulls_last(m.column), "a", "b"]
+    named = found.select(*by, "a", "b", F.lit(name).alias("method"), F.col(m.column).cast("double").alias("value"), significant.alias("significant"), F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("rk"))
+    return named.withColumn("n_significant", F.when(F.col("significant").isNotNull(), F.sum(F.col("significant").cast("int")).over(Window.partitionBy(*by))))
+
+
+def method_tables(table: DataFrame, direction: str, eps: Column | float, k: int, cutoffs: Mapping[str, float] | None = None, methods: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """The first ``k`` pairs of each method, all in one table."""
+    names = [n for n in METHODS[direction] if methods is None or n in methods]
+    each = [rank_by(table, direction, n, eps, (cutoffs or {}).get(n), by).where(F.col("rk") <= k) for n in names]
+    return reduce(DataFrame.unionByName, each)
 
 
 def thresholds(null_pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,10 @@
 The samples enter only through how many have each count (features) or each pair
 of counts (pairs), so what is fitted is as large as the number of features or
 pairs, not of samples; zero cells come from margins by subtraction.
+
+Backgrounds may differ between classes of samples (``classes``, a table of
+``sample, class``, and distributions by ``feature, class``); histograms are then
+those of each class.
 """
 
 from __future__ import annotations
@@ -17,17 +21,29 @@ from pyspark.sql import functions as F
 from ..functions import em, special
 
 
-def histogram(counts: DataFrame, n: Column) -> DataFrame:
-    """``feature, c, n``: how many samples have each count, 0 among them."""
-    cells = counts.groupBy("feature", F.col("c").cast("long").alias("c")).agg(F.count("*").alias("n"))
-    zero = cells.groupBy("feature").agg((n - F.sum("n")).cast("long").alias("n")).select("feature", F.lit(0).cast("long").alias("c"), "n")
+def _sizes(classes: DataFrame) -> DataFrame:
+    return classes.groupBy("class").agg(F.count("*").alias("size"))
+
+
+def histogram(counts: DataFrame, n: Column, classes: DataFrame | None = None) -> DataFrame:
+    """``feature, c, n``: how many samples have each count, 0 among them; with ``classes``, ``feature, class, c, n``."""
+    none = F.lit(0).cast("long").alias("c")
+    if classes is None:
+        cells = counts.groupBy("feature", F.col("c").cast("long").alias("c")).agg(F.count("*").alias("n"))
+        zero = cells.groupBy("feature").agg((n - F.sum("n")).cast("long").alias("n")).select("feature", none, "n")
+    else:
+        cells = counts.join(classes, "sample").groupBy("feature", "class", F.col("c").cast("long").alias("c")).agg(F.count("*").alias("n"))
+        seen = cells.groupBy("feature", "class").agg(F.sum("n").alias("s"))
+        every = counts.select("feature").distinct().crossJoin(_sizes(classes))  # as many rows as features times classes
+        zero = every.join(seen, ["feature", "class"], "left").select("feature", "class", none, (F.col("size") - F.coalesce("s", F.lit(0))).alias("n"))
     return cells.unionByName(zero).where("n > 0")
 
 
 def with_pmfs(histograms: DataFrame, pmfs: DataFrame) -> DataFrame:
     """Cells with P(c), P(c - 1) and whether the count has support; features without a background are left out."""
-    joined = histograms.join(pmfs.select("feature", "pmf"), "feature")
-    return joined.select("feature", "c", "n", special.as_count(F.col("pmf"), F.col("c")).alias("here"), special.as_shifted(F.col("pmf"), F.col("c")).alias("below"), (special.in_support(F.col("pmf"), F.col("c")) > 0).alias("support"))
+    keys = ["feature", "class"] if "class" in pmfs.columns else ["feature"]
+    joined = histograms.join(pmfs.select(*keys, "pmf"), keys)
+    return joined.select(*keys, "c", "n", special.as_count(F.col("pmf"), F.col("c")).alias("here"), special.as_shifted(F.col("pmf"), F.col("c")).alias("below"), (special.in_support(F.col("pmf"), F.col("c")) > 0).alias("support"))
 
 
 def missing_background(totals: DataFrame, pmfs: DataFrame) -> DataFrame:
@@ -95,12 +111,16 @@ def resumed(cells: DataFrame, before: DataFrame | None, **options: object) -> Da
     return rest.unionByName(known.join(cells.select("feature").distinct(), "feature", "left_semi"))
 
 
-def joint_counts(counts: DataFrame, top: DataFrame) -> DataFrame:
-    """``a, b, ca, cb, n`` of the samples that have both features, a ranked before b: a join on the sample alone."""
+def joint_counts(counts: DataFrame, top: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """``a, b, ca, cb, n`` of the samples that have both features, a ranked before b: a join on the sample alone.
+
+    With ``classes`` there is a column ``class`` too.
+    """
     narrow = counts.join(top.select("feature", "rk"), "feature").select("sample", "feature", "rk", F.col("c").cast("long").alias("c"))
-    x, y = narrow.alias("x"), narrow.alias("y")
+    x, y = (narrow if classes is None else narrow.join(classes, "sample")).alias("x"), narrow.alias("y")
     both = x.join(y, (F.col("x.sample") == F.col("y.sample")) & (F.col("x.rk") < F.col("y.rk")))
-    return both.groupBy(F.col("x.feature").alias("a"), F.col("y.feature").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).agg(F.count("*").alias("n"))
+    by = [] if classes is None else [F.col("x.class").alias("class")]
+    return both.groupBy(F.col("x.feature").alias("a"), F.col("y.feature").alias("b"), *by, F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).agg(F.count("*").alias("n"))
 
 
 def pairs_of(top: DataFrame) -> DataFrame:
@@ -116,20 +136,23 @@ def pairs_with(feature: str, ranked: DataFrame) -> DataFrame:
     return other.select(F.when(F.col("r") < F.col("rk"), F.col("f")).otherwise(F.col("feature")).alias("a"), F.when(F.col("r") < F.col("rk"), F.col("feature")).otherwise(F.col("f")).alias("b"))
 
 
-def pair_histogram(joint: DataFrame, counts: DataFrame, top: DataFrame, n: Column) -> DataFrame:
-    """``a, b, ca, cb, n`` of every pair of counts, the cells with zeros from the margins."""
+def pair_histogram(joint: DataFrame, counts: DataFrame, top: DataFrame, n: Column, classes: DataFrame | None = None) -> DataFrame:
+    """``a, b, ca, cb, n`` of every pair of counts, the cells with zeros from the margins; by ``class`` with ``classes``."""
+    by = [] if classes is None else ["class"]
     pairs = pairs_of(top).select("a", "b")
-    single = counts.join(top.select("feature"), "feature").groupBy("feature", F.col("c").cast("long").alias("c")).agg(F.count("*").alias("m"))
+    held = counts.join(top.select("feature"), "feature")
+    single = (held if classes is None else held.join(classes, "sample")).groupBy("feature", *by, F.col("c").cast("long").alias("c")).agg(F.count("*").alias("m"))
     zero = F.lit(0).cast("long")
 
     def only(side: str, other: str) -> DataFrame:
-        seen = joint.groupBy("a", "b", F.col(f"c{side}").alias("c")).agg(F.sum("n").alias("seen"))
-        rest = pairs.join(single.withColumnRenamed("feature", side), side).join(seen, ["a", "b", "c"], "left")
+        seen = joint.groupBy("a", "b", *by, F.col(f"c{side}").alias("c")).agg(F.sum("n").alias("seen"))
+        rest = pairs.join(single.withColumnRenamed("feature", side), side).join(seen, ["a", "b", *by, "c"], "left")
         n_rest = (F.col("m") - F.coalesce("seen", zero)).alias("n")
-        return rest.select("a", "b", F.col("c").alias(f"c{side}"), zero.alias(f"c{other}"), n_rest)
+        return rest.select("a", "b", *by, F.col("c").alias(f"c{side}"), zero.alias(f"c{other}"), n_rest)
 
     some = joint.unionByName(only("a", "b")).unionByName(only("b", "a"))
-    none = pairs.join(some.groupBy("a", "b").agg(F.sum("n").alias("s")), ["a", "b"], "left").select("a", "b", zero.alias("ca"), zero.alias("cb"), (n - F.coalesce("s", zero)).cast("long").alias("n"))
+    every = pairs.withColumn("size", n) if classes is None else pairs.crossJoin(_sizes(classes))  # as many rows as pairs times classes
+    none = every.join(some.groupBy("a", "b", *by).agg(F.sum("n").alias("s")), ["a", "b", *by], "left").select("a", "b", *by, zero.alias("ca"), zero.alias("cb"), (F.col("size") - F.coalesce("s", zero)).cast("long").alias("n"))
     return some.unionByName(none).where("n > 0")
 
 
@@ -141,17 +164,24 @@ def contingency(joint: DataFrame, counts: DataFrame, top: DataFrame, n: Column)
     return whole.select("a", "b", "n11", (F.col("ma") - F.col("n11")).alias("n10"), (F.col("mb") - F.col("n11")).alias("n01"), (n - F.col("ma") - F.col("mb") + F.col("n11")).cast("long").alias("n00"))
 
 
-def cooccurring(counts: DataFrame, top: DataFrame) -> DataFrame:
-    """``a, b, samples``: the samples with both, in order."""
+def cooccurring_rows(counts: DataFrame, top: DataFrame) -> DataFrame:
+    """``a, b, sample`` of the samples with both, one row each, for pairs that very many share."""
     narrow = counts.join(top.select("feature", "rk"), "feature").select("sample", "feature", "rk")
     x, y = narrow.alias("x"), narrow.alias("y")
-    return x.join(y, (F.col("x.sample") == F.col("y.sample")) & (F.col("x.rk") < F.col("y.rk"))).groupBy(F.col("x.feature").alias("a"), F.col("y.feature").alias("b")).agg(F.array_sort(F.collect_list("x.sample")).alias("samples"))
+    return x.join(y, (F.col("x.sample") == F.col("y.sample")) & (F.col("x.rk") < F.col("y.rk"))).select(F.col("x.feature").alias("a"), F.col("y.feature").alias("b"), F.col("x.sample").alias("sample"))
+
+
+def cooccurring(counts: DataFrame, top: DataFrame) -> DataFrame:
+    """``a, b, samples``: the samples with both, in order; a pair's samples are one row, so this is for reports."""
+    return cooccurring_rows(counts, top).groupBy("a", "b").agg(F.array_sort(F.collect_list("sample")).alias("samples"))
 
 
 def pair_cells(histogram: DataFrame, pmfs: DataFrame) -> DataFrame:
     """Cells of pairs with the probabilities of both counts: with the floor (a0, a1, b0, b1) and without (pa0 ...)."""
-    p = pmfs.select("feature", "pmf")
-    joined = histogram.join(p.select(F.col("feature").alias("a"), F.col("pmf").alias("pmf_a")), "a").join(p.select(F.col("feature").alias("b"), F.col("pmf").alias("pmf_b")), "b")
+    by = ["class"] if "class" in pmfs.columns else []
+    p = pmfs.select("feature", *by, "pmf")
+    side = lambda x: p.withColumnsRenamed({"feature": x, "pmf": f"pmf_{x}"})
+    joined = histogram.join(side("a"), ["a", *by]).join(side("b"), ["b", *by])
     out = {"n": F.col("n")}
     for s in "ab":
         pmf, c = F.col(f"pmf_{s}"), F.col(f"c{s}")
@@ -191,6 +221,23 @@ def fit_pairs(cells: DataFrame, rates: DataFrame | None = None, n_inits: int = 1
     return rows.mapInPandas(run, "a string, b string, t00 double, t01 double, t10 double, t11 double, ll double, ll_null double, inits_used int, status string")
 
 
+def pair_name(a: Column, b: Column) -> Column:
+    """A pair as one name, both features around a colon."""
+    return F.concat_ws(":", a, b)
+
+
+def pair_ends(name: Column) -> list[Column]:
+    """Both features of a pair's name."""
+    parts = F.split(name, ":")
+    return [F.get(parts, F.lit(0)).alias("a"), F.get(parts, F.lit(1)).alias("b")]
+
+
+def marginal_rates(pairs: DataFrame, feature: str) -> DataFrame:
+    """``partner, rate``: the feature's own rate, with or without the other, as each of its pairs has it."""
+    mine = F.when(F.col("a") == feature, F.struct(F.col("b").alias("partner"), (F.col("t10") + F.col("t11")).alias("rate"))).when(F.col("b") == feature, F.struct(F.col("a").alias("partner"), (F.col("t01") + F.col("t11")).alias("rate")))
+    return pairs.select(mine.alias("x")).where("x is not null").select("x.partner", "x.rate")
+
+
 def log_odds() -> Column:
     return F.when((F.col("t01") * F.col("t10") > 0) & (F.col("t00") * F.col("t11") > 0), F.ln(F.col("t01") * F.col("t10") / (F.col("t00") * F.col("t11"))))
 

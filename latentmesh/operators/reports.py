@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .counts import hypermutators
+from .counts import base_gene, hypermutators
+from .fit import pair_name
 
 _ESCAPES = {"_": r"\_", "&": r"\&", "%": r"\%", "#": r"\#"}
 
@@ -66,3 +69,31 @@ def is_distribution(tolerance: float = 1e-2) -> Column:
     for t in taus[1:]:
         inside = inside & t.between(0, 1)
     return inside & (F.abs(sum(taus[1:], taus[0]) - 1) <= tolerance) & (taus[3] != 1)
+
+
+def sensitivity(rates: DataFrame, gene: str, passengers: DataFrame, k: int) -> DataFrame:
+    """By background: a gene's highest rate, and how many genes among the first ``k`` features by rate are likely passengers."""
+    ranked = rates.withColumns({"gene": base_gene(F.col("feature")), "rn": F.row_number().over(Window.partitionBy("bmr").orderBy(F.desc_nulls_last("pi"), "feature"))})
+    marked = ranked.join(passengers.select("gene").distinct().withColumn("passenger", F.lit(True)), "gene", "left")
+    first = (F.col("rn") <= k) & F.col("passenger")
+    return marked.groupBy("bmr").agg(F.max(F.when(F.col("gene") == gene, F.col("pi"))).alias("pi_of_one"), F.count_distinct(F.when(first, F.col("gene"))).cast("int").alias("passengers_top"))
+
+
+def burden_and_pairs(burdens: DataFrame, pairs: DataFrame, backgrounds: Sequence[str]) -> DataFrame:
+    """By cohort its samples, their median burden, and the number of pairs found under each background, which are listed."""
+    sizes = burdens.groupBy("cohort").agg(F.count("*").alias("samples"), F.median("burden").alias("median_burden"))
+    found = pairs.groupBy("cohort").agg(*[F.count_if(F.col("bmr") == b).alias(f"co_{b}") for b in backgrounds])
+    return sizes.join(found, "cohort", "left").na.fill(0, [f"co_{b}" for b in backgrounds])
+
+
+def top_names(ranked: DataFrame, k: int) -> DataFrame:
+    """``cohort, bmr, names``: the first ``k`` pairs by their genes' names."""
+    name = pair_name(base_gene(F.col("a")), base_gene(F.col("b")))
+    first = ranked.where(F.col("rk") <= k).groupBy("cohort", "bmr").agg(F.array_sort(F.collect_list(F.struct("rk", name.alias("name")))).alias("x"))
+    return first.select("cohort", "bmr", F.array_join(F.col("x.name"), ", ").alias("names"))
+
+
+def shared(sets: DataFrame, reference: DataFrame, by: str = "cohort") -> DataFrame:
+    """How many genes of each set are in the reference, and their share."""
+    marked = sets.join(reference.select("gene").distinct().withColumn("hit", F.lit(1)), "gene", "left")
+    return marked.groupBy(by).agg(F.count("hit").alias("shared"), F.avg(F.coalesce("hit", F.lit(0))).alias("share"))

@@ -60,6 +60,16 @@ def truncated_normal(low: float, high: float, u: float) -> float:
     return min(high, max(low, unit.inv_cdf(a + u * (b - a))))
 
 
+def chosen_features(totals: DataFrame, drivers: DataFrame, n_drivers: int, n_passengers: int) -> tuple[list[str], list[str]]:
+    """The features with the most events among the ``drivers``, and among the others; so many of each, by name where they tie."""
+    known = totals.join(drivers.select("feature").distinct().withColumn("driver", F.lit(True)), "feature", "left")
+    first = lambda on, k: [r.feature for r in known.where(on).orderBy(F.desc("total"), "feature").limit(k).collect()]
+    found, passengers = first("driver", n_drivers), first("driver is null", n_passengers)
+    if len(found) < n_drivers:
+        raise ValueError(f"{n_drivers} drivers are needed and {len(found)} are there")
+    return found, passengers
+
+
 def matrix(pmfs: DataFrame, drivers: list[str], passengers: list[str], n_me: int, n_co: int, samples: int, tau_low: float, tau_high: float, driver_proportion: float = 1.0, seed: int = 0) -> tuple[DataFrame, dict]:
     """``sample, feature, c`` with planted exclusive and co-occurring pairs of drivers, and the truth."""
     spark, rng = pmfs.sparkSession, np.random.default_rng(seed)

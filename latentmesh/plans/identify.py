@@ -13,11 +13,18 @@ from ..sources.staging import staged
 
 @dataclass(frozen=True)
 class Cohort:
-    """Counts above 0, their samples and the backgrounds; all lazy."""
+    """Counts above 0, their samples and the backgrounds; all lazy.
+
+    ``order`` has the place of each feature, ``feature, ord``, by which features
+    of equal totals are ranked; without it they are ranked by name.  ``classes``
+    has the class of each sample where the backgrounds are those of classes.
+    """
 
     counts: DataFrame
     pmfs: DataFrame | None = None
     all_samples: DataFrame | None = None
+    order: DataFrame | None = None
+    classes: DataFrame | None = None
 
     @property
     def samples(self) -> DataFrame:
@@ -26,6 +33,12 @@ class Cohort:
     def size(self) -> int:
         return self.samples.count()
 
+    def top(self, k: int, known: DataFrame | None = None) -> DataFrame:
+        """The ``k`` features with the most events, of those that are ``known``."""
+        sums = counts.totals(self.counts)
+        sums = sums if known is None else sums.join(known, "feature", "left_semi")
+        return counts.top(sums, k) if self.order is None else counts.top(sums.join(self.order, "feature"), k, ties="ord").drop("ord")
+
 
 @dataclass(frozen=True)
 class Results:
@@ -35,16 +48,16 @@ class Results:
 
 def features(cohort: Cohort, n: int, before: DataFrame | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
     """Rates and statistics of every feature that has a background."""
-    cells = fit.with_pmfs(fit.histogram(cohort.counts, F.lit(n)), cohort.pmfs)
+    cells = fit.with_pmfs(fit.histogram(cohort.counts, F.lit(n), cohort.classes), cohort.pmfs)
     rates = staged(fit.resumed(cells, before, **options), "rates")
-    return rates, fit.feature_statistics(cells, rates, counts.totals(cohort.counts), background.expected(cohort.pmfs))
+    return rates, fit.feature_statistics(cells, rates, counts.totals(cohort.counts), background.expected(cohort.pmfs, cohort.classes))
 
 
 def pairs(cohort: Cohort, top: DataFrame, n: int, rates: DataFrame | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
     """Fits and contingency tables of all pairs of the ranked features."""
-    joint = staged(fit.joint_counts(cohort.counts, top), "joint")
+    joint = staged(fit.joint_counts(cohort.counts, top, cohort.classes), "joint")
     tables = fit.contingency(joint, cohort.counts, top, F.lit(n))
-    cells = fit.pair_cells(fit.pair_histogram(joint, cohort.counts, top, F.lit(n)), cohort.pmfs)
+    cells = fit.pair_cells(fit.pair_histogram(joint, cohort.counts, top, F.lit(n), cohort.classes), cohort.pmfs)
     return fit.fit_pairs(cells, rates, **options), tables
 
 
@@ -54,10 +67,11 @@ def identify(cohort: Cohort, top_k: int = 100, before: DataFrame | None = None,
         raise ValueError("top_k must be positive")
     if cohort.pmfs is None:
         raise ValueError("the cohort has no background")
+    if ("class" in cohort.pmfs.columns) != (cohort.classes is not None):
+        raise ValueError("backgrounds of classes need the classes of the samples, and the other way round")
     n = cohort.size()
     rates, single = features(cohort, n, before, **options)
-    known = counts.totals(cohort.counts).join(cohort.pmfs.select("feature"), "feature", "left_semi")
-    top = staged(counts.top(known, top_k), "top")
+    top = staged(cohort.top(top_k, cohort.pmfs.select("feature")), "top")
     fits, tables = pairs(cohort, top, n, rates, **options)
     return Results(single, fit.pair_statistics(fits, tables))
 
@@ -65,7 +79,7 @@ def identify(cohort: Cohort, top_k: int = 100, before: DataFrame | None = None,
 def compare(cohort: Cohort, top_k: int = 100) -> tuple[DataFrame, dict[str, str]]:
     """The other tests of the pairs of the ``top_k`` features, side by side."""
     n = cohort.size()
-    top = staged(counts.top(counts.totals(cohort.counts), top_k), "top")
+    top = staged(cohort.top(top_k), "top")
     joint = staged(fit.joint_counts(cohort.counts, top), "joint")
     tables = staged(fit.contingency(joint, cohort.counts, top, F.lit(n)), "tables")
     few = cohort.counts.join(top.select("feature"), "feature", "left_semi")

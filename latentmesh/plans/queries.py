@@ -8,6 +8,7 @@ of summation don't show.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ..operators import background, baselines, calls, counts, evaluation, fit, n
 from ..sources import driver_tables as tables
 from ..sources.staging import staged
 from .identify import Cohort, pairs
-from .oracle import BASE, CALLS, CHI2, EPS_N, K, PAIRS, PI, SINGLE, TAU, TOP, end
+from .oracle import BASE, CALLS, CHI2, CLASS_CELLS, CLASS_PI, CLASSES, EPS_N, K, PAIRS, PI, SINGLE, TAU, TOP, end, pi_restarts, tau_restarts
 from .oracle import r as sql_r
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +45,7 @@ def r(c: Column | str, digits: int = 6) -> Column:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_features(tables.events(spark, sf_dir))
+    return counts.count_features(tables.events(spark, sf_dir, kept=True))
 
 
 def _size(c: DataFrame) -> int:
@@ -61,10 +62,16 @@ class _Parts:
         self.pmfs = background.poisson(self.totals, F.lit(self.n), 0.8, K)
         self.cells = fit.with_pmfs(fit.histogram(self.counts, F.lit(self.n)), self.pmfs)
 
-    @property
+    @cached_property
     def top(self) -> DataFrame:
         return staged(counts.top(self.totals, TOP), "top")
 
+    @cached_property
+    def classed(self) -> tuple[DataFrame, DataFrame]:
+        """The backgrounds of classes of burdens, and the class of each sample."""
+        burdens = staged(counts.burden(self.counts), "burdens")
+        return background.by_burden_class(background.expected(self.pmfs), burdens, background.largest(self.counts)), background.burden_classes(burdens)
+
     def single(self, n_inits: int = 1) -> DataFrame:
         rates = staged(fit.fit_rates(self.cells, n_inits), "rates")
         return fit.feature_statistics(self.cells, rates, self.totals, background.expected(self.pmfs))
@@ -96,7 +103,7 @@ def count_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT sample, gene AS feature, count(*) AS c FROM (" + BASE.rstrip().rstrip(",").replace("WITH RECURSIVE ", "WITH ", 1) + " SELECT * FROM ev WHERE effect <> 'silent') GROUP BY ALL")
 def gene_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count_genes(tables.events(spark, sf_dir))
+    return counts.count_genes(tables.events(spark, sf_dir, kept=True))
 
 
 _FIVE = [f"Brand#1{k}_M" for k in range(1, 6)]
@@ -229,10 +236,42 @@ def bmr_negbin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(end(f"SELECT feature, sample, {sql_r('greatest(expected * burden / (SELECT avg(burden) FROM b), 1e-9)', 9)} AS lambda FROM expected, b WHERE feature IN (SELECT feature FROM top)", _BURDEN))
 def bmr_persample_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _Parts(spark, sf_dir)
-    made = background.by_burden(background.expected(p.pmfs).join(p.top, "feature", "left_semi"), counts.burden(p.counts), K)
+    made = background.by_burden(background.expected(p.pmfs).join(p.top, "feature", "left_semi"), counts.burden(p.counts), background.largest(p.counts))
     return made.select("feature", "sample", r("lambda", 9).alias("lambda"))
 
 
+_LINE_RATES = "lr AS (SELECT l_orderkey AS sample, p_brand || CASE l_returnflag WHEN 'A' THEN '_M' ELSE '_N' END AS feature, avg(l_tax) AS rate FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'R') AND l_quantity > 25 GROUP BY ALL), lm AS (SELECT feature, avg(rate) AS mean FROM lr GROUP BY feature),"
+
+
+@_query(end(f"SELECT feature, count(*) AS samples, {sql_r('avg(greatest(coalesce(rate, mean), 1e-12))')} AS mean, {sql_r('max(greatest(coalesce(rate, mean), 1e-12))')} AS most FROM lm CROSS JOIN (SELECT DISTINCT sample FROM counts) s LEFT JOIN lr USING (feature, sample) GROUP BY feature", _LINE_RATES))
+def bmr_given_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backgrounds of given rates; a sample without one has the feature's mean."""
+    lines = tables.table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R") & (F.col("l_quantity") > 25)).join(tables.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rates = lines.groupBy(F.col("l_orderkey").alias("sample"), F.concat("p_brand", F.when(F.col("l_returnflag") == "A", "_M").otherwise("_N")).alias("feature")).agg(F.avg("l_tax").alias("lambda"))
+    samples = staged(_counts(spark, sf_dir), "counts").select("sample").distinct()
+    made = background.by_rates(rates, samples, 2)
+    return made.groupBy("feature").agg(F.count("*").alias("samples"), r(F.avg("lambda")).alias("mean"), r(F.max("lambda")).alias("most"))
+
+
+@_query(f"SELECT feature, count(*) AS samples, {sql_r('avg(rate)', 9)} AS mean, {sql_r('max(rate)', 9)} AS most FROM (SELECT p_brand || s AS feature, CASE s WHEN '_M' THEN nmis ELSE nnon + nspl END / 1000.0::DOUBLE * mutrate * factor AS rate FROM (SELECT p_brand, avg(p_retailprice)::DOUBLE / 1e6 AS mutrate, sum(p_size)::DOUBLE AS nmis, count(*)::DOUBLE AS nnon, 3::DOUBLE AS nspl FROM part GROUP BY p_brand) g, (VALUES ('_M'), ('_N')) e(s), (SELECT o_totalprice::DOUBLE / (SELECT avg(o_totalprice)::DOUBLE FROM orders) AS factor FROM orders) f) GROUP BY feature")
+def bmr_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of genes' sites in proportion to each sample's exposure."""
+    genes = tables.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("gene")).agg((F.avg("p_retailprice").cast("double") / 1e6).alias("mutrate"), F.lit(1000).alias("n_eff"), F.sum("p_size").cast("double").alias("nmis"), F.count("*").cast("double").alias("nnon"), F.lit(3.0).alias("nspl"))
+    orders = tables.table(spark, sf_dir, "orders")
+    mean = orders.agg(F.avg("o_totalprice").cast("double").alias("mean"))
+    factors = orders.crossJoin(F.broadcast(mean)).select(F.col("o_orderkey").alias("sample"), (F.col("o_totalprice").cast("double") / F.col("mean")).alias("factor"))  # one row is broadcast
+    made = background.exposure_rates(genes, factors, 1000)
+    return made.groupBy("feature").agg(F.count("*").alias("samples"), r(F.avg("lambda"), 9).alias("mean"), r(F.max("lambda"), 9).alias("most"))
+
+
+@_query(end(f"SELECT feature, {sql_r('-ln(1 - m / n::DOUBLE)')} AS rate FROM (SELECT feature, count(*) AS m FROM counts GROUP BY feature), size WHERE m < n"))
+def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Poisson rate that has an event as often as the feature has one."""
+    c = _counts(spark, sf_dir)
+    n = _size(c)
+    return c.groupBy("feature").agg(F.count("*").alias("m")).where(F.col("m") < n).select("feature", r(special.rate_of(F.col("m") / F.lit(float(n)))).alias("rate"))
+
+
 @_query(end("SELECT feature, total FROM totals WHERE feature NOT IN (SELECT feature FROM totals WHERE total >= (SELECT avg(total) FROM totals))"))
 def features_missing_bmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _Parts(spark, sf_dir)
@@ -249,7 +288,10 @@ def pi_loglik_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.profile(_Parts(spark, sf_dir).cells).select("feature", r("pi").alias("pi"), r("loglik", 4).alias("loglik"))
 
 
-@_query()
+_GRID = "grid AS (SELECT feature, pi, sum(n * ln(greatest(here * (1 - pi) + below * pi, 1e-300))) AS ll FROM cells, (SELECT k * (0.99::DOUBLE / 99) AS pi FROM range(0, 100) t(k)) GROUP BY feature, pi), slopes AS (SELECT feature, pi, sign(ll - lag(ll) OVER (PARTITION BY feature ORDER BY pi)) AS s FROM grid),"
+
+
+@_query(end("SELECT feature, count(*) FILTER (turn)::BIGINT AS turns FROM (SELECT feature, s <> lag(s) OVER (PARTITION BY feature ORDER BY pi) AS turn FROM slopes) GROUP BY feature", _GRID))
 def pi_profile_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.turns(evaluation.profile(_Parts(spark, sf_dir).cells))
 
@@ -259,9 +301,23 @@ def pi_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.fit_rates(_Parts(spark, sf_dir).cells, n_inits=1).select("feature", r("pi").alias("pi"))
 
 
-@_query()
+@_query(end(f"SELECT feature, {sql_r('arg_max(pi, i)', 5)} AS pi, max(used)::INTEGER AS inits_used, 'ok' AS status FROM fold GROUP BY feature", pi_restarts(special.restarts(10, 0)[0])))
 def pi_em_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.fit_rates(_Parts(spark, sf_dir).cells)
+    return fit.fit_rates(_Parts(spark, sf_dir).cells).withColumn("pi", r("pi", 5))
+
+
+@_query(end(f"SELECT feature, {sql_r('low')} AS pi FROM mle WHERE it = 60", "mle AS (SELECT feature, 0 AS it, 0::DOUBLE AS low, 1 - 1e-9::DOUBLE AS high FROM totals UNION ALL SELECT feature, it + 1, CASE WHEN up THEN (low + high) / 2 ELSE low END, CASE WHEN up THEN high ELSE (low + high) / 2 END FROM (SELECT m.feature, it, low, high, sum(n * (below - here) / greatest(here * (1 - (low + high) / 2) + below * (low + high) / 2, 1e-300)) > 0 AS up FROM mle m JOIN cells USING (feature) WHERE it < 60 GROUP BY m.feature, it, low, high)),"))
+def pi_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.maximise_rates(_Parts(spark, sf_dir).cells).select("feature", r("pi").alias("pi"))
+
+
+@_query(end(f"SELECT feature, {sql_r('pi')} AS pi FROM pis", CLASSES, CLASS_PI))
+def persample_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates under backgrounds in proportion to each sample's burden."""
+    p = _Parts(spark, sf_dir)
+    pmfs, classes = p.classed
+    cells = fit.with_pmfs(fit.histogram(p.counts, F.lit(p.n), classes), pmfs)
+    return fit.fit_rates(cells, n_inits=1).select("feature", r("pi").alias("pi"))
 
 
 _SINGLE = ("pi", "lor", "lrt", "expected", "excess")
@@ -323,8 +379,10 @@ def fisher_pairs_bh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(end(f"SELECT a, b, {sql_r('sum(n * ln(a0 * b0 * 0.85 + a0 * b1 * 0.05 + a1 * b0 * 0.05 + a1 * b1 * 0.05))', 4)} AS loglik FROM pc GROUP BY a, b", PAIRS, TAU))
 def pair_loglik_fixed_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _Parts(spark, sf_dir)
-    top = p.top
-    cells = fit.pair_cells(fit.pair_histogram(staged(fit.joint_counts(p.counts, top), "joint"), p.counts, top, F.lit(p.n)), p.pmfs)
+    return _loglik(fit.pair_cells(fit.pair_histogram(staged(fit.joint_counts(p.counts, p.top), "joint"), p.counts, p.top, F.lit(p.n)), p.pmfs))
+
+
+def _loglik(cells: DataFrame) -> DataFrame:
     mixed = F.expr("a0 * b0 * 0.85D + a0 * b1 * 0.05D + a1 * b0 * 0.05D + a1 * b1 * 0.05D")
     return cells.groupBy("a", "b").agg(r(F.sum(F.col("n") * F.ln(mixed)), 4).alias("loglik"))
 
@@ -337,12 +395,39 @@ def tau_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Parts(spark, sf_dir).pairs().select("a", "b", *[r(c).alias(c) for c in _TAUS])
 
 
-@_query()
+@_query(end("SELECT a, b, " + ", ".join(f"{sql_r(f'arg_max({c}, i)', 5)} AS {c}" for c in _TAUS) + " FROM fold GROUP BY a, b", PAIRS, tau_restarts(special.restarts(10, 0)[1])))
 def tau_em_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _Parts(spark, sf_dir).pairs(10)
+    return _Parts(spark, sf_dir).pairs(10).select("a", "b", *[r(c, 5).alias(c) for c in _TAUS])
+
+
+@_query(end(f"SELECT a, b, {sql_r('sum(n * ln(a0 * b0 * 0.85 + a0 * b1 * 0.05 + a1 * b0 * 0.05 + a1 * b1 * 0.05))', 4)} AS loglik FROM pc GROUP BY a, b", CLASSES, PAIRS, CLASS_CELLS))
+def persample_pair_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood of one set of joint rates under backgrounds in proportion to each sample's burden."""
+    p = _Parts(spark, sf_dir)
+    pmfs, classes = p.classed
+    joint = staged(fit.joint_counts(p.counts, p.top, classes), "joint")
+    return _loglik(fit.pair_cells(fit.pair_histogram(joint, p.counts, p.top, F.lit(p.n), classes), pmfs))
+
+
+@_query()
+def persample_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint rates under those backgrounds; the fit in SQL takes minutes, so the test compares it with a fit sample by sample."""
+    p = _Parts(spark, sf_dir)
+    pmfs, classes = p.classed
+    fits, _ = pairs(Cohort(p.counts, pmfs, classes=classes), p.top, p.n, None, n_inits=1)
+    return fits.select("a", "b", *[r(c).alias(c) for c in _TAUS])
+
+
+#: The feature whose marginal rates are asked for.
+_ONE = "Brand#13_M"
+
+
+@_query(end(f"SELECT CASE WHEN a = '{_ONE}' THEN b ELSE a END AS partner, {sql_r(f'CASE WHEN a = {_ONE!r} THEN t1x ELSE tx1 END')} AS rate FROM stats WHERE a = '{_ONE}' OR b = '{_ONE}'", PAIRS, TAU))
+def marginal_taus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit.marginal_rates(_Parts(spark, sf_dir).pairs(), _ONE).select("partner", r("rate").alias("rate"))
 
 
-_STATS = ("t1x", "tx1", "rho", "lrt")
+_STATS = ("t1x", "tx1", "rho", "lor", "wald", "lrt")
 
 
 @_query(end("SELECT a, b, n11, n10, n01, n00, " + ", ".join(f"{sql_r(c, 5)} AS {c}" for c in _STATS) + " FROM stats", PAIRS, TAU))
@@ -435,10 +520,91 @@ def labels_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.labels(t, _truth(t)).select("a", "b", "label")
 
 
-@_query(end("SELECT a, b, method, round(CASE WHEN t1x < eps OR tx1 < eps THEN 0 ELSE coalesce(score, 0) END, 5) + 0.0 AS score FROM (SELECT a, b, t1x, tx1, eps, 'rho' AS method, -rho AS score FROM act UNION ALL SELECT a, b, t1x, tx1, eps, 'lrt', CASE WHEN -rho > 0 THEN lrt ELSE 0 END FROM act)", PAIRS, TAU, _ACTIVE))
+_SCORED = "scored AS (SELECT a, b, method, CASE WHEN t1x < eps OR tx1 < eps THEN 0 ELSE coalesce(score, 0) END AS score FROM (SELECT a, b, t1x, tx1, eps, 'rho' AS method, -rho AS score FROM act UNION ALL SELECT a, b, t1x, tx1, eps, 'lrt', CASE WHEN -rho > 0 THEN lrt ELSE 0 END FROM act UNION ALL SELECT a, b, t1x, tx1, eps, 'lor', lor FROM act UNION ALL SELECT a, b, t1x, tx1, eps, 'wald', wald FROM act) UNION ALL SELECT a, b, 'fisher', -log10(me_p + 1e-300) FROM fq),"
+
+
+def _with_fisher(pair_table: DataFrame) -> DataFrame:
+    """The table of pairs with the exact test's columns beside it."""
+    exact = calls.fisher(pair_table.select("a", "b", "n11", "n10", "n01", "n00"))
+    return calls.merged(pair_table, exact.withColumnsRenamed({c: f"fisher_{c}" for c in _FOUR}))
+
+
+@_query(end("SELECT a, b, method, round(score, 5) + 0.0 AS score FROM scored", PAIRS, TAU, _ACTIVE, _FISHER, _SCORED))
 def method_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _Parts(spark, sf_dir)
-    return evaluation.scores(p.pairs(), "ME", special.epsilon(p.n)).where("method in ('rho', 'lrt')").select("a", "b", "method", r("score", 5).alias("score"))
+    return evaluation.all_scores(_with_fisher(p.pairs()), "ME", special.epsilon(p.n)).select("a", "b", "method", r("score", 5).alias("score"))
+
+
+_LABELLED = "sl AS (SELECT s.*, (substr(a, 7, 1) = substr(b, 7, 1))::INT AS label, 'g' || (length(a) + length(b) + n11) % 3 AS factor FROM scored s JOIN cont USING (a, b)),"
+_STEPS = "st AS (SELECT factor, method, round(score, 6) AS score, sum(label)::DOUBLE AS hits, count(*) AS m FROM sl GROUP BY ALL), cu AS (SELECT factor, method, hits, sum(hits) OVER w AS tp, sum(m) OVER w AS called, sum(hits) OVER (PARTITION BY factor, method) AS p FROM st WINDOW w AS (PARTITION BY factor, method ORDER BY score DESC)),"
+
+
+def _labelled_scores(p: _Parts) -> DataFrame:
+    """All methods' scores with labels, pairs put in three groups as if they came from runs of three settings."""
+    table = staged(_with_fisher(p.pairs()), "methods")
+    factors = table.select("a", "b", F.concat(F.lit("g"), (F.length("a") + F.length("b") + F.col("n11")) % 3).alias("factor"))
+    scored = evaluation.all_scores(table, "ME", special.epsilon(p.n)).withColumn("score", F.round("score", 6))
+    return evaluation.labels(scored, _truth(table)).join(factors, ["a", "b"])
+
+
+@_query(end(f"SELECT factor, method, {sql_r('coalesce(sum(CASE WHEN p > 0 THEN hits / p * tp / called END), 0)')} AS average_precision FROM cu GROUP BY factor, method", PAIRS, TAU, _ACTIVE, _FISHER, _SCORED, _LABELLED, _STEPS))
+def average_precision_by_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _labelled_scores(_Parts(spark, sf_dir))
+    return evaluation.average_precision(scored, ["factor", "method"]).select("factor", "method", r("average_precision").alias("average_precision"))
+
+
+@_query(end(f"SELECT factor, method, {sql_r('tp / p')} AS recall, {sql_r('tp / called')} AS precision FROM cu WHERE p > 0 UNION ALL SELECT DISTINCT factor, method, 0, 1 FROM cu WHERE p > 0", PAIRS, TAU, _ACTIVE, _FISHER, _SCORED, _LABELLED, _STEPS))
+def precision_recall_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _labelled_scores(_Parts(spark, sf_dir))
+    return evaluation.precision_recall(scored, ["factor", "method"]).select("factor", "method", r("recall").alias("recall"), r("precision").alias("precision"))
+
+
+_ME_RANKED = """
+ok1 AS (SELECT act.*, me_p, me_q, t1x > eps AND tx1 > eps AND rho < 0 AS fits FROM act JOIN fq USING (a, b)),
+mt AS (
+  SELECT a, b, 'rho' AS method, rho AS value, rho < -0.01 AS significant, row_number() OVER (ORDER BY rho, a, b)::INTEGER AS rk FROM ok1 WHERE fits
+  UNION ALL SELECT a, b, 'lrt', lrt, NULL, row_number() OVER (ORDER BY lrt DESC NULLS LAST, a, b)::INTEGER FROM ok1 WHERE fits
+  UNION ALL SELECT a, b, 'lor', lor, NULL, row_number() OVER (ORDER BY lor DESC NULLS LAST, a, b)::INTEGER FROM ok1 WHERE fits
+  UNION ALL SELECT a, b, 'wald', wald, NULL, row_number() OVER (ORDER BY wald DESC NULLS LAST, a, b)::INTEGER FROM ok1 WHERE fits
+  UNION ALL SELECT a, b, 'fisher', me_p, me_q < 0.01, row_number() OVER (ORDER BY me_p, a, b)::INTEGER FROM ok1),
+"""
+_CO_RANKED = """
+ok1 AS (SELECT act.*, co_p, co_q, t1x > eps AND tx1 > eps AND rho > 0 AS fits FROM act JOIN fq USING (a, b)),
+mt AS (
+  SELECT a, b, 'rho' AS method, rho AS value, NULL AS significant, row_number() OVER (ORDER BY rho DESC, a, b)::INTEGER AS rk FROM ok1 WHERE fits
+  UNION ALL SELECT a, b, 'lrt', lrt, lrt > 1.5, row_number() OVER (ORDER BY lrt DESC NULLS LAST, a, b)::INTEGER FROM ok1 WHERE fits
+  UNION ALL SELECT a, b, 'lor', lor, NULL, row_number() OVER (ORDER BY lor NULLS LAST, a, b)::INTEGER FROM ok1 WHERE fits
+  UNION ALL SELECT a, b, 'wald', wald, NULL, row_number() OVER (ORDER BY wald NULLS LAST, a, b)::INTEGER FROM ok1 WHERE fits
+  UNION ALL SELECT a, b, 'fisher', co_p, co_q < 0.01, row_number() OVER (ORDER BY co_p, a, b)::INTEGER FROM ok1),
+"""
+_MT = f"SELECT rk, method, {sql_r('value', 5)} AS value, significant, n_significant FROM (SELECT *, CASE WHEN significant IS NOT NULL THEN sum(significant::INT) OVER (PARTITION BY method)::BIGINT END AS n_significant FROM mt) WHERE rk <= 15"
+_SQL_METHODS = ("rho", "lrt", "lor", "wald", "fisher")
+
+
+def _method_tables(spark: SparkSession, sf_dir: str, direction: str, cutoffs: dict[str, float]) -> DataFrame:
+    p = _Parts(spark, sf_dir)
+    made = calls.method_tables(staged(_with_fisher(p.pairs()), "methods"), direction, special.epsilon(p.n), 15, cutoffs, _SQL_METHODS)
+    return made.select("rk", "method", r("value", 5).alias("value"), "significant", "n_significant")
+
+
+@_query(end(_MT, PAIRS, TAU, _ACTIVE, _FISHER, _ME_RANKED))
+def method_tables_me(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pairs of each method and how many it calls; which pairs tie in value depends on the last digits, so ranks have values."""
+    return _method_tables(spark, sf_dir, "ME", {"rho": -0.01})
+
+
+@_query(end(_MT, PAIRS, TAU, _ACTIVE, _FISHER, _CO_RANKED))
+def method_tables_co(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _method_tables(spark, sf_dir, "CO", {"lrt": 1.5})
+
+
+@_query(end(f"SELECT rk, {sql_r('sum(hit) OVER (ORDER BY rk) / (2.0::DOUBLE * rk)')} AS share FROM (SELECT rk, (NOT " + _DRIVER.format(f="a") + ")::INT + (NOT " + _DRIVER.format(f="b") + ")::INT AS hit FROM mt WHERE method = 'rho' AND rk <= 50)", PAIRS, TAU, _ACTIVE, _FISHER, _ME_RANKED))
+def method_passenger_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a method's first pairs are likely passengers."""
+    p = _Parts(spark, sf_dir)
+    ranked = calls.rank_by(p.pairs(), "ME", "rho", special.epsilon(p.n))
+    passengers = p.totals.where(~_is_driver(F.col("feature"))).select("feature")
+    return calls.passenger_curve(ranked, passengers, 50).select("rk", r("share").alias("share"))
 
 
 @_query(end(f"SELECT {sql_r('sum(hits / p * tp / called)')} AS average_precision FROM (SELECT n11, sum(label)::DOUBLE AS hits, sum(sum(label)) OVER (ORDER BY n11 DESC) AS tp, sum(count(*)) OVER (ORDER BY n11 DESC) AS called, sum(sum(label)) OVER () AS p FROM tl GROUP BY n11)", PAIRS, _TRUTH))
@@ -465,14 +631,22 @@ cons AS (SELECT cohort, least(split_part(a, '_', 1), split_part(b, '_', 1)) AS a
 """
 
 
-def _consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cohort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cohort, a, b, o, n11``: the samples of each cohort that have both features, and the sum of the features' ranks."""
     p = _Parts(spark, sf_dir)
     narrow = p.counts.join(p.top.select("feature", "rk"), "feature").select("sample", "feature", "rk").join(tables.sample_cohorts(spark, sf_dir), "sample")
     x, y = narrow.alias("x"), narrow.alias("y")
-    both = x.join(y, (F.col("x.sample") == F.col("y.sample")) & (F.col("x.rk") < F.col("y.rk"))).groupBy(F.col("x.cohort").alias("cohort"), F.col("x.feature").alias("a"), F.col("y.feature").alias("b"), (F.col("x.rk") + F.col("y.rk")).alias("o")).agg(F.count("*").alias("n11"))
-    two = both.select("*", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("bmr"))
+    return x.join(y, (F.col("x.sample") == F.col("y.sample")) & (F.col("x.rk") < F.col("y.rk"))).groupBy(F.col("x.cohort").alias("cohort"), F.col("x.feature").alias("a"), F.col("y.feature").alias("b"), (F.col("x.rk") + F.col("y.rk")).alias("o")).agg(F.count("*").alias("n11"))
+
+
+def _ranked_by_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = _cohort_pairs(spark, sf_dir).select("*", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("bmr"))
     order = F.when(F.col("bmr") == "x", -F.col("n11")).otherwise(F.col("o"))
-    ranked = two.withColumn("rk", F.row_number().over(Window.partitionBy("cohort", "bmr").orderBy(order, "a", "b"))).where("rk <= 10")
+    return two.withColumn("rk", F.row_number().over(Window.partitionBy("cohort", "bmr").orderBy(order, "a", "b"))).where("rk <= 10")
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _ranked_by_cohort(spark, sf_dir)
     return networks.consensus(ranked.withColumns({"direction": F.lit("CO"), "rho": F.lit(None).cast("double"), "lrt": F.col("n11").cast("double")}))
 
 
@@ -490,7 +664,14 @@ def group_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("group", "a", "b", "n_cohorts", F.array_join("supported_by", "|").alias("supported_by"), "best_rank", "kind")
 
 
-@_query()
+_BMR_JSON = """'"' || bmr || '":{"rk":' || rk || ',"lrt":' || n11 || '.0}'"""
+_ATLAS = f"""
+cl AS (SELECT cohort, least(split_part(a, '_', 1), split_part(b, '_', 1)) AS a, greatest(split_part(a, '_', 1), split_part(b, '_', 1)) AS b, bmr, arg_max(n11, rk) AS n11, max(rk) AS rk, min(rk) AS best FROM cr GROUP BY 1, 2, 3, 4),
+ce AS (SELECT cohort, a, b, count(*) AS n_bmr, min(best) AS best_rank, to_json(list(bmr ORDER BY bmr)) AS supported, to_json('{{' || string_agg({_BMR_JSON}, ',' ORDER BY bmr) || '}}') AS per_bmr FROM cl GROUP BY cohort, a, b),
+"""
+
+
+@_query(end("""SELECT cohort, '{"cohort":' || to_json(cohort) || ',"ME":[],"CO":[' || string_agg('{"order":' || -n_bmr || ',"best_rank":' || best_rank || ',"a":' || to_json(a) || ',"b":' || to_json(b) || ',"supported_by":' || supported || ',"per_bmr":' || per_bmr || '}', ',' ORDER BY n_bmr DESC, best_rank, a, b) || ']}' AS record FROM ce GROUP BY cohort""", _COHORT, _RANKS, _ATLAS))
 def atlas_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return networks.as_json(_consensus(spark, sf_dir))
 
@@ -547,10 +728,48 @@ def obs_over_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("feature", "observed", r("expected", 5).alias("expected"), r("ratio").alias("ratio"))
 
 
-@_query(end("SELECT cohort, " + ", ".join(f"max(CASE WHEN q = {q} THEN v END)::BIGINT AS \"q{q}\"" for q in (1, 2)) + " FROM (SELECT cohort, sum(c) AS v, CASE WHEN feature LIKE '%M' THEN 1 ELSE 2 END AS q FROM cc GROUP BY ALL) GROUP BY cohort", _COHORT))
-def bmr_sensitivity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _by_cohort(spark, sf_dir).groupBy("cohort", F.when(F.col("feature").endswith("M"), "q1").otherwise("q2").alias("bmr")).agg(F.sum("c").alias("v"))
-    return sums.groupBy("cohort").pivot("bmr", ["q1", "q2"]).agg(F.first("v"))
+_SHARES = {"low": 0.5, "high": 0.8}
+_PI_LOW = PI.replace("cells", "cells_low").replace("em AS", "em_low AS").replace("FROM em ", "FROM em_low ").replace("JOIN em ", "JOIN em_low ").replace("pis AS", "pis_low AS")
+_LOW = f"""
+pn_low AS (SELECT feature, k, p / sum(p) OVER (PARTITION BY feature) AS p FROM (SELECT feature, k, exp(-rate * 0.625::DOUBLE) * pow(rate * 0.625::DOUBLE, k) / gamma(k + 1) AS p FROM raw, range(0, {K} + 1) t(k))),
+pmf_low AS (SELECT feature, list(p ORDER BY k) AS pmf FROM pn_low GROUP BY feature),
+cells_low AS (SELECT feature, c, n, CASE WHEN c > {K} THEN 1e-100 ELSE pmf[c + 1] END AS here, CASE WHEN c < 1 THEN 0.0 WHEN c - 1 > {K} THEN 1e-100 ELSE pmf[c] END AS below, c <= {K} AS support FROM hist JOIN pmf_low USING (feature) WHERE n > 0),
+"""
+
+
+@_query(end(f"SELECT bmr, {sql_r('max(pi) FILTER (gene = {0})', 3).format(repr('Brand#13'))} AS pi_of_one, count(DISTINCT gene) FILTER (rn <= 20 AND right(gene, 1) NOT IN ('2', '4'))::INTEGER AS passengers_top FROM (SELECT *, row_number() OVER (PARTITION BY bmr ORDER BY round(pi, 9) DESC, feature) AS rn FROM (SELECT 'high' AS bmr, feature, split_part(feature, '_', 1) AS gene, pi FROM pis UNION ALL SELECT 'low', feature, split_part(feature, '_', 1), pi FROM pis_low)) GROUP BY bmr", PI, _LOW, _PI_LOW))
+def bmr_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under backgrounds of two shares of the mean count: a gene's rate, and how many likely passengers are among the highest rates."""
+    p = _Parts(spark, sf_dir)
+    cells = fit.histogram(p.counts, F.lit(p.n))
+    each = [fit.fit_rates(fit.with_pmfs(cells, background.poisson(p.totals, F.lit(p.n), share, K)), n_inits=1).select(F.lit(bmr).alias("bmr"), "feature", F.round("pi", 9).alias("pi")) for bmr, share in _SHARES.items()]
+    rates = each[0].unionByName(each[1])
+    passengers = p.totals.select(counts.base_gene(F.col("feature")).alias("gene")).where(~F.substring("gene", -1, 1).isin("2", "4")).distinct()
+    return reports.sensitivity(rates, "Brand#13", passengers, 20).select("bmr", r("pi_of_one", 3).alias("pi_of_one"), "passengers_top")
+
+
+@_query(end("SELECT cohort, samples, " + sql_r("median", 1) + " AS median_burden, co_x, co_y FROM (SELECT cohort, count(*) AS samples, median(burden) AS median FROM (SELECT cohort, sample, sum(c) AS burden FROM cc GROUP BY ALL) GROUP BY cohort) JOIN (SELECT cohort, count(*) FILTER (n11 >= 3) AS co_x, count(*) FILTER (o < 40) AS co_y FROM cj GROUP BY cohort) USING (cohort)", _COHORT, _RANKS))
+def burden_and_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By cohort the median burden beside the number of co-occurring pairs under each of two rules."""
+    kept = _cohort_pairs(spark, sf_dir).select("cohort", F.explode(F.array(F.when(F.col("n11") >= 3, "x"), F.when(F.col("o") < 40, "y"))).alias("bmr")).where("bmr is not null")
+    burdens = _by_cohort(spark, sf_dir).groupBy("cohort", "sample").agg(F.sum("c").alias("burden"))
+    found = reports.burden_and_pairs(burdens, kept, ["x", "y"])
+    return found.select("cohort", "samples", r("median_burden", 1).alias("median_burden"), "co_x", "co_y")
+
+
+@_query(end("SELECT cohort, bmr, string_agg(split_part(a, '_', 1) || ':' || split_part(b, '_', 1), ', ' ORDER BY rk) FILTER (rk <= 6) AS names FROM cr GROUP BY cohort, bmr", _COHORT, _RANKS))
+def top_pair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pairs of each cohort and background by name."""
+    return reports.top_names(_ranked_by_cohort(spark, sf_dir), 6)
+
+
+@_query(end(f"SELECT cohort, count(*) FILTER (hit) AS shared, {sql_r('avg(hit::INT)')} AS share FROM (SELECT cohort, right(gene, 1) IN ('2', '4') AS hit, row_number() OVER (PARTITION BY cohort ORDER BY t DESC, gene) AS rn FROM (SELECT cohort, split_part(feature, '_', 1) AS gene, sum(c) AS t FROM cc GROUP BY ALL)) WHERE rn <= 12 GROUP BY cohort", _COHORT))
+def top_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each cohort's first genes are in a reference set."""
+    sums = _by_cohort(spark, sf_dir).groupBy("cohort", counts.base_gene(F.col("feature")).alias("gene")).agg(F.sum("c").alias("t"))
+    tops = sums.withColumn("rn", F.row_number().over(Window.partitionBy("cohort").orderBy(F.desc("t"), "gene"))).where("rn <= 12")
+    reference = sums.select("gene").distinct().where(F.substring("gene", -1, 1).isin("2", "4"))
+    return reports.shared(tops.select("cohort", "gene"), reference).select("cohort", "shared", r("share").alias("share"))
 
 
 @_query(end("SELECT cohort, count(DISTINCT sample) AS samples, sum(c)::BIGINT AS events, count(DISTINCT feature) AS features, " + sql_r("sum(c) / count(DISTINCT sample)") + " AS burden FROM cc GROUP BY cohort", _COHORT))
@@ -602,11 +821,6 @@ def top_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 # what SQL can't express
 
 
-@_query()
-def pi_mle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.maximise_rates(_Parts(spark, sf_dir).cells)
-
-
 @_query()
 def burden_aware_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _Parts(spark, sf_dir)
@@ -670,9 +884,26 @@ def discover_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baselines.overlap_test(p.contingency(), background.max_entropy_background(few), sums)
 
 
-@_query()
+_LL = "n11 * ln(greatest(g * (a_ + b_) / 2 + (1 - g) * a_ * b_, 1e-300)) + n10 * ln(greatest(g * (1 - b_) / 2 + (1 - g) * a_ * (1 - b_), 1e-300)) + n01 * ln(greatest(g * (1 - a_) / 2 + (1 - g) * (1 - a_) * b_, 1e-300)) + n00 * ln(greatest((1 - g) * (1 - a_) * (1 - b_), 1e-300))"
+_MEGSA = f"""
+mg0 AS (SELECT a, b, n11::DOUBLE AS n11, n10::DOUBLE AS n10, n01::DOUBLE AS n01, n00::DOUBLE AS n00, (n11 + n10 + n01 + n00)::DOUBLE AS n FROM cont),
+mgn AS (SELECT *, {_LL} AS ll0 FROM (SELECT *, 0::DOUBLE AS g, (n11 + n10) / n AS a_, (n11 + n01) / n AS b_ FROM mg0)),
+mg AS (SELECT a, b, n11, n10, n01, n00, n, ll0, 0 AS it, (n10 + n01) / n AS g, a_ / 2 AS a_, b_ / 2 AS b_, ll0 AS best, false AS done FROM mgn
+  UNION ALL
+  SELECT a, b, n11, n10, n01, n00, n, ll0, it + 1, g, a_, b_, CASE WHEN abs(ll - best) < 1e-10 THEN best ELSE ll END, abs(ll - best) < 1e-10 FROM (
+    SELECT *, {_LL} AS ll FROM (
+      SELECT a, b, n11, n10, n01, n00, n, ll0, it, best, (ba + bb) / n AS g, (n11 + n10 - ba) / greatest(n - ba, 1e-9) AS a_, (n11 + n01 - bb) / greatest(n - bb, 1e-9) AS b_ FROM (
+        SELECT *, n11 * g * b_ / 2 / s11 + n10 * g * (1 - b_) / 2 / s10 AS ba, n11 * g * a_ / 2 / s11 + n01 * g * (1 - a_) / 2 / s01 AS bb FROM (
+          SELECT *, CASE WHEN n11 > 0 THEN g * (a_ + b_) / 2 + (1 - g) * a_ * b_ ELSE 1 END AS s11, CASE WHEN n10 > 0 THEN g * (1 - b_) / 2 + (1 - g) * a_ * (1 - b_) ELSE 1 END AS s10, CASE WHEN n01 > 0 THEN g * (1 - a_) / 2 + (1 - g) * (1 - a_) * b_ ELSE 1 END AS s01
+          FROM mg WHERE NOT done AND it < 2000))))),
+ms AS (SELECT a, b, greatest(0, 2 * (greatest(arg_max(best, it), any_value(ll0)) - any_value(ll0))) AS s FROM mg GROUP BY a, b),
+mp AS (SELECT a, b, s, {CHI2.format(x='s')} / 2 AS p FROM ms),
+"""
+
+
+@_query(end(f"SELECT a, b, {sql_r('s', 4)} AS s, {sql_r('p', 4)} AS p FROM mp", PAIRS, _MEGSA))
 def megsa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baselines.exclusivity_test(_Parts(spark, sf_dir).contingency())
+    return baselines.exclusivity_test(_Parts(spark, sf_dir).contingency()).select("a", "b", r("s", 4).alias("s"), r("p", 4).alias("p"))
 
 
 @_query()

@@ -10,10 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``sample, gene, effect`` of every line."""
+def events(spark: SparkSession, sf_dir: str, kept: bool = False) -> DataFrame:
+    """``sample, gene, effect`` of every line; of those that count only if ``kept``, which the scan filters by their flag."""
     effect = F.when(F.col("l_returnflag") == "A", "missense").when(F.col("l_returnflag") == "R", "nonsense").otherwise("silent")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample"), "l_partkey", effect.alias("effect"))
+    lines = table(spark, sf_dir, "lineitem")
+    if kept:
+        lines = lines.where(F.col("l_returnflag").isin("A", "R"))
+    lines = lines.select(F.col("l_orderkey").alias("sample"), "l_partkey", effect.alias("effect"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene"))
     return lines.join(parts, "l_partkey").select("sample", "gene", "effect")
 

@@ -6,8 +6,9 @@ row raises when the row is read.  Writers take a folder, as Spark's do.
 
 from __future__ import annotations
 
+import json
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,10 @@ def _strings(spark: SparkSession, path: str, sep: str, comment: str | None = Non
     return (reader.option("comment", comment) if comment else reader).csv(path)
 
 
+def first_column(spark: SparkSession, path: str, sep: str = "\t") -> str:
+    return _header(spark, path, sep)[0] or "_first"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether Hadoop's file system has the path."""
     jvm = spark.sparkContext._jvm
@@ -165,9 +170,9 @@ def write_rate_cube(folder: str, genes: Sequence[str], patients: Sequence[str],
             out.write("\n".join(values))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One table of results; it is as large as the number of features or pairs."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """A table of results, as large as the number of features or pairs; one that grows with the samples isn't put in one file."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_table(df: DataFrame, path: str, *partitions: str) -> None:
@@ -205,3 +210,22 @@ def read_simulation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 def write_simulation(counts: DataFrame, params: DataFrame, folder: str) -> None:
     counts.write.mode("overwrite").parquet(f"{folder}/counts")
     write_json(params, f"{folder}/params")
+
+
+def write_truth(spark: SparkSession, truth: Mapping[str, object], folder: str) -> None:
+    """What was planted in a simulated matrix, as one JSON object."""
+    spark.createDataFrame([(json.dumps(truth),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/truth")
+
+
+def read_truths(spark: SparkSession, pattern: str) -> DataFrame:
+    """``run, direction, a, b, num_samples`` of the pairs planted in many runs; ``run`` is the number in ``R<run>`` of the path."""
+    raw = spark.read.text(pattern, wholetext=True).withColumn("run", F.regexp_extract(F.input_file_name(), r"/R(\d+)/", 1).cast("int"))
+    held = raw.select("run", F.from_json("value", "`ME Pairs` array<array<string>>, `CO Pairs` array<array<string>>, num_samples long").alias("t"))
+    both = F.array(*[F.struct(F.lit(d).alias("direction"), F.col("t").getField(f"{d} Pairs").alias("pairs")) for d in ("ME", "CO")])
+    each = held.select("run", F.col("t.num_samples").alias("num_samples"), F.inline(both)).select("run", "num_samples", "direction", F.explode("pairs").alias("p"))
+    return each.select("run", "direction", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"), "num_samples")
+
+
+def read_matrix_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``sample, feature, c`` of a simulated matrix."""
+    return spark.read.parquet(f"{folder}/counts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,18 @@ _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder made here where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; where all run in this process, as in tests, a folder can be made here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _made:
-            _made[app] = "file://" + tempfile.mkdtemp(prefix="latentmesh-")
-        return _made[app]
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+        if context.applicationId not in _made:
+            _made[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="latentmesh-")
+        return _made[context.applicationId]
+    if "://" not in folder:  # a bare path is one of the cluster's default file system
+        place = context._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = re.sub("^file:/+", "file:///", place.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(place).toString())
     return folder.rstrip("/")
 
 

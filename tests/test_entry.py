@@ -42,7 +42,7 @@ def test_works_without_the_text_operators(monkeypatch):
 
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables aren't here")
 def test_flagship(spark):
-    assert entry.entry(spark).count() == 66
+    assert entry.entry(spark).count() == 1225
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables aren't here")

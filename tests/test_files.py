@@ -108,3 +108,48 @@ def test_verbs(spark, tmp_path):
     m = put(tmp_path, "m.tsv", "gene\tsample\teffect\nTP53\ta\tmissense\nTP53\tb\tnonsense\nTP53\tb\tsilent\n")
     cli.main(["generate", "--mutations", m, "--out", str(tmp_path / "gen")])
     assert files.read_pmfs(spark, str(tmp_path / "gen/bmr_pmfs")).count() == 2
+
+
+def test_a_matrix_is_simulated(spark, tmp_path):
+    names = [f"G{k}_M" for k in range(12)]
+    c = put(tmp_path, "c.csv", "sample," + ",".join(names) + "\n" + "\n".join(f"s{i}," + ",".join(str(int((i + k) % (k + 2) == 0)) for k in range(12)) for i in range(40)) + "\n")
+    p = put(tmp_path, "p.csv", "gene,0,1\n" + "\n".join(f"{g},0.9,0.1" for g in names) + "\n")
+    d = put(tmp_path, "d.tsv", "Hugo\tx\n" + "\n".join(f"G{k}\t1" for k in (0, 2, 4, 6, 8)) + "\n")
+    out = str(tmp_path / "R7")
+    cli.main(["simulate", "create", "matrix", "--out", out, "--counts", c, "--pmfs", p, "--drivers", d, "--me-pairs", "1", "--co-pairs", "1", "--passengers", "3", "--samples", "60", "--tau-low", "0.2", "--tau-high", "0.3"])
+    drawn = files.read_matrix_counts(spark, out)
+    planted = files.read_truths(spark, f"{tmp_path}/R*/truth").collect()
+    assert sorted((r.run, r.direction, r.num_samples) for r in planted) == [(7, "CO", 60), (7, "ME", 60)]
+    drivers = {x for r in planted for x in (r.a, r.b)}
+    assert drivers == {"G0_M", "G2_M", "G4_M", "G6_M"}  # those with the most events
+    passengers = {r.feature for r in drawn.select("feature").distinct().collect()} - drivers
+    assert passengers <= {"G1_M", "G3_M", "G5_M"}
+    with pytest.raises(SystemExit):
+        cli.main(["simulate", "create", "matrix", "--out", out])
+    with pytest.raises(ValueError, match="drivers"):
+        cli.main(["simulate", "create", "matrix", "--out", out, "--counts", c, "--pmfs", p, "--drivers", d, "--me-pairs", "9"])
+
+
+def test_a_simulated_matrix_is_evaluated(spark, tmp_path):
+    names = "abcd"
+    for run in (1, 2):
+        folder = tmp_path / f"R{run}"
+        files.write_truth(spark, {"ME Pairs": [["a", "b"]], "CO Pairs": [["c", "d"]], "Likely Passengers": [], "num_samples": 1000}, str(folder))
+        rows = []
+        for i, x in enumerate(names):
+            for y in names[i + 1 :]:
+                true = (x, y) == ("a", "b")
+                rho = -0.9 if true else -0.1 * (1 + names.index(y))
+                fisher = 0.5 if true and run == 2 else 1e-9 if true else 0.01 * (1 + names.index(x))
+                rows.append((x, y, 0.3, 0.3, rho, 5.0 * -rho, 1.0, None, fisher))
+        spark.createDataFrame(rows, "`Gene A` string, `Gene B` string, Tau_1X double, Tau_X1 double, Rho double, `Likelihood Ratio` double, `Log Odds Ratio` double, `Wald Statistic` double, fisher_me_p double").write.option("header", True).csv(f"{folder}/complete_pairwise_interaction_results")
+    out = str(tmp_path / "out")
+    cli.main(["simulate", "evaluate", "matrix", "--results", str(tmp_path), "--direction", "ME", "--out", out])
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/{name}")
+    ap = {r.method: r.average_precision for r in read("average_precision").collect()}
+    assert ap["rho"] == ap["lrt"] == 1 and ap["fisher"] == pytest.approx(0.5 + 0.5 * 2 / 12) and ap["lor"] == pytest.approx(2 / 12)
+    hits = {(r.method, r.rk): r.hits for r in read("hits").collect()}
+    assert hits["rho", 1] == 1 and hits["fisher", 1] == 0.5 and hits["fisher", 6] == 1
+    mean = {round(r.recall, 4): r["mean"] for r in read("mean_pr_curve").where("method = 'rho'").collect()}
+    assert len(mean) == 10_001 and mean[1.0] == 1
+    assert read("pr_curve").where("method = 'rho' and recall = 1 and precision = 1").count() == 1

@@ -169,16 +169,17 @@ def test_poisson_binomial():
     for q, k in zip(chances, many):
         for _ in range(k):
             p = np.convolve(p, [1 - q, q])
-    for x in (100, 130, 160):
-        assert baselines.poisson_binomial(chances, many, x) == pytest.approx((p[: x + 1].sum(), p[x:].sum()), abs=1e-10)
-    assert baselines.poisson_binomial(chances, many, 3000) == (1.0, 0.0)
+    for x in (0, 5, 100, 130, 160, 300, 600):  # tails of 1e-267 among them
+        assert baselines.poisson_binomial(chances, many, x) == pytest.approx((p[: x + 1].sum(), p[x:].sum()), rel=1e-8)
+    assert baselines.poisson_binomial(chances, many, 3501) == (1.0, 0.0) and baselines.poisson_binomial(chances, many, -1) == (0.0, 1.0)
+    assert baselines.poisson_binomial(np.array([0.3]), np.array([4]), 4)[1] == pytest.approx(0.3**4)
 
 
 def test_max_entropy_margins():
-    rows, columns = np.array([3.0, 3, 5, 1]), np.array([2.0, 2, 2, 3, 3])
-    a, b = background.max_entropy(rows, columns)
+    rows, many, columns, times = np.array([1.0, 3, 5]), np.array([1, 2, 1]), np.array([2.0, 3]), np.array([3, 2])
+    a, b = background.max_entropy(rows, many, columns, times)
     p = 1 / (1 + np.exp(a[:, None] + b[None]))
-    assert p.sum(1) == pytest.approx(rows, abs=1e-4) and p.sum(0) == pytest.approx(columns, abs=1e-4)
+    assert (p * times).sum(1) == pytest.approx(rows, abs=1e-4) and (p * many[:, None]).sum(0) == pytest.approx(columns, abs=1e-4)
 
 
 def test_logit_equals_the_table():
@@ -188,8 +189,17 @@ def test_logit_equals_the_table():
 
 
 def test_exclusivity_ratio():
-    assert baselines.exclusivity_ratio(0, 40, 40, 20) > 20
-    assert baselines.exclusivity_ratio(25, 25, 25, 25) == pytest.approx(0, abs=1e-6)
+    cells = np.array([(0, 40, 40, 20), (25, 25, 25, 25), (3, 40, 30, 500), (0, 0, 7, 9)])
+    s = baselines.exclusivity_ratio(*cells.T)
+    assert s[0] > 20 and s[1] == pytest.approx(0, abs=1e-6)
+    for k, (n11, n10, n01, n00) in enumerate(cells):  # against a grid of all shares and rates
+        n, best = n11 + n10 + n01 + n00, -np.inf
+        g, a, b = np.meshgrid(*[np.linspace(0, 0.999, 80)] * 3)
+        p = [g * (a + b) / 2 + (1 - g) * a * b, g * (1 - b) / 2 + (1 - g) * a * (1 - b), g * (1 - a) / 2 + (1 - g) * (1 - a) * b, (1 - g) * (1 - a) * (1 - b)]
+        best = sum(c * np.log(np.maximum(q, 1e-300)) for c, q in zip((n11, n10, n01, n00), p)).max()
+        x, y = (n11 + n10) / n, (n11 + n01) / n
+        null = sum(c * math.log(max(q, 1e-300)) for c, q in zip((n11, n10, n01, n00), (x * y, x * (1 - y), (1 - x) * y, (1 - x) * (1 - y))) if c)
+        assert s[k] >= 2 * (best - null) - 1e-3
 
 
 def test_average_precision(spark):
@@ -261,3 +271,182 @@ def test_simulation_errors_are_small(spark):
     drawn = simulation.single(spark, PMF, 0.3, 800, 6)
     x = evaluation.error_summary(evaluation.simulated_features(drawn, PMF, 800), F.lit(0.3)).first()
     assert x.error < 0.06
+
+
+def exact_tails(n11, n10, n01, n00):
+    """Both tails by summing logarithms over every table with the margins."""
+    a, b, n = n11 + n10, n11 + n01, n11 + n10 + n01 + n00
+    lf = np.vectorize(lambda v: math.lgamma(v + 1))
+    k = np.arange(max(0, a + b - n), min(a, b) + 1)
+    log = lf(a) + lf(b) + lf(n - a) + lf(n - b) - lf(n) - lf(k) - lf(a - k) - lf(b - k) - lf(n - a - b + k)
+    return float(np.exp(np.logaddexp.reduce(log[k <= n11]))), float(np.exp(np.logaddexp.reduce(log[k >= n11])))
+
+
+def test_exact_tails_of_any_table(spark):
+    tables = [(600, 0, 0, 600), (0, 800, 800, 0), (0, 0, 0, 9), (5, 0, 3, 0), (0, 0, 7, 2), (3, 4, 5, 6), (30, 400, 350, 20_000), (9000, 1000, 1200, 90_000), (200_000, 300_000, 300_000, 200_000), (0, 500, 400, 999_100), (100, 1000, 900, 998_000), (1, 0, 0, 0)]
+    df = spark.createDataFrame([(f"{k}", "b", *t) for k, t in enumerate(tables)], "a string, b string, n11 long, n10 long, n01 long, n00 long")
+    for r in calls.fisher(df).collect():
+        want = exact_tails(*tables[int(r.a)])
+        assert (r.me_p, r.co_p) == pytest.approx(want, rel=1e-6, abs=1e-300), tables[int(r.a)]
+
+
+def test_chi2_tail_is_right_everywhere(spark):
+    x = [0.0, 1e-9, 0.3, 1.0, 7.9, 8.0, 8.1, 30.0, 300.0, 1400.0, float("nan"), None]
+    got = [r.p for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(special.chi2_tail(F.col("x")).alias("p")).collect()]
+    assert got[:10] == pytest.approx([math.erfc(math.sqrt(v / 2)) for v in x[:10]], rel=1e-12) and got[10:] == [None, None]
+
+
+def poisson(rate, kmax):
+    p = np.array([math.exp(-rate) * rate**k / math.factorial(k) for k in range(kmax + 1)])
+    return p / p.sum()
+
+
+def test_backgrounds_of_samples_are_used(spark):
+    """Rates and joint rates by classes of burdens against the same fits sample by sample."""
+    rng = np.random.default_rng(4)
+    n, names = 300, ["A_M", "B_M", "C_N"]
+    scale = rng.integers(1, 5, n)
+    m = np.stack([rng.poisson(0.15 * scale) + (rng.random(n) < 0.2) for _ in names], axis=1)
+    m[:, 1] += m[:, 0] * (rng.random(n) < 0.5)
+    long = spark.createDataFrame([(i, f, int(m[i, k])) for i in range(n) for k, f in enumerate(names) if m[i, k]], "sample long, feature string, c long")
+    samples = spark.range(n).select(F.col("id").alias("sample"))
+    burdens = counts.burden(long, samples)
+    expected = spark.createDataFrame([(f, 0.3) for f in names], "feature string, expected double")
+    kmax = background.largest(long)
+    assert kmax == m.max()
+    pmfs, classes = background.by_burden_class(expected, burdens, kmax), background.burden_classes(burdens)
+    got = identify(Cohort(long, pmfs, samples, classes=classes), 3, n_inits=1)
+    burden = m.sum(1)
+    own = [[poisson(max(0.3 * b / burden.mean(), 1e-9), kmax) for b in burden] for _ in names]
+    here = np.array([[own[k][i][m[i, k]] for i in range(n)] for k in range(3)])
+    below = np.array([[own[k][i][m[i, k] - 1] if m[i, k] else 0 for i in range(n)] for k in range(3)])
+    one_, two_ = np.ones((3, n)), [(0, 1), (0, 2), (1, 2)]
+    pi = em.fit_pi(one_, here, below, np.ones((3, n), bool), [0.5])[0]
+    rows = {r.feature: r for r in got.features.collect()}
+    assert [rows[f].pi for f in names] == pytest.approx(pi, rel=1e-9)
+    mean = np.mean([(np.arange(kmax + 1) * own[0][i]).sum() for i in range(n)])
+    assert rows["A_M"].expected == pytest.approx(mean)
+    side = lambda j: (np.stack([here[p[j]] for p in two_]), np.stack([below[p[j]] for p in two_]))
+    tau = em.fit_tau(np.ones((3, n)), side(0), side(1), side(0), side(1), [[0.25] * 4])[0]
+    want = {frozenset((names[a], names[b])): (t[0], t[1] + t[2], t[3]) for (a, b), t in zip(two_, tau)}
+    for r in got.pairs.collect():
+        assert (r.t00, r.t01 + r.t10, r.t11) == pytest.approx(want[frozenset((r.a, r.b))], rel=1e-8)
+    with pytest.raises(ValueError, match="classes"):
+        identify(Cohort(long, pmfs, samples), 3)
+
+
+def test_given_rates_and_their_fallbacks(spark):
+    samples = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample string")
+    rates = spark.createDataFrame([("A_M", "s1", 0.5), ("A_M", "s2", 1.5)], "feature string, sample string, lambda double")
+    shared_ = spark.createDataFrame([("A_M", [1.0]), ("B_M", [0.9, 0.1])], "feature string, pmf array<double>")
+    got = {(r.feature, r["class"]): r for r in background.by_rates(rates, samples, 6, shared_).collect()}
+    assert len(got) == 6 and got["A_M", "s3"]["lambda"] == 1.0 and list(got["B_M", "s2"].pmf) == [0.9, 0.1]
+    assert got["A_M", "s2"].pmf == pytest.approx(poisson(1.5, 6))
+    large = background.by_rates(spark.createDataFrame([("A_M", "s1", 20.0)], rates.schema), samples, 60).first()
+    assert sum(k * p for k, p in enumerate(large.pmf)) == pytest.approx(20, abs=1e-6)
+    genes = spark.createDataFrame([("G", 1e-3, 4.0, 100.0, 10.0, 5.0)], "gene string, mutrate double, n_eff double, nmis double, nnon double, nspl double")
+    found = {r.feature: r["lambda"] for r in background.exposure_rates(genes, spark.createDataFrame([("s1", 2.0)], "sample string, factor double"), 10).collect()}
+    assert found == pytest.approx({"G_M": 100 / 10 * 1e-3 * 2, "G_N": 15 / 10 * 1e-3 * 2})
+
+
+def test_equal_totals_go_by_the_order_of_the_file(spark):
+    long = spark.createDataFrame([("s1", "B_M", 1), ("s1", "A_M", 1), ("s2", "C_M", 1)], "sample string, feature string, c long")
+    order = spark.createDataFrame([("C_M", 0), ("B_M", 1), ("A_M", 2)], "feature string, ord int")
+    assert [r.feature for r in Cohort(long, order=order).top(2).orderBy("rk").collect()] == ["C_M", "B_M"]
+    assert [r.feature for r in Cohort(long).top(2).orderBy("rk").collect()] == ["A_M", "B_M"]
+
+
+def test_method_constants():
+    assert list(calls.ME_METHODS) == ["rho", "lrt", "lor", "wald", "overlap", "fisher", "ratio", "weighted"]
+    assert list(calls.CO_METHODS) == ["rho", "lrt", "lor", "wald", "overlap", "fisher", "weighted"]
+    cutoffs = {n: m.cutoff for n, m in (calls.ME_METHODS | calls.CO_METHODS).items() if m.cutoff is not None}
+    assert cutoffs == {"overlap": 0.01, "fisher": 0.01, "ratio": 1e-3, "weighted": 0.01}
+    up = {d: [n for n, m in calls.METHODS[d].items() if m.ascending] for d in calls.METHODS}
+    assert up == {"ME": ["rho", "overlap", "fisher", "weighted"], "CO": ["lor", "wald", "overlap", "fisher", "weighted"]}
+
+
+def test_method_tables_count_before_they_cut(spark):
+    rows = [("a", str(k), -0.1 * k, 0.001 * k, 0.2, 0.2) for k in range(1, 6)] + [("a", "x", None, None, 0.2, 0.2), ("a", "y", -0.9, 0.5, 0.001, 0.2)]
+    t = spark.createDataFrame(rows, "a string, b string, rho double, fisher_me_q double, t1x double, tx1 double").withColumn("fisher_me_p", F.col("fisher_me_q") / 2)
+    got = calls.method_tables(t, "ME", 0.01, 2, {"rho": -0.25}, ["rho", "fisher"])
+    by = {m: [(r.b, r.significant, r.n_significant) for r in got.where(F.col("method") == m).orderBy("rk").collect()] for m in ("rho", "fisher")}
+    assert by == {"rho": [("5", True, 3), ("4", True, 3)], "fisher": [("1", True, 5), ("2", True, 5)]}
+    last = calls.rank_by(t, "ME", "fisher", 0.01).orderBy(F.desc("rk")).first()
+    assert last.b == "x" and last.significant is False
+
+
+def test_mean_curve_is_an_interpolation(spark):
+    curves = {1: ([0.0, 0.25, 1.0], [1.0, 0.8, 0.3]), 2: ([0.0, 0.5, 1.0], [1.0, 0.5, 0.4])}
+    df = spark.createDataFrame([("m", run, x, y) for run, (xs, ys) in curves.items() for x, y in zip(xs, ys)], "method string, run int, recall double, precision double")
+    got = {round(r.recall * 100): (r.mean, r.sd) for r in evaluation.mean_curve(df, 101).collect()}
+    grid = np.arange(101) / 100
+    want = np.stack([np.interp(grid, *c) for c in curves.values()])
+    assert sorted(got) == list(range(101))
+    assert [got[k][0] for k in range(101)] == pytest.approx(want.mean(0)) and [got[k][1] for k in range(101)] == pytest.approx(want.std(0), abs=1e-12)
+
+
+def test_hits_are_counted_over_runs(spark):
+    ranked = spark.createDataFrame([("m", 1, "a", "b", 1), ("m", 1, "a", "c", 2), ("m", 2, "b", "a", 2), ("m", 2, "c", "d", 1)], "method string, run int, a string, b string, rk int")
+    truth = spark.createDataFrame([(1, "b", "a"), (2, "a", "b")], "run int, a string, b string")
+    assert [(r.rk, r.hits) for r in evaluation.hit_curve(ranked, truth, 5, 2).orderBy("rk").collect()] == [(1, 0.5), (2, 1.0)]
+
+
+def test_weighted_draws_are_those_of_single_samples():
+    rng = np.random.default_rng(0)
+    weight, many = np.array([1.0, 2, 5]), np.array([300, 200, 50])
+    for k in (0, 10, 100, 300, 550):
+        x = baselines.weighted_draws(rng, weight, many, k, 1500)
+        assert (x.sum(1) == k).all() and (x <= many).all() and (x >= 0).all()
+        keys = rng.exponential(size=(1500, 550)) / np.repeat(weight, many)
+        first = np.repeat([0, 1, 2], many)[np.argsort(keys, axis=1)[:, :k]]
+        y = np.stack([(first == c).sum(1) for c in range(3)], axis=1)
+        assert x.mean(0) == pytest.approx(y.mean(0), abs=0.4) and x.std(0) == pytest.approx(y.std(0), abs=0.4)
+    many_first = baselines._first_of(rng, weight, np.tile([30, 20, 10], (3000, 1)), np.full(3000, 7), np.full(3000, 0.5))
+    t = -np.log1p(-rng.random((3000, 60)) * -np.expm1(-np.repeat(weight, [30, 20, 10]) * 0.5)) / np.repeat(weight, [30, 20, 10])
+    ring = np.repeat([0, 1, 2], [30, 20, 10])[np.argsort(t, axis=1)[:, :7]]
+    assert many_first.mean(0) == pytest.approx([(ring == c).sum(1).mean() for c in range(3)], abs=0.15)
+
+
+def test_weighted_test_equals_drawing_samples(spark):
+    sums, n = [(1, 60), (2, 40), (6, 20)], 120
+    t = spark.createDataFrame([("a", "b", 9, 21, 31, 59), ("a", "c", 2, 28, 20, 70)], "a string, b string, n11 long, n10 long, n01 long, n00 long")
+    got = {(r.a, r.b): (r.me_p, r.co_p, r.me_q) for r in baselines.weighted_test(t, spark.createDataFrame(sums, "sample_sum long, n long"), 4000).collect()}
+    rng, weight = np.random.default_rng(1), np.repeat([1.0, 2, 6], [60, 40, 20])
+    for (a, b), (n11, k1, k2) in {("a", "b"): (9, 30, 40), ("a", "c"): (2, 30, 22)}.items():
+        hit = [np.argsort(np.argsort(rng.exponential(size=(4000, n)) / weight, axis=1), axis=1) < k for k in (k1, k2)]
+        both = (hit[0] & hit[1]).sum(1)
+        assert got[a, b][:2] == pytest.approx(((both <= n11).mean(), (both >= n11).mean()), abs=0.05)
+        assert got[a, b][2] >= got[a, b][0]
+
+
+def test_burden_aware_calls(spark):
+    conditioned = spark.createDataFrame([("a", "b", 0.001, 0.02), ("a", "c", 0.001, 0.3), ("b", "c", 0.2, 0.001), ("c", "d", 0.01, None)], "a string, b string, p_plain double, p_burden double")
+    table = conditioned.select("a", "b")
+    got = {(r.a, r.b): (r.q_burden, r.robust) for r in baselines.burden_aware(conditioned, table).collect()}
+    assert got["a", "b"] == (pytest.approx(0.03), True) and got["b", "c"] == (pytest.approx(0.003), True)
+    assert got["a", "c"] == (pytest.approx(0.3), False) and got["c", "d"] == (None, False)
+    x = baselines.explained_by_burden(conditioned).first()
+    assert (x.pairs, x.marginal, x.explained) == (4, 3, 2)
+
+
+def test_burden_regression_equals_one_sample_by_sample(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    burden = rng.integers(1, 6, n)
+    a, b = (rng.random(n) < 0.1 * burden), (rng.random(n) < 0.08 * burden)
+    rows = [(i, "A_M", 1) for i in range(n) if a[i]] + [(i, "B_M", 1) for i in range(n) if b[i]]
+    long = spark.createDataFrame(rows, "sample long, feature string, c long")
+    top = counts.top(counts.totals(long), 2)
+    burdens = spark.createDataFrame([(i, int(burden[i])) for i in range(n)], "sample long, burden long")
+    r = baselines.burden_conditioned(long, top, burdens).first()
+    x, y = (a, b) if r.a == "A_M" else (b, a)
+    want = baselines.logit_p(y.astype(float), np.column_stack([x, np.log1p(burden)]), np.ones(n)), baselines.logit_p(y.astype(float), x[:, None].astype(float), np.ones(n))
+    assert (r.p_burden, r.p_plain) == pytest.approx(want, rel=1e-6)
+
+
+def test_names_and_marginal_rates(spark):
+    df = spark.createDataFrame([("A_M", "B_N", 0.4, 0.3, 0.2, 0.1), ("C_M", "A_M", 0.4, 0.3, 0.2, 0.1), ("C_M", "B_N", 0.4, 0.3, 0.2, 0.1)], "a string, b string, t00 double, t01 double, t10 double, t11 double")
+    assert {r.partner: round(r.rate, 9) for r in fit.marginal_rates(df, "A_M").collect()} == {"B_N": 0.3, "C_M": 0.4}
+    name = df.select(fit.pair_name(F.col("a"), F.col("b")).alias("name"))
+    assert [tuple(r) for r in name.select(*fit.pair_ends(F.col("name"))).collect()] == [("A_M", "B_N"), ("C_M", "A_M"), ("C_M", "B_N")]
+    assert one(spark, special.rate_of(F.lit(0.3)))[0] == pytest.approx(-math.log(0.7))
