@@ -577,14 +577,15 @@ mt AS (
   UNION ALL SELECT a, b, 'wald', wald, NULL, row_number() OVER (ORDER BY wald NULLS LAST, a, b)::INTEGER FROM ok1 WHERE fits
   UNION ALL SELECT a, b, 'fisher', co_p, co_q < 0.01, row_number() OVER (ORDER BY co_p, a, b)::INTEGER FROM ok1),
 """
-_MT = f"SELECT rk, method, {sql_r('value', 5)} AS value, significant, n_significant FROM (SELECT *, CASE WHEN significant IS NOT NULL THEN sum(significant::INT) OVER (PARTITION BY method)::BIGINT END AS n_significant FROM mt) WHERE rk <= 15"
+_MT = f"SELECT rk, method, {sql_r('value', 5)} AS value, significant::INT::DOUBLE AS significant, n_significant::DOUBLE AS n_significant FROM (SELECT *, CASE WHEN significant IS NOT NULL THEN sum(significant::INT) OVER (PARTITION BY method)::BIGINT END AS n_significant FROM mt) WHERE rk <= 15"
 _SQL_METHODS = ("rho", "lrt", "lor", "wald", "fisher")
 
 
 def _method_tables(spark: SparkSession, sf_dir: str, direction: str, cutoffs: dict[str, float]) -> DataFrame:
     p = _Parts(spark, sf_dir)
     made = calls.method_tables(staged(_with_fisher(p.pairs()), "methods"), direction, special.epsilon(p.n), 15, cutoffs, _SQL_METHODS)
-    return made.select("rk", "method", r("value", 5).alias("value"), "significant", "n_significant")
+    # numbers with nulls: without a cutoff there is nothing to call
+    return made.select("rk", "method", r("value", 5).alias("value"), *[F.col(c).cast("int").cast("double").alias(c) for c in ("significant", "n_significant")])
 
 
 @_query(end(_MT, PAIRS, TAU, _ACTIVE, _FISHER, _ME_RANKED))
