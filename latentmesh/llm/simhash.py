@@ -1,12 +1,16 @@
-"""SimHash near-duplicates by tiled exact comparison.
+"""SimHash near-duplicates by exact comparison in tiles.
 
 A fingerprint has 128 bits, each the majority over the text's distinct word
 pairs (a text of one word uses that word); in a draw the least pair decides.  Two documents are near duplicates if their
 fingerprints differ in at most ``RADIUS`` bits.  Equal fingerprints are folded
-first; the distinct ones are ordered by population count and packed in tiles of
-``TILE``, and every pair of tiles whose population counts can be within the
-radius is compared in full, so no pair within the radius is missed.  Each
-document then belongs to the class of its smallest connected ``doc_id``.
+first; the distinct ones are ordered by population count and packed in tiles, and
+all pairs of tiles whose population counts can be within the radius are compared.
+Up to ``FEW`` fingerprints, each with each.  Beyond, the pigeonhole principle
+says for each of the eight sixteenths of bits in how few of them a pair must
+differ in at least one (``shares``), so a fingerprint is compared only with those
+whose sixteen bits are that near, once for each of the eight; a pair counts where
+it is found first.  Either way no pair within the radius is missed.  Each document
+then belongs to the class of its smallest connected ``doc_id``.
 
 Links aren't written one by one: a pair of tiles gives the number of each
 fingerprint's links, all counted, and as many links as it takes to connect what
@@ -38,8 +42,13 @@ BITS = 128
 #: Copies with one word in ten replaced differ in fewer bits (mean 14 for one in twenty); unrelated texts in 64 on average, standard deviation 5.7.
 RADIUS = 28
 TILE = 16384
+#: So many distinct fingerprints are compared each with each; more of them by sixteen bits at a time, in tiles of ``WIDE``.
+FEW = 6 * TILE
+WIDE = 3 << 18
 _LANES = np.uint64(0x0101010101010101)
 _RUN = 255
+_KEYS = np.arange(1 << 16)
+_PARTS = BITS // 16
 
 
 def _bit_counts(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -105,27 +114,30 @@ def signatures(docs: DataFrame) -> DataFrame:
 _TILES = pa.schema([("tile", pa.string()), ("least", pa.int32()), ("most", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("prints", pa.binary())])
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of population count, packed in tiles."""
+def _pack(size: int):
+    """Rows in order of population count, packed in tiles of ``size``."""
 
     def tiles(table: pa.Table) -> pa.RecordBatch:
         bits = table.column("bits").to_numpy()
         ids, copies, *prints = (np.ascontiguousarray(table.column(c).to_numpy()).tobytes() for c in ("keep_id", "copies", "f0", "f1"))
         return pa.RecordBatch.from_pydict({"tile": [uuid.uuid4().hex], "least": [int(bits.min())], "most": [int(bits.max())], "ids": [ids], "copies": [copies], "prints": [b"".join(prints)]}, schema=_TILES)
 
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= TILE:
-            full = pa.Table.from_batches(held)
-            at = 0
-            while n - at >= TILE:
-                yield tiles(full.slice(at, TILE))
-                at += TILE
-            held, n = full.slice(at).to_batches(), n - at
-    if n:
-        yield tiles(pa.Table.from_batches(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= size:
+                full = pa.Table.from_batches(held)
+                at = 0
+                while n - at >= size:
+                    yield tiles(full.slice(at, size))
+                    at += size
+                held, n = full.slice(at).to_batches(), n - at
+        if n:
+            yield tiles(pa.Table.from_batches(held))
+
+    return run
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False, rows: int = 64, columns: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -148,6 +160,125 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False, rows: in
                     yield p, q
 
 
+def shares(radius: int) -> tuple[list[int], list[int]]:
+    """For the halves and for the sixteen-bit parts of a fingerprint, bits that may differ.
+
+    Two within the radius have a half, and in it a part, in which they differ in
+    no more bits than these: if each of two halves had more than its share, the
+    whole would have more than both shares and one, that is more than the radius.
+    A share of -1 is a part that needn't be looked at.
+    """
+    levels = [[radius]]
+    while len(levels[-1]) < _PARTS:
+        levels.append([s for r in levels[-1] for s in (r // 2, (r - 1) // 2)])
+    return levels[1], levels[-1]
+
+
+def ball(bits: int) -> np.ndarray:
+    """The sixteen-bit numbers with at most so many bits set, zero first."""
+    return _KEYS[np.bitwise_count(_KEYS).astype(int) <= bits]
+
+
+def near_by_part(a: np.ndarray, b: np.ndarray, radius: int, part: int, same: bool = False, block: int = 1 << 15, held: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``near`` that differ in few bits of ``part`` and not of one before it; all parts together give each pair once.
+
+    For each value of the part in ``a``, the fingerprints of ``b`` with a value
+    near it are gathered, and their halves compared; what passes is compared in full.
+    """
+    halves, parts = shares(radius)
+    half, masks = part // 4, ball(parts[part])
+    if not len(masks):
+        return
+
+    def by_part(x: np.ndarray) -> tuple[np.ndarray, ...]:
+        key = np.ascontiguousarray(x[half]).view(np.uint16)[part % 4 :: 4]
+        order, count = np.argsort(key, kind="stable"), np.bincount(key, minlength=len(_KEYS))
+        return order, x[half][order], count, np.cumsum(count) - count
+
+    order_a, half_a, count_a, start_a = by_part(a)
+    order_b, half_b, count_b, start_b = (order_a, half_a, count_a, start_a) if same else by_part(b)
+    differ, many, hit = np.empty(block, np.uint64), np.empty(block, np.uint8), np.zeros(held, bool)
+    eights = hit.view(np.uint64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def sure() -> tuple[np.ndarray, np.ndarray]:
+        p, q = (np.concatenate(side) for side in zip(*found))
+        found.clear()
+        x = a[:, p] ^ b[:, q]
+        in_half = np.bitwise_count(x)
+        ok = in_half.sum(axis=0, dtype=int) <= radius
+        p, q, x, in_half = p[ok], q[ok], x[:, ok], in_half[:, ok]
+        in_part = np.bitwise_count(np.ascontiguousarray(x.T).view(np.uint16))
+        fits = (in_part <= np.array(parts)) & np.repeat(in_half.T <= np.array(halves), 4, axis=1)
+        first = fits.argmax(axis=1) == part
+        return p[first], q[first]
+
+    def passed(pieces: list[tuple[int, ...]], size: int, at: np.ndarray) -> int:
+        full = -(-size // 8)
+        hit[size : full * 8] = False
+        some = np.flatnonzero(eights[:full])
+        if not len(some):
+            return 0
+        place = (some[:, None] * 8 + np.arange(8))[hit.reshape(-1, 8)[some]]
+        offset, row, column, width, own = np.array(pieces).T
+        k = np.searchsorted(offset, place, side="right") - 1
+        down, right = np.divmod(place - offset[k], width[k])
+        right += column[k]
+        p, q = order_a[row[k] + down], order_b[at[right]]
+        if same:  # both have the value, so they meet twice
+            once = (right >= own[k]) | (p < q)
+            p, q = p[once], q[once]
+        found.append((p, q))
+        return len(p)
+
+    waiting = 0
+    values = np.flatnonzero(count_a)
+    group = int(np.clip(held // 2 // (len(masks) * (1 + len(order_b) // len(_KEYS))), 1, 256))
+    for g in range(0, len(values), group):
+        v = values[g : g + group]
+        keys = v[:, None] ^ masks
+        counts = count_b[keys]
+        if same:  # lesser values were compared with this one in their turn
+            counts[keys < v[:, None]] = 0
+        totals = counts.sum(axis=1)
+        cut = 0
+        while cut < len(v):
+            to = max(cut + 1, cut + int(np.searchsorted(np.cumsum(totals[cut:]), held, side="right")))
+            count = counts[cut:to].ravel()
+            end = np.cumsum(count)
+            at = np.repeat(start_b[keys[cut:to].ravel()] - (end - count), count)
+            at += np.arange(len(at))
+            y = half_b.take(at)
+            pieces, size, column = [], 0, 0
+            for value, total in zip(v[cut:to].tolist(), totals[cut:to].tolist()):
+                lo, hi, own, last = int(start_a[value]), int(start_a[value] + count_a[value]), column + int(count_b[value]), column + total
+                for j in range(column, last, block):
+                    w = min(block, last - j)
+                    for i in range(lo, hi, block // w):
+                        n = min(block // w, hi - i)
+                        m = n * w
+                        if size + m > held:
+                            waiting += passed(pieces, size, at)
+                            pieces, size = [], 0
+                            if waiting >= held:
+                                yield sure()
+                                waiting = 0
+                        np.bitwise_xor(half_a[i : i + n, None], y[j : j + w], out=differ[:m].reshape(n, w))
+                        np.bitwise_count(differ[:m], out=many[:m])
+                        np.less_equal(many[:m], halves[half], out=hit[size : size + m])
+                        pieces.append((size, i, j, w, own))
+                        size += m
+                column = last
+            if size:
+                waiting += passed(pieces, size, at)
+            if waiting >= held:
+                yield sure()
+                waiting = 0
+            cut = to
+    if found:
+        yield sure()
+
+
 def join(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which of the links ``x, y`` connect what wasn't connected; ``label`` has the least member of each position's class and is brought up to date."""
     at = np.flatnonzero(label[x] != label[y])
@@ -190,14 +321,15 @@ def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                same, ids_a, copies_a, prints_a, ids_b, copies_b, prints_b = (batch.column(c)[r].as_py() for c in range(7))
-                a, b = (np.frombuffer(x, np.uint64).reshape(2, -1) for x in (prints_a, prints_b))
-                n = a.shape[1]
-                shift = 0 if same else n
-                ids = np.frombuffer(ids_a if same else ids_a + ids_b, np.int64)
-                copies = np.frombuffer(copies_a if same else copies_a + copies_b, np.int64)
+                part, same = (batch.column(c)[r].as_py() for c in range(2))
+                # the tiles stay where Arrow has them
+                ids_a, copies_a, prints_a, ids_b, copies_b, prints_b = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64) for c in range(2, 8))
+                a, b = (x.view(np.uint64).reshape(2, -1) for x in (prints_a, prints_b))
+                shift = 0 if same else a.shape[1]
+                ids = ids_a if same else np.concatenate([ids_a, ids_b])
+                copies = copies_a if same else np.concatenate([copies_a, copies_b])
                 label, many = np.arange(len(ids)), np.zeros(len(ids))
-                for p, q in near(a, b, radius, same):
+                for p, q in near(a, b, radius, same) if part < 0 else near_by_part(a, b, radius, part, same):
                     q = q + shift
                     many += np.bincount(p, copies[q], len(ids)) + np.bincount(q, copies[p], len(ids))
                     new = join(label, p, q)
@@ -215,18 +347,24 @@ def links(one: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A row with ``b`` is a link; those rows connect all that is connected.  The
     others say how many documents within the radius ``a`` has in some pair of
-    tiles.  The tiles are rows of a written table.  Their product is filtered on
-    the range of population counts before any fingerprint reaches Python, and
-    neither side is shuffled.
+    tiles, or in some part of it.  The tiles are rows of a written table.  Their
+    product is filtered on the range of population counts before any fingerprint
+    reaches Python, and neither side is shuffled.
     """
     bits = one.withColumn("bits", F.bit_count("f0") + F.bit_count("f1")).select("bits", "keep_id", "copies", "f0", "f1")
-    packed = bits.repartitionByRange("bits", "keep_id").sortWithinPartitions("bits").mapInArrow(tk.tidy(_pack), "tile string, least int, most int, ids binary, copies binary, prints binary")
+    n = bits.count()
+    each = n <= FEW or 2 * sum(len(ball(s)) for s in shares(radius)[1]) > len(_KEYS)
+    ranges = bits.repartitionByRange("bits", "keep_id") if each else bits.repartitionByRange(-(-n // WIDE), "bits", "keep_id")
+    packed = ranges.sortWithinPartitions("bits").mapInArrow(tk.tidy(_pack(TILE if each else WIDE)), "tile string, least int, most int, ids binary, copies binary, prints binary")
     tiles = written(packed, "simhash-tiles")
-    a, b = tiles.alias("a"), tiles.alias("b")
+    spark = one.sparkSession
+    parts = spark.range(-1, 0, 1, 1) if each else spark.range(0, _PARTS, 1, _PARTS)
+    a = tiles.crossJoin(parts.withColumnRenamed("id", "part").hint("shuffle_replicate_nl")).alias("a")
+    b = tiles.hint("shuffle_replicate_nl").alias("b")
     apart = F.greatest(F.col("a.least") - F.col("b.most"), F.col("b.least") - F.col("a.most"))
     both = a.join(b, (F.col("a.tile") <= F.col("b.tile")) & (apart <= radius))
     sides = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("ids", "copies", "prints")]
-    return both.select((F.col("a.tile") == F.col("b.tile")).alias("same"), *sides).mapInArrow(tk.tidy(_compare(radius)), "a long, b long, links long")
+    return both.select("part", (F.col("a.tile") == F.col("b.tile")).alias("same"), *sides).mapInArrow(tk.tidy(_compare(radius)), "a long, b long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -93,6 +93,42 @@ def test_near_finds_all_pairs_in_the_radius():
         assert sorted(found) == sorted((x, y) for x, y in zip(*np.nonzero(exact <= 28)) if x < y or not same)
 
 
+@pytest.mark.parametrize("radius", [28, 27, 5, 0])
+def test_parts_find_each_pair_in_the_radius_once(radius):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**64, (2, 1200), dtype=np.uint64)
+    a[:, 600:] = a[:, :600]
+    for k in range(600, 1200):
+        for b in rng.choice(128, rng.integers(0, 40), replace=False):
+            a[b // 64, k] ^= np.uint64(1) << np.uint64(b % 64)
+    a = a[:, rng.permutation(1200)]
+    b = np.concatenate([a[:, :200], rng.integers(0, 2**64, (2, 300), dtype=np.uint64)], axis=1)
+    for other, same in ((a, True), (b, False)):
+        exact = np.bitwise_count(a[:, :, None] ^ other[:, None]).astype(int).sum(0) <= radius
+        wanted = sorted((int(x), int(y)) for x, y in zip(*np.nonzero(exact)) if x < y or not same)
+        for sizes in ({}, {"block": 64, "held": 128}):
+            pairs = [(int(x), int(y)) for part in range(8) for p, q in simhash.near_by_part(a, other, radius, part, same, **sizes) for x, y in zip(p, q)]
+            assert sorted((min(x), max(x)) if same else x for x in pairs) == wanted
+
+
+def test_parts_compare_few_of_all_pairs():
+    """Each with each is too many from some million fingerprints on."""
+    halves, parts = simhash.shares(simhash.RADIUS)
+    assert sum(halves) + 1 == simhash.RADIUS
+    assert sum(len(simhash.ball(s)) for s in parts) < 0.06 * (1 << 16)
+
+
+@pytest.mark.parametrize("wide", [1 << 20, 40])
+def test_groups_by_parts_equal_brute_force(spark, monkeypatch, wide):
+    monkeypatch.setattr(simhash, "FEW", 0)
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    texts = near_copies(random.Random(5))
+    texts |= {500 + k: texts[k] for k in range(9)} | {600: texts[0]}
+    got = {r.doc_id: (r.keep_id, r.links) for r in simhash.groups(documents(spark, list(texts.items()))).collect()}
+    assert got == slow(texts, simhash.RADIUS)
+    assert got
+
+
 def test_links_that_connect_are_few_and_enough():
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 200, (2, 5000))
