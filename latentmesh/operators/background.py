@@ -152,9 +152,14 @@ def max_entropy(rows: np.ndarray, many_rows: np.ndarray, columns: np.ndarray, ma
 def max_entropy_background(counts: DataFrame, least: float = 1e-12) -> DataFrame:
     """``feature_sum, sample_sum, p``: the chance of an event by the margins alone; margins are few, whatever the number of cells."""
     hits = counts.where("c > 0").select("sample", "feature").distinct()
-    rows = hits.groupBy("feature").count().groupBy(F.col("count").alias("s")).agg(F.count("*").alias("n"))
-    columns = hits.groupBy("sample").count().groupBy(F.col("count").alias("s")).agg(F.count("*").alias("n"))
-    sides = rows.withColumn("side", F.lit(0)).unionByName(columns.withColumn("side", F.lit(1)))
+    sums = lambda by: hits.groupBy(by).agg(F.count("*").alias(f"{by}_sum")).groupBy(f"{by}_sum").agg(F.count("*").alias("n"))
+    return max_entropy_of_margins(sums("feature"), sums("sample"), least)
+
+
+def max_entropy_of_margins(feature_sums: DataFrame, sample_sums: DataFrame, least: float = 1e-12) -> DataFrame:
+    """The same from how many features have each sum, ``feature_sum, n``, and how many samples, ``sample_sum, n``."""
+    side = lambda sums, by, k: sums.select(F.col(f"{by}_sum").alias("s"), "n", F.lit(k).alias("side"))
+    sides = side(feature_sums, "feature", 0).unionByName(side(sample_sums, "sample", 1))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         r, c = (frame[frame["side"] == k].sort_values("s") for k in (0, 1))

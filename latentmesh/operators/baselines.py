@@ -12,48 +12,65 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..sources.staging import staged
+from .background import max_entropy_of_margins
 from .calls import benjamini_hochberg
 
 
-def _tilted(p: np.ndarray, many: np.ndarray, x: int) -> float:
-    """P(at least x), x above the mean, of the sum of independent events, ``many`` of each chance.
+def _tilted(p: np.ndarray, not_p: np.ndarray, many: np.ndarray, x: int) -> float:
+    """P(at least x), x above the mean, of the sum of independent events, ``many`` of each chance; ``not_p`` is 1 - p, given as it may be small.
 
     Every chance's odds are raised by one factor e^t until the mean is x.  The
     raised sum's probabilities, within twelve deviations of x, come from its
     characteristic function; weighing each back by e^-t(k - x) leaves the tail
     precise however small it is, as its large terms are those near x.
+
+    At an angle the function is at most e^-v(1 - cos), v the raised variance,
+    so it is only taken where that is above e^-80: at about 50 angles, or all
+    where the deviation is small.  An angle's terms from x on are a geometric
+    series.  So neither time nor memory grows with the number of events.
+    Likely events are taken by how many don't occur, as sums over most of a
+    large number would lose digits.
     """
     n = int(many.sum())
     if x > n - int(many[p <= 0].sum()):
         return 0.0
-    log_odds = np.log(p) - np.log1p(-p)
+    log_odds = np.log(p) - np.log(not_p)
     low, high = 0.0, 1.0
-    chance = lambda t: 0.5 * (1 + np.tanh((log_odds + t) / 2))
+    chance = lambda t: np.exp(-np.logaddexp(0, -log_odds - t))
     while (many * chance(high)).sum() < x and high < 700:
         low, high = high, 2 * high
     for _ in range(60):
         t = (low + high) / 2
         low, high = (t, high) if (many * chance(t)).sum() < x else (low, t)
     t = (low + high) / 2
-    q = chance(t)
-    scale = float((many * (np.logaddexp(0, log_odds + t) - np.logaddexp(0, log_odds))).sum()) - t * x
-    sd = float(np.sqrt((many * q * (1 - q)).sum()))
-    first, last = max(0, int(x - 12 * sd - 20)), min(n, int(x + 12 * sd + 20))
+    likely = p >= 0.5
+    beyond = x - int(many[likely].sum())
+    raised = np.where(likely, np.log1p(not_p * np.expm1(-t)), np.log1p(p * np.expm1(t)) if t < 1 else np.logaddexp(0, log_odds + t) + np.log(not_p))
+    scale = float((many * raised).sum()) - t * beyond
+    q, not_q = chance(t), np.exp(-np.logaddexp(0, log_odds + t))
+    variance = float((many * q * not_q).sum())
+    reach = 12 * math.sqrt(variance) + 20
+    first, last = max(0, int(x - reach)), min(n, int(x + reach))
     size = last - first + 1
-    turn = 2j * np.pi * np.arange(size) / size
-    w, log = np.exp(turn), -turn * first
-    for c, k in zip(q, many):
-        log = log + k * np.log(1 - c + c * w)
-    pmf = np.clip(np.fft.fft(np.exp(log)).real / size, 0, 1)[x - first :]
-    return float(min(1.0, np.exp(scale) * (pmf * np.exp(-t * np.arange(len(pmf)))).sum()))
+    widest = math.acos(max(-1.0, 1 - 80 / variance)) if variance > 40 else math.pi
+    angle = 2 * np.pi * np.arange(min(size // 2, int(widest * size / (2 * np.pi))) + 1) / size
+    fall = 2 * np.sin(angle / 2) ** 2  # 1 - cos
+    with np.errstate(divide="ignore"):  # at half a turn the function can be 0
+        height = sum(k / 2 * np.log1p(np.maximum(-2 * c * d * fall, -1)) for c, d, k in zip(q, not_q, many))
+    turned = lambda c: np.arctan2(c * np.sin(angle), 1 - c * fall)
+    phase = sum(-k * turned(d) if most else k * turned(c) for c, d, k, most in zip(q, not_q, many, likely)) - beyond * angle
+    step = -(t + 1j * angle)
+    series = np.expm1(step * (last - x + 1)) / np.expm1(step)
+    twice = np.where((angle > 0) & (2 * np.arange(len(angle)) < size), 2, 1)  # for the angles below 0
+    return float(np.clip(np.exp(scale) * (twice * np.exp(height + 1j * phase) * series).real.sum() / size, 0, 1))
 
 
 def poisson_binomial(p: np.ndarray, many: np.ndarray, x: int) -> tuple[float, float]:
     """P(at most x) and P(at least x) of the sum of independent events, ``many`` of each chance.
 
     The tail away from the mean is computed with full relative precision, the
-    other one as its complement; the cost grows with the root of the number of
-    events.
+    other one as its complement; the cost is that of the distinct chances,
+    whatever the number of events.
     """
     keep = many > 0
     p, many = np.clip(p[keep], 1e-300, 1 - 1e-16), many[keep]
@@ -62,14 +79,20 @@ def poisson_binomial(p: np.ndarray, many: np.ndarray, x: int) -> tuple[float, fl
         return (0.0, 1.0) if x < 0 else (1.0, 0.0)
 
     def least(x: int) -> float:
-        return 1.0 if x <= 0 else _tilted(p, many, x) if x > mean else 1 - most(x - 1)
+        return 1.0 if x <= 0 else _tilted(p, 1 - p, many, x) if x > mean else 1 - most(x - 1)
 
     def most(x: int) -> float:
-        return 1.0 if x >= n else _tilted(1 - p, many, n - x) if x < mean else 1 - least(x + 1)
+        return 1.0 if x >= n else _tilted(1 - p, p, many, n - x) if x < mean else 1 - least(x + 1)
 
     return most(x), least(x)
 
 
+def feature_sums(tables: DataFrame) -> DataFrame:
+    """``feature_sum, n``: how many features have each number of samples, which the tables of all pairs tell."""
+    ends = F.inline(F.array(*[F.struct(F.col(s).alias("feature"), (F.col("n11") + F.col(only)).alias("feature_sum")) for s, only in (("a", "n10"), ("b", "n01"))]))
+    return tables.select(ends).distinct().groupBy("feature_sum").agg(F.count("*").alias("n"))
+
+
 def overlap_test(tables: DataFrame, background: DataFrame, sample_sums: DataFrame) -> DataFrame:
     """``a, b, me_p, co_p`` with q-values, after Canisius et al. (2016): the overlap against chances by both margins.
 
@@ -79,6 +102,7 @@ def overlap_test(tables: DataFrame, background: DataFrame, sample_sums: DataFram
     by_sum = background.join(sample_sums, "sample_sum").groupBy("feature_sum").agg(F.array_sort(F.collect_list(F.struct("sample_sum", "p", "n"))).alias("cells"))
     side = lambda s: by_sum.select(F.col("feature_sum").alias(f"m{s}"), F.col("cells").alias(f"cells_{s}"))
     rows = tables.withColumns({"ma": F.col("n11") + F.col("n10"), "mb": F.col("n11") + F.col("n01")}).join(side("a"), "ma").join(side("b"), "mb").select("a", "b", "n11", "cells_a", "cells_b")
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "a", "b")  # else pairs, of few bytes, are all tested in one task
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -91,6 +115,12 @@ def overlap_test(tables: DataFrame, background: DataFrame, sample_sums: DataFram
     return benjamini_hochberg(benjamini_hochberg(tested, "me_p", "me_q", ties=["a", "b"]), "co_p", "co_q", ties=["a", "b"])
 
 
+def overlap_by_margins(tables: DataFrame, sample_sums: DataFrame) -> DataFrame:
+    """``overlap_test`` with the chances that the margins of all pairs' written ``tables`` and ``sample_sums`` give."""
+    held = sample_sums.where("sample_sum > 0")
+    return overlap_test(tables, max_entropy_of_margins(feature_sums(tables), held), held)
+
+
 def exclusivity_ratio(n11: np.ndarray, n10: np.ndarray, n01: np.ndarray, n00: np.ndarray, steps: int = 2000) -> np.ndarray:
     """Likelihood ratios of mutually exclusive pairs, after Hua et al. (2016).
 

@@ -57,6 +57,12 @@ def top(sums: DataFrame, k: int, by: str = "total", ties: str = "feature") -> Da
     return ranked(sums.orderBy(F.desc(by), ties).limit(k), by, ties)
 
 
+def sample_sums(counts: DataFrame, top: DataFrame) -> DataFrame:
+    """``sample_sum, n``: how many samples have each number of the ranked features, 0 among them."""
+    known = counts.join(top.select("feature", "rk"), "feature", "left")
+    return known.groupBy("sample").agg(F.count("rk").alias("sample_sum")).groupBy("sample_sum").agg(F.count("*").alias("n"))
+
+
 def burden(counts: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """``sample, burden``; samples without an event have 0 where they are listed."""
     sums = counts.groupBy("sample").agg(F.sum("c").alias("burden"))

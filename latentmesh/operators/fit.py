@@ -114,13 +114,17 @@ def resumed(cells: DataFrame, before: DataFrame | None, **options: object) -> Da
 def joint_counts(counts: DataFrame, top: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """``a, b, ca, cb, n`` of the samples that have both features, a ranked before b: a join on the sample alone.
 
-    With ``classes`` there is a column ``class`` too.
+    With ``classes`` there is a column ``class`` too.  Until they are counted,
+    features go by their ranks, which are shorter than names.
     """
-    narrow = counts.join(top.select("feature", "rk"), "feature").select("sample", "feature", "rk", F.col("c").cast("long").alias("c"))
+    narrow = counts.join(top.select("feature", "rk"), "feature").select("sample", "rk", F.col("c").cast("long").alias("c"))
     x, y = (narrow if classes is None else narrow.join(classes, "sample")).alias("x"), narrow.alias("y")
     both = x.join(y, (F.col("x.sample") == F.col("y.sample")) & (F.col("x.rk") < F.col("y.rk")))
     by = [] if classes is None else [F.col("x.class").alias("class")]
-    return both.groupBy(F.col("x.feature").alias("a"), F.col("y.feature").alias("b"), *by, F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).agg(F.count("*").alias("n"))
+    cells = both.groupBy(F.col("x.rk").alias("rk_a"), F.col("y.rk").alias("rk_b"), *by, F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).agg(F.count("*").alias("n"))
+    for s in "ab":
+        cells = cells.join(top.select(F.col("rk").alias(f"rk_{s}"), F.col("feature").alias(s)), f"rk_{s}")
+    return cells.select("a", "b", *(["class"] if by else []), "ca", "cb", "n")
 
 
 def pairs_of(top: DataFrame) -> DataFrame:

@@ -82,11 +82,10 @@ def compare(cohort: Cohort, top_k: int = 100) -> tuple[DataFrame, dict[str, str]
     top = staged(cohort.top(top_k), "top")
     joint = staged(fit.joint_counts(cohort.counts, top), "joint")
     tables = staged(fit.contingency(joint, cohort.counts, top, F.lit(n)), "tables")
-    few = cohort.counts.join(top.select("feature"), "feature", "left_semi")
-    sums = lambda c: c.groupBy("sample").agg(F.count("*").alias("sample_sum")).groupBy("sample_sum").agg(F.count("*").alias("n"))
+    sums = cohort.counts.groupBy("sample").agg(F.count("*").alias("sample_sum")).groupBy("sample_sum").agg(F.count("*").alias("n"))
     return baselines.compare({
         "fisher": lambda: calls.fisher(tables),
-        "overlap": lambda: baselines.overlap_test(tables, background.max_entropy_background(few), sums(few)),
+        "overlap": lambda: baselines.overlap_by_margins(tables, staged(counts.sample_sums(cohort.counts, top), "sums")),
         "ratio": lambda: baselines.exclusivity_test(tables),
-        "weighted": lambda: baselines.weighted_test(tables, sums(cohort.counts)),
+        "weighted": lambda: baselines.weighted_test(tables, sums),
     })

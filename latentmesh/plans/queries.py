@@ -57,10 +57,19 @@ class _Parts:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.counts = staged(_counts(spark, sf_dir), "counts")
-        self.n = _size(self.counts)
         self.totals = counts.totals(self.counts)
-        self.pmfs = background.poisson(self.totals, F.lit(self.n), 0.8, K)
-        self.cells = fit.with_pmfs(fit.histogram(self.counts, F.lit(self.n)), self.pmfs)
+
+    @cached_property
+    def n(self) -> int:
+        return _size(self.counts)
+
+    @cached_property
+    def pmfs(self) -> DataFrame:
+        return background.poisson(self.totals, F.lit(self.n), 0.8, K)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return fit.with_pmfs(fit.histogram(self.counts, F.lit(self.n)), self.pmfs)
 
     @cached_property
     def top(self) -> DataFrame:
@@ -880,9 +889,9 @@ def logit_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def discover_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _Parts(spark, sf_dir)
-    few = p.counts.join(p.top.select("feature"), "feature", "left_semi")
-    sums = few.groupBy("sample").agg(F.count("*").alias("sample_sum")).groupBy("sample_sum").agg(F.count("*").alias("n"))
-    return baselines.overlap_test(p.contingency(), background.max_entropy_background(few), sums)
+    sums = staged(counts.sample_sums(p.counts, p.top), "sums")
+    p.n = sums.agg(F.sum("n")).first()[0] or 0  # in place of another pass over the counts
+    return baselines.overlap_by_margins(staged(p.contingency(), "tables"), sums)
 
 
 _LL = "n11 * ln(greatest(g * (a_ + b_) / 2 + (1 - g) * a_ * b_, 1e-300)) + n10 * ln(greatest(g * (1 - b_) / 2 + (1 - g) * a_ * (1 - b_), 1e-300)) + n01 * ln(greatest(g * (1 - a_) / 2 + (1 - g) * (1 - a_) * b_, 1e-300)) + n00 * ln(greatest((1 - g) * (1 - a_) * (1 - b_), 1e-300))"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -450,3 +451,39 @@ def test_names_and_marginal_rates(spark):
     name = df.select(fit.pair_name(F.col("a"), F.col("b")).alias("name"))
     assert [tuple(r) for r in name.select(*fit.pair_ends(F.col("name"))).collect()] == [("A_M", "B_N"), ("C_M", "A_M"), ("C_M", "B_N")]
     assert one(spark, special.rate_of(F.lit(0.3)))[0] == pytest.approx(-math.log(0.7))
+
+
+def test_tails_cost_the_same_whatever_the_number_of_events():
+    n = 10**9
+    tracemalloc.start()
+    _, least = baselines.poisson_binomial(np.array([0.2, 0.5, 0.8]), np.array([n, n + 1, n]), 3 * n // 2 + 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert least == pytest.approx(0.5, abs=1e-10) and most < 100_000  # an odd number of events, symmetric
+
+
+def test_overlap_test_spreads_pairs_over_tasks(spark):
+    tables = spark.range(200).selectExpr("concat('x', id) as a", "concat('y', id) as b", "1 as n11", "2 as n10", "2 as n01", "5 as n00").coalesce(1)
+    sums = spark.createDataFrame([(100, 4), (50, 6)], "sample_sum long, n long")
+    chances = spark.createDataFrame([(3, 100, 0.4), (3, 50, 0.2)], "feature_sum long, sample_sum long, p double")
+    plan = baselines.overlap_test(tables, chances, sums)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    below = plan[plan.index("MapInPandas") :].split("\n")
+    assert "REPARTITION_BY_NUM" in next(x for x in below if "Exchange" in x)
+
+
+def test_overlap_by_margins_equals_that_of_the_samples(cohort, spark):
+    n, top = cohort.size(), cohort.top(3)
+    few = cohort.counts.join(top.select("feature"), "feature", "left_semi")
+    tables = fit.contingency(fit.joint_counts(cohort.counts, top), cohort.counts, top, F.lit(n)).cache()
+    sums = counts.sample_sums(cohort.counts, top).cache()
+    assert sums.agg(F.sum("n")).first()[0] == cohort.counts.select("sample").distinct().count()
+    held = few.groupBy("sample").agg(F.count("*").alias("sample_sum")).groupBy("sample_sum").agg(F.count("*").alias("n"))
+    want = {(r.a, r.b): r for r in baselines.overlap_test(tables, background.max_entropy_background(few), held).collect()}
+    got = {(r.a, r.b): r for r in baselines.overlap_by_margins(tables, sums).collect()}
+    assert got == want and len(got) == 3
+
+
+def test_sample_sums_count_samples_without_ranked_features(spark):
+    table = spark.createDataFrame([("s", "a", 1), ("s", "b", 2), ("t", "b", 1), ("u", "c", 5)], "sample string, feature string, c long")
+    top = spark.createDataFrame([("a", 1), ("b", 2)], "feature string, rk int")
+    assert {tuple(r) for r in counts.sample_sums(table, top).collect()} == {(2, 1), (1, 1), (0, 1)}
